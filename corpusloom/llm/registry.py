@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .media import media_digests
+from .mixing import mix
 from .toxicity import toxicity
 
 
@@ -15,6 +16,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents")).drop("passes")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
