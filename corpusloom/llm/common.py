@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,7 +157,7 @@ def batches(source, limit: int = 1 << 23):
         sizes = np.zeros(batch.num_rows, dtype=np.int64)
         for column in batch.columns:
             if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
-                sizes += np.asarray(pa.compute.binary_length(column).fill_null(0))
+                sizes += np.asarray(pc.binary_length(column).fill_null(0))
         ends, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
