@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .media import media_digests
 from .mixing import mix
+from .near_dup import near_duplicates
 from .toxicity import toxicity
 
 
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read_table(spark, sf_dir, "documents"))
 
