@@ -10,6 +10,7 @@ from .common import read_table
 from .media import media_digests
 from .mixing import mix
 from .near_dup import near_duplicates
+from .sketch import fingerprints
 from .toxicity import toxicity
 
 
@@ -17,6 +18,10 @@ def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read_table(spark, sf_dir, "documents"))
 
