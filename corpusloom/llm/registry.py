@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .html_text import page_texts
+from .licenses import license_spans
 from .media import media_digests
 from .mixing import mix
 from .near_dup import near_duplicates
@@ -35,6 +36,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(read_table(spark, sf_dir, "pages"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
