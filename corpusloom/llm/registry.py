@@ -11,6 +11,7 @@ from .html_text import page_texts
 from .licenses import license_spans
 from .media import media_digests
 from .mixing import mix
+from .pii import find
 from .near_dup import near_duplicates
 from .sketch import fingerprints
 from .toxicity import toxicity
@@ -32,6 +33,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop("passes")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(read_table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(read_table(spark, sf_dir, "pages"))
 
