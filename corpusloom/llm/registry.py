@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .html_text import page_texts
 from .licenses import license_spans
+from .maxent import lm_scores
 from .media import media_digests
 from .mixing import mix
 from .pii import find
@@ -17,6 +18,10 @@ from .sketch import fingerprints
 from .toxicity import toxicity
 
 
+def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
