@@ -171,3 +171,16 @@ def _schedule(spark, targets: DataFrame, words: int, block: int) -> DataFrame:
         .groupBy(F.col("source").alias("_ts"), (F.col("_rank") % F.col("_blocks")).alias("_tb"))
         .agg(F.count(F.lit(1)).alias("_times"))
     )
+
+
+def mixed(documents: DataFrame) -> DataFrame:
+    """``documents`` as the mix takes them: each row as many times as its words are taken, to the nearest whole number.
+
+    Only documents at the edge of a block are taken in part. A text without words is taken not at all. Rows that repeat a
+    key with as many words share what their key takes.
+    """
+    taken = mix(documents).where("size > 0").groupBy("doc_id", "size").agg(F.round(F.avg("passes")).cast("int").alias("_times")).where("_times > 0")
+    taken = taken.select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"), "_times")
+    rows = documents.withColumn("_size", word_count(F.col("text")))
+    met = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_d"]) & (rows["_size"] == taken["_s"]))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*documents.columns)

@@ -12,6 +12,7 @@ from .licenses import license_spans
 from .maxent import lm_scores
 from .media import media_digests
 from .mixing import mix
+from .pieces import segmentations
 from .pii import find
 from .near_dup import near_duplicates
 from .sketch import fingerprints
@@ -38,6 +39,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop("passes")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentations(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(read_table(spark, sf_dir, "documents"))
 
