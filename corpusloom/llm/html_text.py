@@ -194,8 +194,11 @@ def main_text(page: Page, weights: Weights) -> str:
 
 
 def learn(pages: DataFrame, html: str = "html", most: int = 2048) -> Weights:
-    """Weights from at most ``most`` pages, those of the least hashes, that mark their main text themselves."""
-    sample = pages.where(F.col(html).isNotNull()).select(html, F.xxhash64(html).alias("_k")).orderBy("_k").limit(most)
+    """Weights from the pages of the ``most`` least hashes (equal pages have one hash) that mark their main text themselves."""
+    hashed = pages.where(F.col(html).isNotNull()).select(html, F.xxhash64(html).alias("_k"))
+    # the hashes alone find the bound, so that no task gathers pages
+    bound = hashed.select("_k").orderBy("_k").limit(most).agg(F.max("_k")).first()[0]
+    sample = hashed.where(F.col("_k") <= bound) if bound is not None else hashed.limit(0)
 
     def run(source):
         counts: Counter = Counter()
