@@ -157,16 +157,22 @@ class Lattice:
             weight[at, :m] = z / s[:, None]
             weight[at, m:] = 0
         self.chance = weight
-        self.cumulative = np.cumsum(weight, axis=1)
-        self.cumulative[:, -1] = 2.0
+        self.best = weight.argmax(axis=1)
+        self.best_chance = weight[np.arange(n), self.best]
 
     def choose(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Column of a draw from each node's choices."""
-        # draws that rounding leaves without a piece take the likeliest
-        picked = (self.cumulative[at] < u[:, None]).sum(axis=1)
-        bad = self.chance[at, picked] <= 0
-        if bad.any():
-            picked[bad] = self.chance[at[bad]].argmax(axis=1)
+        """Column of a draw from each node's choices. The likeliest piece comes first on the unit line, the others after it."""
+        picked = self.best[at]
+        rest = np.flatnonzero(u >= self.best_chance[at])
+        if len(rest):
+            here = at[rest]
+            others = self.chance[here]
+            line = np.arange(len(rest))
+            others[line, picked[rest]] = 0
+            left = (u[rest] - self.best_chance[here])[:, None]
+            col = np.minimum((np.cumsum(others, axis=1) <= left).sum(axis=1), others.shape[1] - 1)
+            # draws that rounding leaves without a piece keep the likeliest
+            picked[rest] = np.where(others[line, col] > 0, col, picked[rest])
         return picked
 
 
@@ -209,21 +215,23 @@ def sample(texts: list[str], seeds: np.ndarray, v: Vocabulary, k: int) -> list[l
 
     def walk(units: np.ndarray, nodes: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Free draws from the given nodes to the units' ends: (unit, node, column), in order of unit and node."""
-        out, at = [], nodes.copy()
-        stop = lattice.end[unit_node[units]]
-        live = np.flatnonzero(at < stop)
+        at, stop = nodes.copy(), lattice.end[unit_node[units]]
+        live, steps, taken = np.flatnonzero(at < stop), [], np.zeros(len(units), np.int64)
         while len(live):
-            u = _uniform(unit_seed[units[live]] + np.uint64(salt * 0x9E3779B97F4A7C15 & _MASK) + at[live].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-            col = lattice.choose(at[live], u)
-            out.append((live, at[live], col))
-            at[live] += col + 1
+            here = at[live]
+            u = _uniform(unit_seed[units[live]] + np.uint64(salt * 0x9E3779B97F4A7C15 & _MASK) + here.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+            col = lattice.choose(here, u)
+            steps.append((live, here, col))
+            taken[live] += 1
+            at[live] = here + col + 1
             live = live[at[live] < stop[live]]
-        if not out:
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        who, node, col = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort((node, who))
-        return units[who[order]], node[order], col[order]
+        # step s of a unit stands s places after its first
+        first = np.cumsum(taken) - taken
+        node_, col_ = np.empty(taken.sum(), np.int64), np.empty(taken.sum(), np.int64)
+        for s, (who, here, col) in enumerate(steps):
+            place = first[who] + s
+            node_[place], col_[place] = here, col
+        return np.repeat(units, taken), node_, col_
 
     def gumbel(doc: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
         return -np.log(-np.log(_uniform(splitmix(seeds[doc] ^ np.uint64(salt * 0xD1342543DE82EF95 & _MASK)) + place.astype(np.uint64))))
@@ -324,7 +332,8 @@ def sample(texts: list[str], seeds: np.ndarray, v: Vocabulary, k: int) -> list[l
         fu, fn = np.concatenate(fresh_units), np.concatenate(fresh_nodes)
         more = walk(fu, fn, 3 + turn)
         unit, node, col = (np.concatenate([*a, b]) for a, b in zip((new_unit, new_node, new_col), more))
-        order = np.lexsort((node, unit))
+        # what was kept of a unit comes before what is new in it
+        order = np.argsort(unit, kind="stable")
         unit, node, col = unit[order], node[order], col[order]
         value = np.where(np.isin(np.arange(n), alive), best, -np.inf)
 
