@@ -158,7 +158,12 @@ class Lattice:
             weight[at, m:] = 0
         self.chance = weight
         self.best = weight.argmax(axis=1)
-        self.best_chance = weight[np.arange(n), self.best]
+        line = np.arange(n)
+        self.best_chance = weight[line, self.best]
+        # what is left beside the likeliest piece, exact where it is far below the precision of one
+        weight[line, self.best] = 0
+        self.besides = weight.sum(axis=1)
+        weight[line, self.best] = self.best_chance
 
     def choose(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Column of a draw from each node's choices. The likeliest piece comes first on the unit line, the others after it."""
@@ -236,11 +241,11 @@ def sample(texts: list[str], seeds: np.ndarray, v: Vocabulary, k: int) -> list[l
     def gumbel(doc: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
         return -np.log(-np.log(_uniform(splitmix(seeds[doc] ^ np.uint64(salt * 0xD1342543DE82EF95 & _MASK)) + place.astype(np.uint64))))
 
-    def branches(logq: np.ndarray, doc: np.ndarray, cut: np.ndarray, blocked: np.ndarray, prefix: np.ndarray, bound: np.ndarray, salt: int, from_: np.ndarray) -> np.ndarray:
+    def branches(logq: np.ndarray, doc: np.ndarray, cut: np.ndarray, open_: np.ndarray, prefix: np.ndarray, bound: np.ndarray, salt: int, from_: np.ndarray) -> np.ndarray:
         """The greatest perturbed leaf beside each choice of a path from choice ``from_`` on; earlier choices have none."""
         place = np.arange(len(logq)) - cut[doc]
         with np.errstate(divide="ignore"):
-            mass = np.log(np.where(blocked < 1 - 1e-12, 1 - blocked, 0.0))
+            mass = np.log(open_)
         free = prefix + mass + gumbel(doc, place, salt)
         value = np.where(np.isfinite(mass), -np.logaddexp(-bound[doc], -free), -np.inf)
         return np.where(place >= from_[doc], value, -np.inf)
@@ -254,19 +259,18 @@ def sample(texts: list[str], seeds: np.ndarray, v: Vocabulary, k: int) -> list[l
     alive = np.flatnonzero(np.diff(bounds) > 0)
     value = np.full(n, -np.inf)
     value[alive] = gumbel(alive, np.zeros(len(alive)), 2)
-    from_, first_blocked = np.zeros(n, np.int64), None
+    from_, first_open = np.zeros(n, np.int64), None
     for turn in range(k):
         doc = doc_of_unit[unit]
         chance = lattice.chance[node, col]
         logq = np.log(chance)
         cut = np.searchsorted(doc, np.arange(n + 1))
-        blocked = chance.copy()
-        if first_blocked is not None:
+        open_ = np.where(col == lattice.best[node], lattice.besides[node], 1 - chance).astype(np.float64)
+        if first_open is not None:
             # at the changed choice the ones taken before stay closed
-            at = cut[:-1][alive] + from_[alive]
-            blocked[at] += first_blocked[alive]
-        bound = branches(logq, doc, cut, blocked, prefixes(logq, cut, doc), value, 10 + turn, from_)
-        paths.append({"unit": unit, "node": node, "col": col, "cut": cut, "bound": bound, "blocked": blocked})
+            open_[cut[:-1][alive] + from_[alive]] = first_open[alive]
+        bound = branches(logq, doc, cut, open_, prefixes(logq, cut, doc), value, 10 + turn, from_)
+        paths.append({"unit": unit, "node": node, "col": col, "cut": cut, "bound": bound})
         logp = np.bincount(doc, weights=logq, minlength=n)
         for d in alive:
             answers[d].append((turn, float(logp[d])))
@@ -297,7 +301,7 @@ def sample(texts: list[str], seeds: np.ndarray, v: Vocabulary, k: int) -> list[l
                 where[d] = place[i]
         # the changed choice: a draw among those not taken there before
         new_unit, new_node, new_col, fresh_units, fresh_nodes = [], [], [], [], []
-        first_blocked = np.zeros(n)
+        first_open = np.zeros(n)
         from_ = np.zeros(n, np.int64)
         for t, p in enumerate(paths):
             mine = alive[owner[alive] == t]
@@ -305,7 +309,7 @@ def sample(texts: list[str], seeds: np.ndarray, v: Vocabulary, k: int) -> list[l
                 continue
             w = where[mine]
             here = p["node"][w]
-            open_ = lattice.chance[here].copy()
+            open_ = lattice.chance[here].astype(np.float64)
             for other in paths:
                 # every path that passes this node with the same choices before it has taken its own choice
                 self_same = _same_prefix(p, w, other, mine)
@@ -315,7 +319,8 @@ def sample(texts: list[str], seeds: np.ndarray, v: Vocabulary, k: int) -> list[l
             u = _uniform(splitmix(seeds[mine] + np.uint64(turn + 77)) + w.astype(np.uint64) - p["cut"][mine].astype(np.uint64)) * total
             c = (np.cumsum(open_, axis=1) < u[:, None]).sum(axis=1)
             c = np.where(open_[np.arange(len(mine)), np.minimum(c, open_.shape[1] - 1)] > 0, np.minimum(c, open_.shape[1] - 1), open_.argmax(axis=1))
-            first_blocked[mine] = p["blocked"][w]
+            open_[np.arange(len(mine)), c] = 0
+            first_open[mine] = open_.sum(axis=1)
             from_[mine] = w - p["cut"][mine]
             p["bound"][w] = -np.inf
             size = w - p["cut"][mine]
