@@ -223,8 +223,8 @@ def sample(texts: list[str], seeds: np.ndarray, v: Vocabulary, k: int) -> list[l
         at, stop = nodes.copy(), lattice.end[unit_node[units]]
         live, steps, taken = np.flatnonzero(at < stop), [], np.zeros(len(units), np.int64)
         while len(live):
-            here = at[live]
-            u = _uniform(unit_seed[units[live]] + np.uint64(salt * 0x9E3779B97F4A7C15 & _MASK) + here.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+            here, who = at[live], units[live]
+            u = _uniform(unit_seed[who] + np.uint64(salt * 0x9E3779B97F4A7C15 & _MASK) + (here - unit_node[who]).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
             col = lattice.choose(here, u)
             steps.append((live, here, col))
             taken[live] += 1
