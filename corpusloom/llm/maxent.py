@@ -115,12 +115,27 @@ def feature_rows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     )
 
 
+def _raised(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n x CLASSES scores less their row's greatest, their exponentials, and the sums of these."""
+    z = weights.take(rows[:, 0], axis=0)
+    z += weights.take(rows[:, 1], axis=0)
+    z += weights.take(rows[:, 2], axis=0)
+    z += weights[0]
+    z -= z.max(axis=1, keepdims=True)
+    e = np.exp(z)
+    return z, e, e.sum(axis=1)
+
+
 def class_scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """n x CLASSES log-probabilities (natural)."""
-    z = weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + weights[0]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    z, _, total = _raised(weights, rows)
+    return z - np.log(total)[:, None]
+
+
+def gold_scores(weights: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    """The log-probability (natural) of one class in each row."""
+    z, _, total = _raised(weights, rows)
+    return z[np.arange(len(gold)), gold] - np.log(total)
 
 
 # ---------------------------------------------------------------- corpus statistics
@@ -274,13 +289,14 @@ def learn_round(texts: DataFrame, lexicon: Lexicon, classes: np.ndarray, weights
             rows, gold = feature_rows(*histories(ty, bounds)), kind[ty]
             for a in range(0, len(gold), STEP):
                 r, y = rows[a : a + STEP], gold[a : a + STEP]
-                g = np.exp(class_scores(w, r))
+                _, g, total = _raised(w, r)
+                g /= total[:, None]
                 g[np.arange(len(y)), y] -= 1
-                flat = np.concatenate([r.ravel(order="F"), np.zeros(0, np.int64)])
+                flat = r.ravel(order="F")
                 order = np.argsort(flat, kind="stable")
                 sorted_rows = flat[order]
                 cut = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                step = np.add.reduceat(g[order % len(y)], cut, axis=0)
+                step = np.add.reduceat(g.take(order % len(y), axis=0), cut, axis=0)
                 at = sorted_rows[cut]
                 power[at] += (step * step).mean(axis=1)
                 w[at] -= rate * step / np.sqrt(power[at])[:, None]
@@ -353,9 +369,9 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, keep: list[str]
             cls = m.classes[ty]
             one, two = histories(ty, bounds)
             mass = np.empty(len(h))
-            for a in range(0, len(h), 1 << 15):
-                s = slice(a, a + (1 << 15))
-                mass[s] = class_scores(m.weights, feature_rows(one[s], two[s]))[np.arange(len(cls[s])), cls[s]]
+            for a in range(0, len(h), STEP):
+                s = slice(a, a + STEP)
+                mass[s] = gold_scores(m.weights, feature_rows(one[s], two[s]), cls[s])
             mass = mass / np.log(10) - room[cls]
             head = at >= 0
             c = lex.counts[at[head]]
