@@ -95,7 +95,7 @@ def any_choice(c: Column) -> Column:
 
 def field_choice(c: Column) -> Column:
     """The first field between semicolons that is exactly A to D, case kept; null if none."""
-    fields = F.transform(F.split(text_of(c), ";"), F.trim)
+    fields = F.transform(F.split(text_of(c), ";"), lambda x: F.trim(x))
     return F.try_element_at(F.filter(fields, lambda x: x.isin("A", "B", "C", "D")), F.lit(1))
 
 
@@ -122,7 +122,7 @@ def estimated_tokens(c: Column) -> Column:
 
 def dialogue_ratio(c: Column) -> Column:
     """Twice the share of short upper-case lines among lines that aren't blank, at most 1."""
-    lines = F.filter(F.transform(F.split(text_of(c), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text_of(c), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     loud = F.filter(lines, lambda x: (F.length(x) < 40) & (F.upper(x) == x) & (F.lower(x) != x))
     return F.when(F.size(lines) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 2.0 * F.size(loud) / F.size(lines)))
 

@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -17,7 +18,7 @@ from ..functions import text as X
 ENTITY_TYPES = ("person", "organization", "location", "concept", "method", "object", "event", "other")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_id(names: pd.Series) -> pd.Series:
     """ASCII slug after compatibility decomposition; a name without any ASCII letter or digit gets a digest of itself."""
 
@@ -62,7 +63,7 @@ def token_pairs(names: DataFrame, group: str, name: str = "name", least: float =
     return met.withColumn("jaccard", X.jaccard(F.col("_a"), F.col("_b"))).where(F.col("jaccard") >= least).select(group, "left_name", "right_name", "jaccard")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def spelling_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of two names."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
