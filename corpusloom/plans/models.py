@@ -37,7 +37,7 @@ class StubModel:
         return [self._one(p) for p in prompts]
 
     def _one(self, prompt: str) -> str:
-        if "Answer:" in prompt:
+        if re.search(r"\nAnswer:?\s*$", prompt):
             return f";{'ABCD'[hashlib.sha256(prompt.encode()).digest()[0] % 4]};"
         target = prompt.rsplit("TARGET:", 1)[-1]
         names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{2,}\b", target)))[:5]
