@@ -174,12 +174,17 @@ def main_text(page: Page, weights: Weights) -> str:
     Where the author marked the main text once, only tokens inside it can be in the run.
     """
     marked = page.marked == 1
-    scores = np.array(
-        [
-            -8.0 if (marked and not inside and text is not None) else (-4.0 * len(text.split()) if skip and text is not None and not marked else 0.0 if skip and text is not None else weights.score(kind, -1 if text is None else len(text.split())))
-            for kind, text, skip, inside in zip(page.kinds, page.texts, page.skip, page.inside)
-        ]
-    )
+    scores = np.empty(len(page.kinds))
+    for i, (kind, text, skip, inside) in enumerate(zip(page.kinds, page.texts, page.skip, page.inside)):
+        n = -1 if text is None else len(text.split())
+        if n < 0:
+            score = weights.score(kind, n)
+            # within the author's mark, tags that stand in menus elsewhere (links, lists) cost little
+            scores[i] = max(score, -0.25) if marked and inside else score
+        elif marked:
+            scores[i] = -8.0 if not inside else 0.0 if skip else max(weights.score(kind, n), 0.25 * n)
+        else:
+            scores[i] = -4.0 * n if skip else weights.score(kind, n)
     start, end = best_run(scores)
     blocks, now = [], []
     for i in range(start, end):
