@@ -179,10 +179,10 @@ def main_text(page: Page, weights: Weights) -> str:
         n = -1 if text is None else len(text.split())
         if n < 0:
             score = weights.score(kind, n)
-            # within the author's mark, tags that stand in menus elsewhere (links, lists) cost little
-            scores[i] = max(score, -0.25) if marked and inside else score
+            # within the author's mark, tags that stand in menus elsewhere (links, lists) cost next to nothing
+            scores[i] = max(score, -0.01) if marked and inside else score
         elif marked:
-            scores[i] = -8.0 if not inside else 0.0 if skip else max(weights.score(kind, n), 0.25 * n)
+            scores[i] = -8.0 if not inside else 0.0 if skip else max(weights.score(kind, n), 0.5 * n)
         else:
             scores[i] = -4.0 * n if skip else weights.score(kind, n)
     start, end = best_run(scores)
