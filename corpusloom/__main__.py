@@ -29,8 +29,6 @@ def main(argv: list[str] | None = None) -> int:
         v.add_argument("--limit", type=int)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("corpusloom").getOrCreate()
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{a.output}.checkpoint"))
     model: models.Model = models.StubModel() if a.model == "stub" else models.EndpointModel(a.model, tuple(a.url), a.key_variable)
     if a.verb == "extract":
         rows = documents.selected(documents.read_documents(spark, a.input, a.text_column), a.offset, a.limit)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.lineage import cut
 
 #: fixed values: the closed vocabulary of entity types
 ENTITY_TYPES = ("person", "organization", "location", "concept", "method", "object", "event", "other")
@@ -94,7 +95,7 @@ def resolved(aliases: DataFrame, most: int = 20, source: str = "alias", target:
     now = aliases.groupBy(source).agg(F.max(target).alias(target)).where(F.col(source) != F.col(target))
     for _ in range(most):
         after = now.select(F.col(source).alias("_s"), F.col(target).alias("_t"))
-        new = now.join(after, F.col(target) == F.col("_s"), "left").select(source, F.when(F.col("_t") == F.col(source), F.least(source, target)).otherwise(F.coalesce("_t", target)).alias(target)).checkpoint()
+        new = cut(now.join(after, F.col(target) == F.col("_s"), "left").select(source, F.when(F.col("_t") == F.col(source), F.least(source, target)).otherwise(F.coalesce("_t", target)).alias(target)))
         if not new.exceptAll(now).limit(1).count():
             return new
         now = new

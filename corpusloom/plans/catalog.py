@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunking, entities, evaluation, overlap, scenes
+from ..operators import checks, chunking, entities, evaluation, overlap, sampling, scenes
+from . import extraction, models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -488,3 +489,51 @@ def prompt_builder(spark, sf_dir):
 def ku_context_json(spark, sf_dir):
     units = F.array_sort(F.collect_list(F.struct("turn", "role", F.lit(None).cast("string").alias("target_id"))))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(units, {"ignoreNullFields": "false"}).alias("context"))
+
+
+# ---------------------------------------------------------------- models, samples and checks
+@query()
+def extract_units(spark, sf_dir):
+    units = extraction.extract(table(spark, sf_dir, "documents"), models.StubModel(), extraction.Config(chunk_words=500, context_words=100))
+    return units.select("doc_id", "chunk_index", F.to_json("unit").alias("unit"), "sha256", F.size("sentence_minhash").alias("permutations"), "error")
+
+
+@query()
+def canonical_entities(spark, sf_dir):
+    units = extraction.extract(table(spark, sf_dir, "documents"), models.StubModel(), extraction.Config(chunk_words=500, context_words=0))
+    return extraction.canonical(units)
+
+
+@query()
+def judge_answers(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    q = c.select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").alias("question_index"), F.lit("original").alias("condition"), F.col("role").alias("question"), F.col("text").alias("context"), F.lit("A").alias("gold"))
+    return evaluation.summary(extraction.judged(q, models.StubModel()))
+
+
+@query()
+def stratified_scenes(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("scene_id"), F.col("conv_id").alias("scene_index"), F.size(X.words(F.col("text"))).alias("word_count"))
+    return sampling.strata(c, 30)
+
+
+@query()
+def shuffled_options(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.slice(X.words(F.col("text")), 1, 4).alias("options"), F.lit(0).alias("correct_index")).where("size(options) = 4")
+    return sampling.shuffled_options(q, 3).select("question_id", "sample", F.array_join("shown", "|").alias("shown"), "correct_position")
+
+
+@query("SELECT 'C1' AS check_id, CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status, CAST(n AS DOUBLE) AS n_violations FROM (SELECT count(*) AS n FROM (SELECT doc_id, count(*) AS k FROM labels GROUP BY doc_id) l FULL JOIN documents d USING (doc_id) WHERE k IS NULL OR k > 1 OR d.text IS NULL)")
+def coverage_check(spark, sf_dir):
+    units = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("scene_id"))
+    expected = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("scene_id"))
+    r = checks.coverage(units, expected)
+    return r.select("check_id", "status", F.col("detail")["n_violations"].alias("n_violations"))
+
+
+@query(RUNS + "SELECT 'C2' AS check_id, CASE WHEN count(*) FILTER (r >= 8) > 0 THEN 'fail' WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END AS status, CAST(coalesce(max(r), 0) AS DOUBLE) AS longest, CAST(count(*) FILTER (r >= 8) AS DOUBLE) AS n_violations FROM (SELECT item_id, least(max(run), 25) AS r FROM runs GROUP BY item_id)")
+def verbatim_check(spark, sf_dir):
+    fields = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), "text")
+    source = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("scene_id"), "text")
+    r = checks.verbatim(fields, source, adjudicate=False)
+    return r.select("check_id", "status", F.col("detail")["longest"].alias("longest"), F.col("detail")["n_violations"].alias("n_violations"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.lineage import cut
 from ..operators import chunking, entities, overlap
 from . import models, parsing
 
@@ -43,13 +44,13 @@ def prompts(documents: DataFrame, c: Config) -> DataFrame:
 
 def generated(rows: DataFrame, model: models.Model, c: Config) -> DataFrame:
     """Units of prompts: what doesn't parse is asked again with a larger budget, at last recovered from its complete parts."""
-    asked = models.answer(rows, model, max_tokens=c.max_tokens).withColumn("unit", parsing.parsed("response")).checkpoint()
+    asked = cut(models.answer(rows, model, max_tokens=c.max_tokens).withColumn("unit", parsing.parsed("response")))
     done = asked.where("unit.error IS NULL")
     for i in range(c.parse_retries):
         failed = asked.where("unit.error IS NOT NULL").select(*rows.columns)
         again = failed.withColumn("prompt", F.concat(F.lit(COMPACT + "\n"), "prompt") if i + 1 == c.parse_retries else F.col("prompt"))
         parse = parsing.parsed_or_recovered if i + 1 == c.parse_retries else parsing.parsed
-        asked = models.answer(again, model, max_tokens=min(2 * c.max_tokens, 8192)).withColumn("unit", parse("response")).checkpoint()
+        asked = cut(models.answer(again, model, max_tokens=min(2 * c.max_tokens, 8192)).withColumn("unit", parse("response")))
         done = done.unionByName(asked.where("unit.error IS NULL"))
     return done.unionByName(asked.where("unit.error IS NOT NULL"))
 
@@ -106,12 +107,12 @@ def judged(questions: DataFrame, model: models.Model, rounds: int = 4) -> DataFr
     text = X.sanitized(F.format_string("Context: %s\nQuestion: %s\nAnswer:", F.coalesce("context", F.lit("")), "question"))
     base = questions.withColumn("prompt", text)
     keys = ["document_id", "question_index", "condition", "gold"]
-    got = models.answer(base, model).withColumn("pred", X.field_choice(F.col("response"))).checkpoint()
+    got = cut(models.answer(base, model).withColumn("pred", X.field_choice(F.col("response"))))
     done = got.where("pred IS NOT NULL").select(*keys, "pred")
     for i in range(rounds):
         open_ = got.where("pred IS NULL").select(*base.columns)
         if not open_.limit(1).count():
             return done
-        got = models.answer(open_.withColumn("prompt", F.concat("prompt", F.lit(" " * (i + 1)))), model).withColumn("pred", X.field_choice(F.col("response"))).checkpoint()
+        got = cut(models.answer(open_.withColumn("prompt", F.concat("prompt", F.lit(" " * (i + 1)))), model).withColumn("pred", X.field_choice(F.col("response"))))
         done = done.unionByName(got.where("pred IS NOT NULL").select(*keys, "pred"))
     return done.unionByName(got.where("pred IS NULL").select(*keys, "pred"))
