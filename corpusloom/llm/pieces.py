@@ -120,7 +120,7 @@ class Lattice:
         sizes = np.diff(np.append(starts, n))
         end = np.repeat(starts + sizes, sizes)
         left = end - np.arange(n)
-        self.end, self.v, self.points = end, v, points
+        self.end, self.v, self.points = end.astype(np.int32), v, points.astype(np.int32)
         value = splitmix(points.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * _powers(_BASE, n)[:n])])
         back = _powers(pow(_BASE, -1, 1 << 64), n)
@@ -406,7 +406,7 @@ def segmentations(documents: DataFrame, path: str = DEFAULT_MODEL, k: int = 2, k
 
     def run(source):
         v = vocabulary(path)
-        for batch in batches(source, 5 << 19):
+        for batch in batches(source, 3 << 19):
             texts = batch.column("text").to_pylist()
             found = sample(texts, np.asarray(batch.column("_seed")).view(np.uint64), v, k)
             rows = [(i, r, *s) for i, made in enumerate(found) for r, s in enumerate(made)]
