@@ -216,17 +216,20 @@ def _stars(shared: DataFrame) -> DataFrame:
     return best.select(F.col("node").alias("a"), (-F.col("m.h")).alias("b"))
 
 
-def _across(shared: DataFrame, labels: DataFrame, signed: DataFrame, p: Dart) -> DataFrame:
+def _across(shared: DataFrame, labels: DataFrame, stars: DataFrame, signed: DataFrame, p: Dart) -> DataFrame:
     """(key, x, y, node, label, partners): texts of buckets that hold several components, with the texts to compare them with.
 
     A bucket of m texts is cut into ceil(m / block) blocks, and each pair of blocks is one bounded group. Partners are of
     another component and agree in signature within five standard deviations of the threshold. A pair belongs to the
     first bucket that both texts share and to the text whose component has fewer texts in the group; the other text is
-    a row too. Rows are at most the texts of each group, however many pairs they make.
+    a row too. Rows are at most the texts of each group, however many pairs they make. A bucket of two texts is left out
+    only where they are a pair of ``stars``, which is checked already.
     """
     known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     known = materialize(known, "bucket-labels")
-    split = known.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m")).where("_lo <> _hi AND _m > 2").select("key", "_m")
+    split = known.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m"), F.max("node").alias("_a"), F.min("node").alias("_b")).where("_lo <> _hi")
+    # a hub is the least of its bucket, so the star pair of a bucket of two runs from its greater text to its lesser
+    split = split.join(stars, (F.col("_m") == 2) & (F.col("_a") == stars["a"]) & (F.col("_b") == stars["b"]), "left_anti").select("key", "_m")
     open_rows = known.join(split, "key").withColumn("_blocks", F.ceil(F.col("_m") / p.block).cast("int")).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     signatures = signed.select("node", "keys", "signature").join(open_rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     placed = open_rows.join(signatures, "node").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -316,7 +319,7 @@ def near_duplicates(documents: DataFrame, p: Dart = Dart()) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     links = materialize(verify(pairs, cell_sets(documents, nodes, p), p.similarity), "links")
     labels = components(links)
-    asked = materialize(_across(shared, labels, signed, p), "asked")
+    asked = materialize(_across(shared, labels, pairs, signed, p), "asked")
     if asked.limit(1).count():
         more = materialize(_links_across(asked, cell_sets(documents, asked.select("node").distinct(), p), p.similarity), "links")
         labels = components(links.unionByName(more))

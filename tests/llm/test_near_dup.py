@@ -95,6 +95,18 @@ def test_blocks_cover_a_large_bucket(spark):
     assert {r.doc_id: r.class_id for r in got} == {k: want[i] for i, (k, _) in enumerate(rows)}
 
 
+def test_chains_whose_links_run_past_the_best_hub(spark):
+    rows = []
+    for i in range(60):
+        middle = prose(200, 500 + i)
+        # most buckets are shared with the nearer end, or with a text that is too far to link
+        near, far, other = near_copies(middle, 1, 2, i), near_copies(middle, 1, 4, 100 + i), near_copies(middle, 1, 5, 200 + i)
+        rows += [(10 * i + j, t) for j, t in enumerate([near[0], middle, far[0]] if i % 2 else [other[0], middle, far[0]])]
+    want = classes(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {k: want[i] for i, (k, _) in enumerate(rows)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(500, 501), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
