@@ -100,8 +100,9 @@ class Scanner:
         self.keys: dict[str, set[str]] = {}
         for name, t in self.templates.items():
             distinct = sorted(set(t), key=lambda w: (w in COMMON, spread[w], -len(w), w))
-            # however the missing share falls, one of these is left
-            self.keys[name] = set(distinct[: int((1 - coverage) * len(t)) + 1])
+            # however the missing words fall, one of these is left; what is needed is told by the comparison that scan makes
+            needed = next((n for n in range(len(t)) if n / len(t) >= coverage), len(t))
+            self.keys[name] = set(distinct[: len(t) - needed + 1])
         self.wanted = set().union(*self.keys.values())
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
