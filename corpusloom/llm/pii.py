@@ -2,8 +2,8 @@
 
 The tagger learns from labelled spans: generated sentences with addresses, numbers and look-alikes (keys, versions,
 dates, prices), the same at every size of the corpus, and any that the caller adds. It reads windows around the
-characters without which none of its kinds occurs (digits, the at sign, and its spelt forms); windows that overlap are
-settled by one decoding over their union. A span of the tagger stays if it has the digits or parts of its kind and
+characters without which none of its kinds occurs (digits, the at sign, and its spelt forms) and around the whole address
+at such a sign; windows that overlap are settled by one decoding over their union. An address is widened to its ends. A span of the tagger stays if it has the digits or parts of its kind and
 overlaps no span of the patterns.
 """
 
@@ -34,6 +34,10 @@ NOT_DIGIT = re.compile(r"[^0-9]")
 TRIGGER = re.compile(r"[0-9@]|[\[({] ?at ?[\])}]", re.I)
 NATIVE_TRIGGER = r"(?i)[0-9@]|[\[({] ?at ?[\])}]"
 REACH = 24
+# an address around its sign: what the local part holds, and how the domain goes on
+SIGN = re.compile(r"@| ?[\[({] ?at ?[\])}] ?", re.I)
+NAME = re.compile(r"[\w.%+-]")
+HOST = re.compile(r"[\w-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[\w-]+)*", re.I)
 
 Span = tuple[str, int, int]
 
@@ -168,12 +172,25 @@ def trained(sentences: int = 5000, epochs: int = 7, extra: tuple = ()) -> Tagger
 
 
 # ---------------------------------------------------------------- spans of the tagger
+def _around(text: str, a: int, b: int) -> tuple[int, int]:
+    """How far an address reaches around its sign at (a, b); no two signs share a part of a side, so the time is linear."""
+    while a > 0 and NAME.match(text, a - 1):
+        a -= 1
+    host = HOST.match(text, b)
+    return a, host.end() if host else b
+
+
 def regions_of(text: str) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
+    around = []
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        a, b = m.span()
+        if not "0" <= m[0] <= "9":
+            a, b = _around(text, *SIGN.match(text, a - (m[0] != "@" and text[a - 1 : a] == " ")).span())
+        around.append((max(0, a - REACH), min(len(text), b + REACH)))
+    out: list[list[int]] = []
+    for a, b in sorted(around):
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -193,6 +210,12 @@ def _settled(text: str, kind: str, a: int, b: int) -> Span | None:
             b += 1
         if a and text[a].isalnum() and text[a - 1].isalnum() or b < len(text) and text[b].isalnum():
             return None
+    elif sign := SIGN.search(text, a, b):
+        a, b = _around(text, *sign.span())
+        while a < b and not text[a].isalnum():
+            a += 1
+        while b > a and not text[b - 1].isalnum():
+            b -= 1
     part = text[a:b]
     digits = NOT_DIGIT.sub("", part)
     fits = {

@@ -62,3 +62,17 @@ def test_find_and_redact(spark, odd, none_at_all, tagger):
     assert clean[1] == "write to [EMAIL] or [PHONE] now" and clean[2] == rows[1][1] and clean[3] is None
     assert pii.redact(odd, tagger).columns == odd.columns and pii.redact(odd, tagger).count() == odd.count()
     assert pii.find(none_at_all, tagger).count() == 0
+
+
+def test_whole_addresses_are_read_and_widened():
+    r = random.Random(3)
+    forms = ["joe [at] abcde [dot] example [dot] com", "mail3@mail3 [dot] abcdefg [dot] example [dot] com", "a" * 40 + "1b@host.example.com", "ann (at) mail1 (dot) abcdefg (dot) co (dot) uk"]
+    forms += [t[a:b] for t, spans in pii.generated(400, seed=21) for kind, a, b in spans if kind == "email"]
+    for form in forms:
+        text = "w" * 30 + " " + form + " " + "v" * 30
+        a, b = 31, 31 + len(form)
+        assert any(lo <= a and b <= hi for lo, hi in pii.regions_of(text)), form
+        sign = pii.SIGN.search(form)
+        for cut in (len(form), r.randint(sign.end() + 1, len(form))):
+            assert pii._settled(text, "email", 31 + sign.start() - 1, 31 + cut) == ("email", a, b), form
+    assert pii.regions_of("x @ y") == [(0, 5)] and pii.regions_of(" @") == [(0, 2)] and pii.regions_of("@") == [(0, 1)]
