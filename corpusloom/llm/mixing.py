@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule over shuffled blocks of equal token counts.
 
-Slot t of the schedule is the golden-ratio point frac(t * phi) mapped through the cumulative targets of the sources.
+Slot t of the schedule is the golden-ratio point frac(t * phi) mapped through the cumulative shares of the sources.
 The slots of a source are ranked; rank r takes block r modulo the source's number of blocks, so a source is passed
 through in order, and again where its target exceeds its size. A source's blocks cut the sequence of its words, with
-the documents in hashed order, every ``block`` words; a long document spans blocks. Ranks and word positions come from
+the documents in hashed order, into equal parts of at most ``block`` words and at most 1 / CUTS of the source, and a
+source has slots by its target over the words of its blocks; a long document spans blocks. Ranks and word positions come from
 counts in small buckets and their prefix sums, so that no task holds all rows of a source.
 """
 
@@ -17,6 +18,7 @@ from .common import discard, materialize
 WORD_GAPS = "[\\x20\\x09-\\x0D]+"
 REPEAT = 3
 LARGEST_BLOCK = 4096
+CUTS = 256
 GOLDEN = 11400714819323198485  # 2**64 / golden ratio, odd
 LOW32 = 0xFFFFFFFF
 
@@ -88,7 +90,10 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
         targets = materialize(source_targets(sized), "mix-targets")
         head = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("n")).first()
         rows = sized.count()
-        block, words = block_words(head.words), head.words
+        # equal cuts, so that every block of a source holds as many words, to one
+        size = F.col("source_size")
+        most = F.least(F.lit(block_words(head.words)), F.greatest(F.lit(1), F.floor(size / CUTS))).cast("long")
+        cut = materialize(targets.where("source_size > 0").withColumn("_blocks", F.ceil(size / most).cast("long")), "mix-cuts")
         buckets = max(64, rows // 256)
 
         # where each document stands among the words of its source
@@ -103,11 +108,14 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
         )
 
         # the schedule: how often each block of a source is taken
-        times = _schedule(spark, targets, words, block)
-        first, last = F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("size") - 1) / block)
-        spans = placed.where("size > 0").select("doc_id", "source", "size", "_from", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("_block"))
-        at = F.col("_block") * block
-        spans = spans.withColumn("_part", F.least(F.col("_from") + F.col("size"), at + block) - F.greatest(F.col("_from"), at))
+        times = _schedule(spark, cut)
+        few = cut.select(F.col("source").alias("_cs"), F.col("source_size").alias("_all"), "_blocks")
+        full = placed.where("size > 0").join(F.broadcast(few) if head.n <= 10_000 else few, F.col("source").eqNullSafe(F.col("_cs")))
+        # block i of n holds the words from i * all / n on, rounded down; in whole numbers, since products pass 2**53
+        first, last = F.expr("((_from + 1) * _blocks - 1) div _all"), F.expr("((_from + size) * _blocks - 1) div _all")
+        spans = full.select("doc_id", "source", "size", "_from", "_all", "_blocks", F.explode(F.sequence(first, last)).alias("_block"))
+        at, to = F.expr("(_block * _all) div _blocks"), F.expr("((_block + 1) * _all) div _blocks")
+        spans = spans.withColumn("_part", F.least(F.col("_from") + F.col("size"), to) - F.greatest(F.col("_from"), at))
         taken = (
             spans.join(times, F.col("source").eqNullSafe(F.col("_ts")) & (F.col("_block") == F.col("_tb")), "left")
             .groupBy("doc_id", "source", "size", "_from")
@@ -142,23 +150,24 @@ def _prefix(sums: DataFrame, value: str, buckets: int) -> DataFrame:
     )
 
 
-def _schedule(spark, targets: DataFrame, words: int, block: int) -> DataFrame:
+def _schedule(spark, cut: DataFrame) -> DataFrame:
     """(_ts, _tb, _times): the source's block and how many slots fell to it."""
-    slots = words // block
+    wanted = cut.where("target > 0").withColumn("_slots", F.col("target") * F.col("_blocks") / F.col("source_size"))
+    slots = round(wanted.agg(F.coalesce(F.sum("_slots"), F.lit(0.0))).first()[0])
     # cumulative shares: the sources are few beside the slots, and each slot finds its source by a range of the unit line
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    shares = targets.where("target > 0").select(
+    shares = wanted.select(
         "source",
-        F.ceil(F.col("source_size") / block).cast("long").alias("_blocks"),
-        F.sum("target").over(order).alias("_to"),
-        F.sum("target").over(Window.partitionBy(F.lit(0))).alias("_all"),
-        "target",
+        "_blocks",
+        F.sum("_slots").over(order).alias("_to"),
+        F.sum("_slots").over(Window.partitionBy(F.lit(0))).alias("_all"),
+        "_slots",
     )
-    line = shares.select("source", "_blocks", ((F.col("_to") - F.col("target")) / F.col("_all")).alias("_lo"), (F.col("_to") / F.col("_all")).alias("_hi"))
+    line = shares.select("source", "_blocks", ((F.col("_to") - F.col("_slots")) / F.col("_all")).alias("_lo"), (F.col("_to") / F.col("_all")).alias("_hi"))
     cells = 4096
-    cut = line.select("*", F.explode(F.sequence(F.floor(F.col("_lo") * cells).cast("long"), F.least(F.floor(F.col("_hi") * cells), F.lit(cells - 1)).cast("long"))).alias("_cell"))
+    ranges = line.select("*", F.explode(F.sequence(F.floor(F.col("_lo") * cells).cast("long"), F.least(F.floor(F.col("_hi") * cells), F.lit(cells - 1)).cast("long"))).alias("_cell"))
     points = spark.range(slots).withColumn("_u", _point(F.col("id"))).withColumn("_cell", F.floor(F.col("_u") * cells).cast("long"))
-    dealt = points.join(cut, "_cell").where("_u >= _lo AND _u < _hi").select("id", "source", "_blocks")
+    dealt = points.join(ranges, "_cell").where("_u >= _lo AND _u < _hi").select("id", "source", "_blocks")
     # rank per source: counts per run of slots, their prefix sums, and the place within the run
     run = dealt.withColumn("_b", F.floor(F.col("id") / 1024).cast("long"))
     counts = run.groupBy("source", "_b").agg(F.count(F.lit(1)).alias("_n"))

@@ -59,6 +59,16 @@ def test_takes_near_targets(spark, odd, none_at_all):
     assert mixing.mix(odd.where("doc_id IN (100, 101)")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_small_sources_beside_a_large_total(spark, monkeypatch):
+    # the block of a 30 GB corpus
+    monkeypatch.setattr(mixing, "block_words", lambda total: mixing.LARGEST_BLOCK)
+    rows = [(i, prose(100, i), "small") for i in range(10)] + [(100 + i, prose(100, i), "some") for i in range(50)] + [(1000 + i, prose(20_000, i), "vast") for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    by = {r.source: r for r in got.groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t")).collect()}
+    assert (by["small"].t, by["some"].t) == (3000, 15000)
+    assert all(abs(r.k - r.t) <= 0.02 * r.t for r in by.values()), by
+
+
 def test_stage(spark, odd, none_at_all):
     out = mixing.mixed(odd)
     assert out.columns == odd.columns
