@@ -42,7 +42,7 @@ BLANK = re.compile(r"\s+")
 
 @dataclass
 class Page:
-    """Per token: its kind, the text of a run of words (None for a tag), whether the text leaves it out, and how many marked elements hold it."""
+    """Per token: its kind, the text of a run of words (None for a tag), whether a skipped block holds it, and how many marked elements hold it."""
 
     kinds: list[str] = field(default_factory=list)
     texts: list[str | None] = field(default_factory=list)
@@ -77,7 +77,7 @@ def parse(source: str) -> Page:
         closing = bool(found[1])
         page.kinds.append(("/" if closing else "") + name)
         page.texts.append(None)
-        page.skip.append(False)
+        page.skip.append(boiler > 0)
         page.inside.append(main)
         if closing:
             while names.get(name):
@@ -104,6 +104,7 @@ def parse(source: str) -> Page:
             stack.append((name, u, b, m))
             names[name] += 1
             unseen, boiler, main = unseen + u, boiler + b, main + m
+            page.skip[-1] = boiler > 0
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
                 at = end.start() if end else len(source)
@@ -132,7 +133,7 @@ def tally(page: Page) -> Counter:
     out: Counter = Counter()
     if page.marked == 1:
         for kind, text, skip, inside in zip(page.kinds, page.texts, page.skip, page.inside):
-            out[kind, bool(inside) and not skip] += 1 if text is None else len(text.split())
+            out[kind, bool(inside) and (text is None or not skip)] += 1 if text is None else len(text.split())
     return out
 
 
@@ -177,14 +178,17 @@ def main_text(page: Page, weights: Weights) -> str:
     scores = np.empty(len(page.kinds))
     for i, (kind, text, skip, inside) in enumerate(zip(page.kinds, page.texts, page.skip, page.inside)):
         n = -1 if text is None else len(text.split())
-        if n < 0:
+        if skip and not marked:
+            # left out of the text in any case, so a skipped block must not cut an article in two
+            scores[i] = 0.0
+        elif n < 0:
             score = weights.score(kind, n)
             # within the author's mark, tags that stand in menus elsewhere (links, lists) cost next to nothing
             scores[i] = max(score, -0.01) if marked and inside else score
         elif marked:
             scores[i] = -8.0 if not inside else 0.0 if skip else max(weights.score(kind, n), 0.5 * n)
         else:
-            scores[i] = -4.0 * n if skip else weights.score(kind, n)
+            scores[i] = weights.score(kind, n)
     start, end = best_run(scores)
     blocks, now = [], []
     for i in range(start, end):
