@@ -82,12 +82,13 @@ def with_next(documents: DataFrame, columns: list[str], key: str = "doc_id") ->
     # a key's range without a search through all of them: ranges are listed under the stretch of keys that they touch
     if edges:
         low, width = edges[0], max(1, (edges[-1] - edges[0]) // len(edges) + 1)
-        slot = F.greatest(F.lit(-1), F.least(F.lit(len(edges)), F.floor((F.col("_k") - low) / width))).cast("int")
+        # greatest and least skip nulls, so a null key is told apart before them: it is listed with the lowest keys
+        slot = F.when(F.col("_k").isNull(), -1).otherwise(F.greatest(F.lit(-1), F.least(F.lit(len(edges)), F.floor((F.col("_k") - low) / width)))).cast("int")
         of = lambda x: max(-1, min(len(edges), (x - low) // width))
         listed = [(s, i, lo, hi) for i, (lo, hi) in enumerate(zip([None, *edges], [*edges, None])) for s in range(-1 if lo is None else of(lo), (len(edges) if hi is None else of(hi)) + 1)]
         ranges = spark.createDataFrame(listed, "_slot int, _g int, _lo long, _hi long")
         inside = (F.col("_lo").isNull() | (F.col("_k") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_k") <= F.col("_hi")))
-        row = row.withColumn("_slot", F.coalesce(slot, F.lit(-1)))
+        row = row.withColumn("_slot", slot)
         ranged = row.join(F.broadcast(ranges), "_slot").where(F.when(F.col("_k").isNull(), F.col("_g") == 0).otherwise(inside)).drop("_slot", "_lo", "_hi")
     else:
         ranged = row.withColumn("_g", F.lit(0))
