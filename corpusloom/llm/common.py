@@ -147,7 +147,7 @@ def words_of(column: pa.Array, separator: np.ndarray = SPACE) -> tuple[np.ndarra
     return hash_spans(text, starts, ends), np.searchsorted(starts, offsets, side="left").astype(np.int64)
 
 
-def batches(source, limit: int = 1 << 23):
+def batches(source, limit: int = 1 << 21):
     """Record batches cut so that the strings of each come to about ``limit`` bytes; one long text is a batch of its own."""
     for batch in source:
         if batch.nbytes <= limit or batch.num_rows <= 1:

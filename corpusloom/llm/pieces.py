@@ -24,6 +24,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, MARK = 0x20, 0x2581
 OFFSET = 2.7
 BYTE_PENALTY = 3.0
+# bytes of text at a time: a lattice takes up to a hundred bytes for each of them
+BATCH = 1 << 19
 _BASE = 0xF1357AEA2E62A9C5
 _MASK = (1 << 64) - 1
 
@@ -406,7 +408,7 @@ def segmentations(documents: DataFrame, path: str = DEFAULT_MODEL, k: int = 2, k
 
     def run(source):
         v = vocabulary(path)
-        for batch in batches(source, 3 << 19):
+        for batch in batches(source, BATCH):
             texts = batch.column("text").to_pylist()
             found = sample(texts, np.asarray(batch.column("_seed")).view(np.uint64), v, k)
             rows = [(i, r, *s) for i, made in enumerate(found) for r, s in enumerate(made)]

@@ -7,6 +7,7 @@ broadcastable model. Only ``text`` is read: labels, language, source and key nev
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,7 +56,7 @@ def distinct_per_row(cells: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, n
 
 def fit(examples: list[tuple[np.ndarray, int]], p: Ftrl) -> tuple[np.ndarray, np.ndarray, float]:
     """Nonzero cells, their weights and the intercept. Repeated texts teach once; the intercept is learned without L1."""
-    examples = list({cells.tobytes(): (cells, y) for cells, y in examples}.values())
+    examples = list({(hashlib.blake2b(cells, digest_size=16).digest(), len(cells)): (cells, y) for cells, y in examples}.values())
     texts = np.zeros(1 << p.bits, dtype=np.int32)
     for cells, _ in examples:
         texts[cells] += 1
