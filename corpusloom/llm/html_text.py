@@ -3,7 +3,7 @@
 A page is a sequence of tags and words. Each tag and each kind of word has a weight, the log-odds of standing in the main
 text of labelled pages, less a constant; a linear scan finds the contiguous run of the largest sum. Pages label
 themselves where their author marked exactly one ``article`` or ``main``: what it holds counts as main text, so weights
-come from a bounded sample of such pages. Scripts, styles and the like never count as words, and boilerplate sections
+come from a bounded sample of such pages. Such a mark is also a feature of a page's own words, of bounded weight. Scripts, styles and the like never count as words, and boilerplate sections
 inside the run (menus, asides, forms, notices, comments ...) are left out of the text.
 """
 
@@ -35,7 +35,18 @@ MARKS = re.compile(
 )
 KEEP = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body)(?:[_-](?:header|title|body|content|text))?(?=$|\s)", re.I)
 
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# elements that are neither listed above nor invented by an author
+BLOCK = set("address article blockquote body caption center col colgroup dd details dir div dl dt figcaption figure frame frameset h1 h2 h3 h4 h5 h6 hgroup html legend li main meter ol optgroup option output p picture pre progress search section slot summary table tbody td tfoot th thead tr ul".split())
+KNOWN = RAW | UNSEEN | BOILERPLATE | INLINE | VOID | BLOCK
+
+# A tag ends at the first > outside of quotes, and a quote opens after an equals sign only. A < before that > makes its own <
+# plain text. All repeats are possessive, so that nothing is read again and the time is linear in the page.
+PIECE = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?+)([a-zA-Z][^\s/<>]*+)((?>[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>",
+    re.S,
+)
+# an unquoted value may end with a slash of its own
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 BLANK = re.compile(r"\s+")
 
@@ -80,6 +91,7 @@ def parse(source: str) -> Page:
         page.skip.append(boiler > 0)
         page.inside.append(main)
         if closing:
+            # a stray end closes nothing; any other closes all that was opened after its start
             while names.get(name):
                 last, u, b, m = stack.pop()
                 names[last] -= 1
@@ -88,7 +100,7 @@ def parse(source: str) -> Page:
                 unseen, boiler, main = unseen - u, boiler - b, main - m
                 if last == name:
                     break
-        elif name not in VOID and not found[3].rstrip().endswith("/"):
+        elif name not in VOID and not SELF_CLOSED.search(found[3], max(0, len(found[3]) - 64)):
             hidden = said = ""
             for a in ATTRIBUTE.finditer(found[3]):
                 value = a[2] or a[3] or a[4] or ""
@@ -125,6 +137,7 @@ class Weights:
         return self.of.get(kind, self.of[OTHER_TAG])
 
 
+MARK, INNER = 3.5, 8.0
 DEFAULT = Weights({"word": 1.0, "link word": -1.0, OTHER_TAG: -2.0})
 
 
@@ -133,12 +146,14 @@ def tally(page: Page) -> Counter:
     out: Counter = Counter()
     if page.marked == 1:
         for kind, text, skip, inside in zip(page.kinds, page.texts, page.skip, page.inside):
+            if text is None and kind.lstrip("/") not in KNOWN:
+                kind = OTHER_TAG  # an author may invent names without end
             out[kind, bool(inside) and (text is None or not skip)] += 1 if text is None else len(text.split())
     return out
 
 
 def weigh(counts: Counter) -> Weights:
-    """Log-odds with a pseudo-count of 2, cut to [-6, 6]; words are kept positive, tags negative, as the method asks."""
+    """Log-odds with a pseudo-count of 2, cut to a few units; words are kept positive, tags negative, as the method asks."""
     if not counts:
         return DEFAULT
     totals = {side: sum(v for (_, s), v in counts.items() if s is side) + 1 for side in (True, False)}
@@ -150,7 +165,7 @@ def weigh(counts: Counter) -> Weights:
         elif kind == "link word":
             weights[kind] = float(np.clip(odds, -3, 1))
         else:
-            weights[kind] = float(np.clip(odds, -6, -0.05))
+            weights[kind] = float(np.clip(odds, -2, -0.05))
     return Weights(weights)
 
 
@@ -169,34 +184,37 @@ def best_run(scores: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
-def main_text(page: Page, weights: Weights) -> str:
-    """The text of the best run: blocks in page order joined by a space, white space within a block as one space.
+def scores_of(page: Page, weights: Weights) -> np.ndarray:
+    """Score of each token. What a skipped block holds is left out of the text in any case and scores 0, so that it can't cut an article in two.
 
-    Where the author marked the main text once, only tokens inside it can be in the run.
+    An author's single mark is one more feature: words inside gain MARK each and words outside lose it, and tags inside, of
+    lists and links for example, count for less. The scan still weighs it against everything else.
     """
+    scores = np.zeros(len(page.kinds))
     marked = page.marked == 1
-    scores = np.empty(len(page.kinds))
     for i, (kind, text, skip, inside) in enumerate(zip(page.kinds, page.texts, page.skip, page.inside)):
+        if skip:
+            continue
         n = -1 if text is None else len(text.split())
-        if skip and not marked:
-            # left out of the text in any case, so a skipped block must not cut an article in two
-            scores[i] = 0.0
-        elif n < 0:
-            score = weights.score(kind, n)
-            # within the author's mark, tags that stand in menus elsewhere (links, lists) cost next to nothing
-            scores[i] = max(score, -0.01) if marked and inside else score
-        elif marked:
-            scores[i] = -8.0 if not inside else 0.0 if skip else max(weights.score(kind, n), 0.5 * n)
-        else:
-            scores[i] = weights.score(kind, n)
-    start, end = best_run(scores)
+        score = weights.score(kind, n)
+        if marked and n >= 0:
+            score += MARK * n if inside else -MARK * n
+        elif marked and inside:
+            score /= INNER
+        scores[i] = score
+    return scores
+
+
+def main_text(page: Page, weights: Weights) -> str:
+    """The text of the best run: blocks in page order joined by a space, white space within a block as one space."""
+    start, end = best_run(scores_of(page, weights))
     blocks, now = [], []
     for i in range(start, end):
         if page.texts[i] is None:
             if page.kinds[i].lstrip("/") not in INLINE:
                 blocks.append("".join(now))
                 now = []
-        elif not page.skip[i] and (page.inside[i] or not marked):
+        elif not page.skip[i]:
             now.append(page.texts[i])
     blocks.append("".join(now))
     return " ".join(b for b in (BLANK.sub(" ", x).strip() for x in blocks) if b)
@@ -219,9 +237,8 @@ def learn(pages: DataFrame, html: str = "html", most: int = 2048) -> Weights:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys]), pa.array([s for _, s in keys]), pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "side", "n"])
 
     rows = sample.select(html).mapInArrow(run, "kind string, side boolean, n long").groupBy("kind", "side").agg(F.sum("n").alias("n"))
-    # an author may invent tag names; the commonest hundred kinds are enough for weights
-    top = rows.orderBy(F.desc("n"), "kind", "side").limit(200).collect()
-    return weigh(Counter({(r.kind, r.side): r.n for r in top}))
+    # at most two rows for each element of the standard, opened and closed
+    return weigh(Counter({(r.kind, r.side): r.n for r in rows.collect()}))
 
 
 def extract(pages: DataFrame, weights: Weights, html: str = "html", out: str = "text") -> DataFrame:
