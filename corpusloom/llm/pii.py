@@ -1,15 +1,17 @@
 """Personal data: fixed patterns, and a character LSTM with CRF transitions that adds spans which the patterns miss.
 
-The tagger learns from labelled spans: generated sentences with addresses, numbers and look-alikes (keys, versions,
-dates, prices), the same at every size of the corpus, and any that the caller adds. It reads windows around the
-characters without which none of its kinds occurs (digits, the at sign, and its spelt forms) and around the whole address
-at such a sign; windows that overlap are settled by one decoding over their union. An address is widened to its ends. A span of the tagger stays if it has the digits or parts of its kind and
-overlaps no span of the patterns.
+The tagger learned from labelled spans: generated sentences with addresses, numbers and look-alikes (keys, versions,
+dates, prices). Its weights lie beside this module, so that they are the same on every machine; ``train`` made them, and
+makes others from a caller's spans. It reads whole texts in overlapping windows, settled by one decoding over each text.
+A span of the tagger is set to the borders of its words and stays if it has the digits or parts that its kind can't do
+without, and overlaps no span of the patterns.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import random
 import re
 from functools import lru_cache
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batches
-from .lstm_crf import WINDOW, Tagger, symbols
+from .lstm_crf import TRAIN_WINDOW, Tagger, symbols
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -31,9 +33,6 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[({] ?at ?[\])}]", re.I)
-NATIVE_TRIGGER = r"(?i)[0-9@]|[\[({] ?at ?[\])}]"
-REACH = 24
 # an address around its sign: what the local part holds, and how the domain goes on
 SIGN = re.compile(r"@| ?[\[({] ?at ?[\])}] ?", re.I)
 NAME = re.compile(r"[\w.%+-]")
@@ -151,23 +150,41 @@ def windows_of(labelled: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.n
             k = KINDS.index(kind)
             y[a:b] = 2 * k + 2
             y[a] = 2 * k + 1
-        for at in range(0, max(1, len(s) - WINDOW // 2), WINDOW):
+        for at in range(0, max(1, len(s) - TRAIN_WINDOW // 2), TRAIN_WINDOW):
             # a window that begins within a span can't know its beginning; decoding never starts there either
             while at and y[at] and y[at] % 2 == 0:
                 at -= 1
-            c, z = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
-            c[: len(s[at : at + WINDOW])] = s[at : at + WINDOW]
-            z[: len(y[at : at + WINDOW])] = y[at : at + WINDOW]
+            c, z = np.zeros(TRAIN_WINDOW, np.int64), np.zeros(TRAIN_WINDOW, np.int64)
+            c[: len(s[at : at + TRAIN_WINDOW])] = s[at : at + TRAIN_WINDOW]
+            z[: len(y[at : at + TRAIN_WINDOW])] = y[at : at + TRAIN_WINDOW]
             chars.append(c)
             tags.append(z)
     return np.array(chars), np.array(tags)
 
 
-@lru_cache(maxsize=4)
-def trained(sentences: int = 5000, epochs: int = 7, extra: tuple = ()) -> Tagger:
-    """The tagger for so many generated sentences and the caller's own ``(text, spans)``; the same each time."""
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.json")
+
+
+def train(labelled: list[tuple[str, list[Span]]], epochs: int = 8, start: Tagger | None = None) -> Tagger:
+    """A tagger for labelled spans; from ``start`` on where one is given."""
+    tagger = start or Tagger(len(KINDS))
+    tagger.fit(*windows_of(labelled), epochs=epochs)
+    return tagger
+
+
+def save(tagger: Tagger, path: str = WEIGHTS) -> None:
+    """Weights to five decimals, one line for each array."""
+    with open(path, "w", encoding="ascii") as f:
+        rows = [f'"{name}": {json.dumps([list(x.shape), [round(float(v), 5) for v in x.ravel()]])}' for name, x in tagger.p.items()]
+        f.write("{\n" + ",\n".join(rows) + "\n}\n")
+
+
+@lru_cache(maxsize=1)
+def shipped() -> Tagger:
+    """The tagger whose weights lie beside this module: ``python -m corpusloom.llm.pii`` trains and writes them."""
     tagger = Tagger(len(KINDS))
-    tagger.fit(*windows_of([*generated(sentences), *((t, list(s)) for t, s in extra)]), epochs=epochs)
+    with open(WEIGHTS, encoding="ascii") as f:
+        tagger.p = {name: np.array(x, np.float32).reshape(shape) for name, (shape, x) in json.load(f).items()}
     return tagger
 
 
@@ -180,22 +197,6 @@ def _around(text: str, a: int, b: int) -> tuple[int, int]:
     return a, host.end() if host else b
 
 
-def regions_of(text: str) -> list[tuple[int, int]]:
-    around = []
-    for m in TRIGGER.finditer(text):
-        a, b = m.span()
-        if not "0" <= m[0] <= "9":
-            a, b = _around(text, *SIGN.match(text, a - (m[0] != "@" and text[a - 1 : a] == " ")).span())
-        around.append((max(0, a - REACH), min(len(text), b + REACH)))
-    out: list[list[int]] = []
-    for a, b in sorted(around):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def _settled(text: str, kind: str, a: int, b: int) -> Span | None:
     """The span without blanks at its ends and with whole numbers, or none if it lacks what its kind has."""
     while a < b and not (text[a].isalnum() or text[a] in "+("):
@@ -217,27 +218,25 @@ def _settled(text: str, kind: str, a: int, b: int) -> Span | None:
         while b > a and not text[b - 1].isalnum():
             b -= 1
     part = text[a:b]
-    digits = NOT_DIGIT.sub("", part)
+    digits = len(NOT_DIGIT.sub("", part))
+    numbers = [p for p in NOT_DIGIT.split(part) if p]
     fits = {
-        "email": lambda: bool(re.fullmatch(r"[\w.%+-]+(?:@| ?[\[({] ?at ?[\])}] ?)[\w-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[\w-]+)+", part, re.I)),
-        "ip": lambda: bool(IP.fullmatch(part)) and all(len(p) <= 3 and int(p) <= 255 for p in part.split(".")),
-        "card": lambda: bool(CARD.fullmatch(part)) and 13 <= len(digits) <= 19,
-        "phone": lambda: bool(re.fullmatch(r"[+(]?[0-9][\x20().0-9-]*[0-9]", part)) and 7 <= len(digits) <= 15 and len(part) > len(digits),
+        "email": lambda: bool(SIGN.search(part)) and a < b and bool(re.search(r"\.|dot", part[SIGN.search(part).end() :], re.I)),
+        "ip": lambda: len(numbers) == 4 and part.count(".") == 3 and all(len(p) <= 3 and int(p) <= 255 for p in numbers),
+        "card": lambda: 12 <= digits <= 19 and digits >= 0.6 * len(part),
+        "phone": lambda: 7 <= digits <= 15 and digits >= 0.5 * len(part) and len(numbers) > 1,
     }[kind]()
     return (kind, a, b) if fits else None
 
 
 def learned_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
-    where = [(i, a, b) for i, t in enumerate(texts) for a, b in regions_of(t)]
     found: list[list[Span]] = [[] for _ in texts]
-    decoded = tagger.decode([symbols(texts[i][a:b]) for i, a, b in where]) if where else []
-    for (i, lo, _), tags in zip(where, decoded):
-        begins = np.flatnonzero(tags % 2 == 1)
-        for s in begins:
+    for i, tags in enumerate(tagger.decode([symbols(t) for t in texts])):
+        for s in np.flatnonzero(tags % 2 == 1):
             k, e = (tags[s] - 1) // 2, s + 1
             while e < len(tags) and tags[e] == tags[s] + 1:
                 e += 1
-            span = _settled(texts[i], KINDS[k], lo + int(s), lo + int(e))
+            span = _settled(texts[i], KINDS[k], int(s), int(e))
             if span:
                 found[i].append(span)
     return found
@@ -281,19 +280,19 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 # ---------------------------------------------------------------- operators
+BATCH = 1 << 19
+
+
 def _tagged(documents: DataFrame, tagger: Tagger, produce, fields: list[T.StructField], names: list[str]) -> DataFrame:
-    """Runs ``produce(text, base, all)`` for each row; texts without a character that any kind needs go in as they are."""
+    """Runs ``produce(text, base, all)`` for each row."""
     weights = documents.sparkSession.sparkContext.broadcast(tagger)
-    rows = documents.withColumn("_some", F.coalesce(F.col("text").rlike(NATIVE_TRIGGER), F.lit(False)))
-    kept = rows.select(*names, "text", "_some")
+    kept = documents.select(*names, "text")
 
     def run(source):
         model = weights.value
-        for batch in batches(source):
-            texts, some = batch.column("text").to_pylist(), batch.column("_some").to_pylist()
-            which = [i for i, s in enumerate(some) if s]
-            spans = dict(zip(which, all_spans([texts[i] for i in which], model)))
-            made = [produce(t, *spans.get(i, ([], []))) for i, t in enumerate(texts)]
+        for batch in batches(source, BATCH):
+            texts = batch.column("text").to_pylist()
+            made = [produce(t, base, every) for t, (base, every) in zip(texts, all_spans([t or "" for t in texts], model))]
             arrays = [pa.array(list(v), pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for v, f in zip(zip(*made), fields)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *arrays], names=[*names, *(f.name for f in fields)])
 
@@ -304,6 +303,7 @@ def find(documents: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans, n_added, for every row.
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans, whose digest is that of the empty text.
+    Repeated rows have equal results; an empty table gives an empty one.
     """
 
     def produce(text, base, every):
@@ -313,11 +313,16 @@ def find(documents: DataFrame, tagger: Tagger | None = None) -> DataFrame:
         return (*count.values(), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base))
 
     fields = [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())]
-    return _tagged(documents, tagger or trained(), produce, fields, ["doc_id"])
+    return _tagged(documents, tagger or shipped(), produce, fields, ["doc_id"])
 
 
 def redact(documents: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """``documents`` with every found span of ``text`` replaced; other columns, their order and null texts stay."""
-    names = [c for c in documents.columns if c not in ("text", "_some")]
-    done = _tagged(documents, tagger or trained(), lambda t, base, every: (redacted(t, every) if every else t,), [T.StructField("text", T.StringType())], names)
+    names = [c for c in documents.columns if c != "text"]
+    done = _tagged(documents, tagger or shipped(), lambda t, base, every: (redacted(t, every) if every else t,), [T.StructField("text", T.StringType())], names)
     return done.select(*documents.columns)
+
+
+if __name__ == "__main__":
+    # how the weights beside this module were made
+    save(train(generated(8_000), epochs=8))

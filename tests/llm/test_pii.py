@@ -1,9 +1,12 @@
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import pii
+from corpusloom.llm.lstm_crf import Tagger
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -23,7 +26,7 @@ def plain(text):
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pii.trained(1500, 4)
+    return pii.shipped()
 
 
 def test_base_spans_equal_patterns():
@@ -40,16 +43,57 @@ def test_held_out_accuracy(tagger):
     held = pii.generated(300, seed=1234)
     found = pii.learned_spans([t for t, _ in held], tagger)
     hit = sum(len(set(s) & set(f)) for (_, s), f in zip(held, found))
-    assert hit / sum(len(s) for _, s in held) > 0.75
-    assert hit / max(1, sum(map(len, found))) > 0.85
-
-
-def test_windows_agree_with_one_pass(tagger):
-    text = " ".join(t for t, _ in pii.generated(12, seed=8))
-    alone = tagger.decode([pii.symbols(text)])[0]
-    assert len(alone) == len(text)
-    spans = pii.learned_spans([text], tagger)[0]
-    assert spans == sorted(spans, key=lambda s: s[1])
+    assert hit / sum(len(s) for _, s in held) > 0.95
+    assert hit / max(1, sum(map(len, found))) > 0.97
+
+
+def test_stretches_decode_as_whole_texts(tagger):
+    """Searching only where a span can gain gives the tags of the search over everything, for long texts and short ones."""
+    texts = [t for t, _ in pii.generated(60, seed=8)]
+    texts += [" ".join(texts[:12]), "nothing of the kind " * 40, "7", "@", "", "1.2.3.4 " * 50, "x" * 700 + " 4111111111111111 " + "y" * 700]
+    coded = [pii.symbols(t) for t in texts]
+    quick = tagger.decode(coded)
+    for x, e, got in zip(coded, tagger.scores(coded), quick):
+        assert len(got) == len(x)
+        if len(x):
+            assert (tagger._viterbi([e])[0] == got).all()
+
+
+def test_tags_are_the_best_of_all():
+    r = np.random.default_rng(2)
+    tagger = Tagger(1, hidden=4, embed=3, seed=9)
+    tagger.p["A"] = r.standard_normal((3, 3)).astype(np.float32)
+    A = tagger.p["A"] + tagger.banned
+    for _ in range(40):
+        e = (r.standard_normal((6, 3)) * 2).astype(np.float32)
+        worth = lambda y: A[0, y[0]] + A[y[-1], 0] + tagger.first[y[0]] + sum(e[t, y[t]] for t in range(6)) + sum(A[y[t], y[t + 1]] for t in range(5))
+        best = max(itertools.product(range(3), repeat=6), key=worth)
+        tags = np.zeros(6, np.int8)
+        for a, b in tagger._stretches(e):
+            tags[a:b] = tagger._viterbi([e[a:b]])[0]
+        assert tuple(tags) == best
+
+
+def test_training_learns_and_gradients_hold():
+    labelled = pii.generated(300, seed=2)
+    fresh = Tagger(len(pii.KINDS))
+    chars, tags = pii.windows_of(labelled)
+    loss, grads = fresh._gradients(chars[:8], tags[:8])
+    for name, at in (("fh", (2, 5)), ("bx", (1, 7)), ("O", (3, 2)), ("A", (0, 1)), ("E", (int(chars[0][0]), 1))):
+        old = fresh.p[name][at]
+        sides = []
+        for step in (1e-2, -1e-2):
+            fresh.p[name][at] = old + step
+            sides.append(fresh._gradients(chars[:8], tags[:8])[0])
+        fresh.p[name][at] = old
+        assert abs((sides[0] - sides[1]) / 2e-2 - grads[name][at]) < 0.05 * max(1, abs(grads[name][at])), name
+    assert pii.train(labelled, epochs=3)._gradients(chars, tags)[0] < 0.5 * loss
+
+
+def test_saved_weights_come_back(tagger, tmp_path, monkeypatch):
+    pii.save(tagger, str(tmp_path / "w.json"))
+    with open(tmp_path / "w.json") as a, open(pii.WEIGHTS) as b:
+        assert a.read() == b.read()
 
 
 def test_find_and_redact(spark, odd, none_at_all, tagger):
@@ -71,8 +115,6 @@ def test_whole_addresses_are_read_and_widened():
     for form in forms:
         text = "w" * 30 + " " + form + " " + "v" * 30
         a, b = 31, 31 + len(form)
-        assert any(lo <= a and b <= hi for lo, hi in pii.regions_of(text)), form
         sign = pii.SIGN.search(form)
         for cut in (len(form), r.randint(sign.end() + 1, len(form))):
             assert pii._settled(text, "email", 31 + sign.start() - 1, 31 + cut) == ("email", a, b), form
-    assert pii.regions_of("x @ y") == [(0, 5)] and pii.regions_of(" @") == [(0, 2)] and pii.regions_of("@") == [(0, 1)]
