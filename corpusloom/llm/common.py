@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,48 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``materialize`` for tables that only the block needs; they are deleted at its end."""
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        made.append(materialize(df, label))
+        return made[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in made:
+            discard(df)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of ``df``, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: keys that hold more than this share of the rows are joined by broadcast: there are fewer than its inverse
+HOT_SHARE = 1 / 4096
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, whose ``key`` is unique and whose ``size`` says how many of the ``total`` rows have it.
+
+    Rows of hot keys never meet in one task: their part of the table, of at most 4,096 rows, is broadcast. The others are
+    joined by a shuffle.
+    """
+    hot = F.col(size) > total * HOT_SHARE
+    some = F.broadcast(table.where(hot))
+    return rows.join(some, key).unionByName(rows.join(some.select(key), key, "left_anti").join(table.where(~hot), key))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the table that ``materialize`` wrote, once nothing reads it any more."""
     path = getattr(df, "_stored_at", None)

@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, counts_to_rows, discard, materialize, splitmix, words_of
+from .common import batches, counts_to_rows, free_names, join_unique, materialize, scratch, splitmix, words_of
 from .components import components
 
 
@@ -113,9 +113,14 @@ def band_keys(signature: np.ndarray, p: Dart) -> np.ndarray:
     return splitmix(parts.sum(axis=2, dtype=np.uint64) + np.arange(1, p.bands + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def identity(text: str = "text") -> Column:
+    """128 bits that stand for a text, null as empty: equal texts are one node, and different ones don't meet in 10**15 texts."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def sign(documents: DataFrame, p: Dart) -> DataFrame:
-    """(doc_id, node, keys, signature) of each row; node is the 64-bit hash of the text, so that equal texts are one node."""
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    """(doc_id, node, keys, signature) of each row; node is the text's identity."""
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), identity().alias("node"))
 
     def run(source):
         for batch in batches(source):
@@ -132,15 +137,15 @@ def sign(documents: DataFrame, p: Dart) -> DataFrame:
             )
 
     kind = rows.schema["doc_id"].dataType
-    fields = [T.StructField("doc_id", kind), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())]
+    fields = [T.StructField("doc_id", kind), T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())]
     return rows.mapInArrow(run, T.StructType(fields))
 
 
 def _membership(nodes: DataFrame) -> np.ndarray:
     """Bits by the low part of each node's hash: at most 2**27 of them (16 MB), sixteen a node while that suffices."""
     size = 1 << int(np.clip(np.ceil(np.log2(16 * max(1, nodes.count()))), 10, 27))
-    at = F.col("node").bitwiseAND(F.lit(size - 1))
-    words = nodes.groupBy(F.floor(at / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((node & {size - 1}) % 64 as int))")).alias("bits")).toArrow()
+    low = nodes.select(F.xxhash64("node").bitwiseAND(F.lit(size - 1)).alias("at"))
+    words = low.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
     table = np.zeros(size // 64, np.uint64)
     table[np.asarray(words.column("w").combine_chunks())] = np.asarray(words.column("bits").combine_chunks()).view(np.uint64)
     return table
@@ -151,31 +156,34 @@ def cell_sets(documents: DataFrame, nodes: DataFrame, p: Dart) -> DataFrame:
 
     Texts are not shuffled: a broadcast bit table leaves out most that nobody asked for, and an exact join the rest.
     """
-    texts = documents.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    texts = documents.select(F.coalesce("text", F.lit("")).alias("text"), identity().alias("node")).withColumn("low", F.xxhash64("node"))
     asked = documents.sparkSession.sparkContext.broadcast(_membership(nodes))
 
     def run(source):
-        bits, seen = asked.value, np.zeros(0, np.int64)
+        bits, seen = asked.value, set()
         cut = np.uint64(len(bits) * 64 - 1)
         for batch in batches(source):
-            node = np.asarray(batch.column("node"))
-            low = node.view(np.uint64) & cut
+            low = np.asarray(batch.column("low")).view(np.uint64) & cut
             want = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-            want &= ~np.isin(node, seen)
-            first = np.zeros(len(node), bool)
-            first[np.unique(node, return_index=True)[1]] = True
-            take = np.flatnonzero(want & first)
-            if not len(take):
+            some = batch.column("node").take(pa.array(np.flatnonzero(want))).to_pylist()
+            take, node = [], []
+            for i, k in zip(np.flatnonzero(want), some):
+                # copies within one partition are sent once, as far as the memory of the latest nodes goes
+                if k not in seen:
+                    if len(seen) >= 1 << 17:
+                        seen.clear()
+                    seen.add(k)
+                    take.append(i)
+                    node.append(k)
+            if not take:
                 continue
-            # copies within one partition are sent once, as far as the memory of the latest million nodes goes
-            seen = np.concatenate([seen, node[take]])[-(1 << 20) :]
             c, row = cells(batch.column("text").take(pa.array(take)), p.words)
             order = np.lexsort((c, row))
             c = c[order]
             cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(take)))])
-            yield pa.RecordBatch.from_arrays([pa.array(node[take]), pa.array([c[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["node", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["node", "cells"])
 
-    found = texts.select("node", "text").mapInArrow(run, "node long, cells binary")
+    found = texts.select("node", "low", "text").mapInArrow(run, "node binary, cells binary")
     return found.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -199,7 +207,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             take = pa.array(np.flatnonzero(s >= similarity))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take), pa.array(s[s >= similarity])], names=["a", "b", "similarity"])
 
-    return joined.select("a", "b", "_ca", "_cb").mapInArrow(run, "a long, b long, similarity double")
+    return joined.select("a", "b", "_ca", "_cb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def _shared(signed: DataFrame) -> DataFrame:
@@ -212,11 +220,11 @@ def _shared(signed: DataFrame) -> DataFrame:
 def _stars(shared: DataFrame) -> DataFrame:
     """(a, b): each text with the one hub that it shares most buckets with, the least of equals."""
     met = shared.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("m"))
-    return best.select(F.col("node").alias("a"), (-F.col("m.h")).alias("b"))
+    best = met.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("hub").alias("h"))).alias("m"))
+    return best.select(F.col("node").alias("a"), F.col("m.h").alias("b"))
 
 
-def _across(shared: DataFrame, labels: DataFrame, stars: DataFrame, signed: DataFrame, p: Dart) -> DataFrame:
+def _across(shared: DataFrame, labels: DataFrame, stars: DataFrame, signed: DataFrame, p: Dart, keep=materialize) -> DataFrame:
     """(key, x, y, node, label, partners): texts of buckets that hold several components, with the texts to compare them with.
 
     A bucket of m texts is cut into ceil(m / block) blocks, and each pair of blocks is one bounded group. Partners are of
@@ -226,7 +234,7 @@ def _across(shared: DataFrame, labels: DataFrame, stars: DataFrame, signed: Data
     only where they are a pair of ``stars``, which is checked already.
     """
     known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    known = materialize(known, "bucket-labels")
+    known = keep(known, "bucket-labels")
     split = known.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m"), F.max("node").alias("_a"), F.min("node").alias("_b")).where("_lo <> _hi")
     # a hub is the least of its bucket, so the star pair of a bucket of two runs from its greater text to its lesser
     split = split.join(stars, (F.col("_m") == 2) & (F.col("_a") == stars["a"]) & (F.col("_b") == stars["b"]), "left_anti").select("key", "_m")
@@ -238,7 +246,11 @@ def _across(shared: DataFrame, labels: DataFrame, stars: DataFrame, signed: Data
 
     def run(group, table):
         key, x, y = (v.as_py() for v in group)
-        node, label, side = (np.asarray(table.column(c)) for c in ("node", "label", "_i"))
+        names, side = table.column("node").to_pylist(), np.asarray(table.column("_i"))
+        labels = table.column("label").to_pylist()
+        # places in order stand for the identities themselves
+        place = {k: i for i, k in enumerate(sorted({*names, *labels}))}
+        node, label = np.array([place[k] for k in names]), np.array([place[k] for k in labels])
         s = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(node), p.k)
         keys = np.array(table.column("keys").to_pylist(), np.int64)
         _, kind, count = np.unique(label, return_inverse=True, return_counts=True)
@@ -256,18 +268,18 @@ def _across(shared: DataFrame, labels: DataFrame, stars: DataFrame, signed: Data
             first = keys[i][(keys[other] == keys[i]).argmax(axis=1)] == key
             other = other[first][np.lexsort((node[other[first]], -alike[first]))]
             if len(other):
-                partners[i] = node[other].tolist()
+                partners[i] = [names[o] for o in other]
                 needed[i] = needed[other] = True
         at = np.flatnonzero(needed)
         n = len(at)
         return pa.table(
             {
                 "key": pa.array([key] * n, pa.int64()), "x": pa.array([x] * n, pa.int32()), "y": pa.array([y] * n, pa.int32()),
-                "node": pa.array(node[at]), "label": pa.array(label[at]), "partners": pa.array([partners[i] for i in at], pa.list_(pa.int64())),
+                "node": pa.array([names[i] for i in at], pa.binary()), "label": pa.array([labels[i] for i in at], pa.binary()), "partners": pa.array([partners[i] for i in at], pa.list_(pa.binary())),
             }
         )
 
-    return placed.groupBy("key", "x", "y").applyInArrow(run, "key long, x int, y int, node long, label long, partners array<long>")
+    return placed.groupBy("key", "x", "y").applyInArrow(run, "key long, x int, y int, node binary, label binary, partners array<binary>")
 
 
 def _links_across(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -299,10 +311,10 @@ def _links_across(asked: DataFrame, sets: DataFrame, similarity: float) -> DataF
                     parent[u] = v
                     out.append((k, o, j))
         a, b, j = zip(*out) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(j, pa.float64())})
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(j, pa.float64())})
 
     joined = asked.join(sets, "node").select("key", "x", "y", "node", "label", "partners", "cells")
-    return joined.groupBy("key", "x", "y").applyInArrow(run, "a long, b long, similarity double")
+    return joined.groupBy("key", "x", "y").applyInArrow(run, "a binary, b binary, similarity double")
 
 
 def near_duplicates(documents: DataFrame, p: Dart = Dart()) -> DataFrame:
@@ -313,45 +325,51 @@ def near_duplicates(documents: DataFrame, p: Dart = Dart()) -> DataFrame:
     least doc_id (all rows that repeat that doc_id). A null doc_id is a row of its group and kept only if the whole
     group has no other. An empty table gives an empty result.
     """
-    signed = materialize(sign(documents, p), "signed")
-    shared = materialize(_shared(signed), "shared")
-    pairs = materialize(_stars(shared), "stars")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    links = materialize(verify(pairs, cell_sets(documents, nodes, p), p.similarity), "links")
-    labels = components(links)
-    asked = materialize(_across(shared, labels, pairs, signed, p), "asked")
-    if asked.limit(1).count():
-        more = materialize(_links_across(asked, cell_sets(documents, asked.select("node").distinct(), p), p.similarity), "links")
-        labels = components(links.unionByName(more))
-    rows = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.col("node").alias("text_hash"), F.coalesce("label", "node").alias("_class"))
-    groups = rows.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    return materialize(
-        rows.join(groups, "_class").select("doc_id", "class_id", "copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"), "text_hash", F.col("_class").alias("group_hash")), "near-duplicates"
-    )
-
-
-MOST_BROADCAST = 2_000_000
+    with scratch() as keep:
+        signed = keep(sign(documents, p), "signed")
+        shared = keep(_shared(signed), "shared")
+        pairs = keep(_stars(shared), "stars")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        links = keep(verify(pairs, cell_sets(documents, nodes, p), p.similarity), "links")
+        labels = keep(components(links), "components")
+        asked = keep(_across(shared, labels, pairs, signed, p, keep), "asked")
+        if asked.limit(1).count():
+            more = keep(_links_across(asked, cell_sets(documents, asked.select("node").distinct(), p), p.similarity), "links")
+            labels = keep(components(links.unionByName(more)), "components")
+        # one row a text before anything is joined; what a text or group repeats is counted on the way to the shuffle
+        texts = signed.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_rows"))
+        texts = keep(texts.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("group_hash"), "_least", "_rows"), "texts")
+        groups = texts.groupBy("group_hash").agg(F.min("_least").alias("class_id"), F.sum("_rows").alias("copies"), F.count(F.lit(1)).alias("_texts"))
+        of_text = keep(join_unique(texts, groups, "group_hash", "_texts", texts.count()).select("node", "group_hash", "class_id", "copies", "_rows"), "groups")
+        found = join_unique(signed.select("doc_id", "node"), of_text, "node", "_rows", signed.count())
+        return materialize(
+            found.select("doc_id", "class_id", "copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"), F.hex("node").alias("text_hash"), F.hex("group_hash").alias("group_hash")), "near-duplicates"
+        )
+
+
+MOST_BROADCAST = 1_000_000
 
 
 def without_near_duplicates(documents: DataFrame, p: Dart = Dart()) -> DataFrame:
     """``documents`` with one row of each group: the least doc_id, and one of the rows that repeat it with one text.
 
-    Rows to drop are told by key and text. They are broadcast up to MOST_BROADCAST keys (32 MB); beyond, both sides are
+    Rows to drop are told by key and text. They are broadcast up to MOST_BROADCAST keys (128 MB); beyond, both sides are
     shuffled.
     """
     marked = near_duplicates(documents, p)
-    hashed = documents.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    drop = marked.where("NOT keep").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    drop = materialize(drop, "dropped")
+    node, d, h = free_names(documents, "_node", "_d", "_h")
+    hashed = documents.withColumn(node, F.hex(identity()))
+    drop = materialize(marked.where("NOT keep").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct(), "dropped")
     small = drop.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    kept = hashed.join(F.broadcast(drop) if small else drop, hashed["doc_id"].eqNullSafe(drop["_d"]) & (hashed["_node"] == drop["_h"]), "left_anti")
+    same = hashed["doc_id"].eqNullSafe(drop[d]) & (hashed[node] == drop[h])
+    kept = hashed.join(F.broadcast(drop) if small else drop, same, "left_anti")
     # groups whose least key comes in several rows keep of them the first text by hash, once
-    several = marked.where("keep").groupBy("group_hash", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("_f")).where("n > 1")
-    several = materialize(several.select("group_hash", F.col("doc_id").alias("_d"), "_f"), "repeated")
+    several = marked.where("keep").groupBy("group_hash", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias(h)).where("n > 1")
+    several = materialize(several.select("group_hash", F.col("doc_id").alias(d), h), "repeated")
     if not several.limit(1).count():
         return kept.select(*documents.columns)
-    repeated = marked.where("keep").join(several.select("group_hash"), "group_hash", "left_semi").select(F.col("doc_id").alias("_rd"), F.col("text_hash").alias("_rh")).distinct()
-    is_repeated = kept["doc_id"].eqNullSafe(repeated["_rd"]) & (kept["_node"] == repeated["_rh"])
-    alone = kept.join(repeated, is_repeated, "left_anti")
-    first = kept.join(several, kept["doc_id"].eqNullSafe(several["_d"]) & (kept["_node"] == several["_f"]), "left_semi").dropDuplicates(["doc_id", "_node"])
+    repeated = marked.where("keep").join(several.select("group_hash"), "group_hash", "left_semi").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct()
+    is_in = lambda t: kept["doc_id"].eqNullSafe(t[d]) & (kept[node] == t[h])
+    alone = kept.join(repeated, is_in(repeated), "left_anti")
+    first = kept.join(several, is_in(several), "left_semi").dropDuplicates(["doc_id", node])
     return alone.unionByName(first).select(*documents.columns)
