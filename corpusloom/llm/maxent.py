@@ -1,18 +1,20 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-log P(word | history) = log P(class of word | history) + log P(word | class).
+log P(word | history) = log P(class | history) + log P(group | class, history) + log P(type | group, history) + log P(word | type).
 
 * Tokens are lower-cased (A-Z) runs without white space, then one end token a text, counted over all training texts.
 * A word's type is the word itself if it is among the TYPES commonest, else a hash of its last three bytes, so that
-  every word, known or not, has a type. Types are clustered into classes by the company they keep: counts of the
-  commonest words before and after them over the whole corpus.
-* The class softmax is log-linear in hashed features: a bias, the type before, the type before that (a skip feature)
-  and the hashed pair of both. Weights are learned by distributed gradient updates: each learner runs adaptive
-  minibatch steps over its share of the texts from common weights, and changes are averaged by how often each learner
-  met a feature; every training text is used once, in ROUNDS rounds.
-* P(word | class) is the discounted share of the word in its class; the discount goes to unknown words of the class.
-
-Broadcast are the counts of at most HEAD words and the weights, of fixed size; counts of all other words are joined.
+  every word, known or not, has a type. Types stand in a tree of three levels of at most WIDTH branches: classes, groups
+  within a class, types within a group. They are clustered by the company they keep: counts of the commonest words before
+  and after them over the whole corpus. The commonest types are classes or groups of their own.
+* Each choice of a branch is a softmax over hashed features of the history at that place of the tree: a bias, the type
+  before, the type before that (a skip feature), and the pair of both. All weights are learned together by distributed
+  gradient updates: each learner runs adaptive minibatch steps over its shard from common weights, and changes are
+  averaged by how often each learner met a feature; every training text is used once, in ROUNDS rounds. Shards, their
+  order and the number of features follow from the training tokens alone, so that results don't depend on the cluster.
+* A type that stands for rare words gives each its discounted share, and the discount to unknown words.
+
+Broadcast are the counts of at most HEAD words and the weights, of bounded size; counts of all other words are joined.
 """
 
 from __future__ import annotations
@@ -23,21 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, counts_to_rows, hash_spans, key_residue, materialize, discard, splitmix, utf8_view, word_spans
+from .common import batches, counts_to_rows, hash_spans, key_residue, materialize, scratch, splitmix, utf8_view, word_spans
 
 HEAD = 1 << 17
 TYPES = 1 << 14
 SUFFIXES = 1 << 11
-CLASSES = 64
-SINGLE = 16
+WIDTH = 32
+SINGLE = 8
 NEAR = 32
-ROWS = 1 << 13
 ROUNDS = 2
 STEP = 4096
 END = np.uint64(0x1D8E4E27C47D124F)
 START_TYPE = TYPES + SUFFIXES
-WEIGHT_ROWS = 1 + 3 * ROWS
-CHUNK = 64
+# places of the tree: the root, its classes, their groups
+NODES = 1 + WIDTH + WIDTH * WIDTH
+CHUNK = 128
 
 
 # ---------------------------------------------------------------- tokens
@@ -64,9 +66,11 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Lexicon:
-    """Sorted hashes of the head words with their counts, types and, later, classes."""
+    """Sorted hashes of the head words with their counts, types and suffix cells; once known, the discount and log10 of each cell's tokens."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
+    discount, cell_room = 0.5, np.zeros(SUFFIXES)
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, cells: np.ndarray):
         rank = np.lexsort((words, -counts))
         types = np.full(len(words), -1, np.int32)
         own = rank[:TYPES]
@@ -74,7 +78,7 @@ class Lexicon:
             own = np.concatenate([own[:-1], np.flatnonzero(words == END)])
         types[own] = np.arange(len(own))
         order = np.argsort(words)
-        self.words, self.counts, self.types = words[order], counts[order].astype(np.int64), types[order]
+        self.words, self.counts, self.types, self.cells = words[order], counts[order].astype(np.int64), types[order], cells[order]
         self.near = words[own[:NEAR]]
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -84,6 +88,10 @@ class Lexicon:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, at, -1)
 
+    def rare_score(self, counts: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """log10 of the discounted share of words in their cells."""
+        return np.log10(counts - self.discount) - self.cell_room[cell]
+
     def type_of(self, at: np.ndarray, cell: np.ndarray) -> np.ndarray:
         known = np.where(at >= 0, self.types[np.maximum(at, 0)] if len(self.types) else -1, -1)
         return np.where(known >= 0, known, TYPES + cell).astype(np.int64)
@@ -101,76 +109,166 @@ def histories(types: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return one, two
 
 
-def feature_rows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """n x 3 rows of the weight table: the type before, the type two before, and their pair. Row 0 is the bias."""
-    a, b = one.astype(np.uint64), two.astype(np.uint64)
-    cut = np.uint64(ROWS - 1)
-    return np.stack(
-        [
-            1 + (splitmix(a + np.uint64(1 << 20)) & cut).astype(np.int64),
-            1 + ROWS + (splitmix(b + np.uint64(1 << 21)) & cut).astype(np.int64),
-            1 + 2 * ROWS + (splitmix(a * np.uint64(1 << 22) + b) & cut).astype(np.int64),
-        ],
-        axis=1,
-    )
+def feature_size(tokens: int) -> int:
+    """Rows of each of the three hashed tables: they double with the training tokens, from 2**12 to 2**16 (25 MB in all)."""
+    return 1 << int(np.clip(np.floor(np.log2(max(tokens, 1) / 2048)), 12, 16))
+
+
+def shard_tokens(size: int) -> int:
+    """Training tokens of a learner: so many that it sends less than half of what it reads."""
+    return 128 * size
+
+
+class Tree:
+    """Path of each type: three (place, branch) steps, and how many of them are a choice at all."""
+
+    def __init__(self, table: np.ndarray, words: int):
+        """table: ``company`` of each type; words: how many types are words of their own. Types of rare words are never ruled out."""
+        own = table[:, -1]
+        least = np.where((np.arange(len(table)) < words) | (np.arange(len(table)) >= TYPES), 0.5, 1e-6)
+        n = len(table)
+        self.path, self.depth = np.zeros((n, 3), np.int64), np.ones(n, np.int64)
+        share = np.sqrt((table[:, :-1] + 1e-3) / (table[:, :-1].sum(axis=1, keepdims=True) + 1e-3 * (table.shape[1] - 1)))
+        for c, members in enumerate(branches(share, own, np.arange(n), SINGLE, WIDTH * WIDTH)):
+            self.path[members, 0] = c
+            if len(members) > 1:
+                m = max(-(-(len(members) - WIDTH) // (WIDTH - 1)), min(WIDTH // 2, len(members) // 8), 0)
+                for g, inner in enumerate(branches(share, own, members, WIDTH - m, WIDTH)):
+                    self.path[inner, 1] = g
+                    self.depth[inner] = 2
+                    if len(inner) > 1:
+                        self.path[inner, 2] = np.arange(len(inner))
+                        self.depth[inner] = 3
+        self.bias = np.full((NODES, WIDTH), -1e4, np.float32)
+        for level in range(3):
+            here = self.depth > level
+            counts = np.bincount(self.place(level)[here] * WIDTH + self.path[here, level], weights=(own + least)[here], minlength=NODES * WIDTH).reshape(NODES, WIDTH)
+            some = counts.sum(axis=1) > 0
+            with np.errstate(divide="ignore"):
+                shares = np.log(counts[some] / counts[some].sum(axis=1, keepdims=True))
+            self.bias[some] = np.where(np.isfinite(shares), shares, -1e4)
+
+    def place(self, level: int) -> np.ndarray:
+        """The place at which each type's step of the level is chosen."""
+        if level == 0:
+            return np.zeros(len(self.path), np.int64)
+        return 1 + self.path[:, 0] if level == 1 else 1 + WIDTH + WIDTH * self.path[:, 0] + self.path[:, 1]
+
+    def steps(self, types: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, place, branch) of all choices that the tokens' types take, the first of all tokens first."""
+        token, place, branch = [], [], []
+        for level in range(3):
+            at = np.flatnonzero(self.depth[types] > level)
+            token.append(at)
+            place.append(self.place(level)[types[at]])
+            branch.append(self.path[types[at], level])
+        return np.concatenate(token), np.concatenate(place), np.concatenate(branch)
+
+
+def branches(share: np.ndarray, own: np.ndarray, members: np.ndarray, single: int, room: int, most: int = WIDTH) -> list[np.ndarray]:
+    """At most ``most`` groups of the members: the ``single`` commonest alone, the others clustered with ``room`` in a cluster."""
+    members = members[np.argsort(-own[members], kind="stable")]
+    if len(members) <= most:
+        return [members[i : i + 1] for i in range(len(members))]
+    rest = members[single:]
+    return [*(members[i : i + 1] for i in range(single)), *(g for g in clusters(share[rest], own[rest], rest, most - single, room) if len(g))]
+
+
+def clusters(share: np.ndarray, own: np.ndarray, members: np.ndarray, k: int, room: int, rounds: int = 8) -> list[np.ndarray]:
+    """k-means of the members' shares with at most ``room`` in a cluster: those that it can't hold go to the next nearest."""
+    pull = np.sqrt(own + 1e-9)
+    # the first centre is the commonest, each next one the farthest from all so far, weighed by its count
+    middle = np.empty((k, share.shape[1]))
+    middle[0] = share[0]
+    gap = ((share - middle[0]) ** 2).sum(axis=1)
+    for c in range(1, k):
+        middle[c] = share[np.argmax(gap * pull)]
+        gap = np.minimum(gap, ((share - middle[c]) ** 2).sum(axis=1))
+    weight = own + 1e-6
+    for _ in range(rounds):
+        far = 0.5 * (middle**2).sum(axis=1) - share @ middle.T
+        near = far.argmin(axis=1)
+        total = np.bincount(near, weights=weight, minlength=k)
+        for c in np.flatnonzero(total):
+            mine = near == c
+            middle[c] = weight[mine] @ share[mine] / total[c]
+    order, taken, home = np.argsort(far, axis=1), np.zeros(k, np.int64), np.full(len(members), -1)
+    for turn in range(k):
+        # members stand by falling count, so the commonest keep their nearest
+        asks = np.flatnonzero(home < 0)
+        if not len(asks):
+            break
+        for c in range(k):
+            mine = asks[order[asks, turn] == c][: room - taken[c]]
+            home[mine] = c
+            taken[c] += len(mine)
+    return [members[home == c] for c in range(k)]
+
+
+def feature_rows(place: np.ndarray, one: np.ndarray, two: np.ndarray, size: int) -> np.ndarray:
+    """4 x n rows of the weight table: the place's bias, and by place the type before, the type two before, and their pair."""
+    a, b, p = one.astype(np.uint64), two.astype(np.uint64), place.astype(np.uint64) << np.uint64(40)
+    cut = np.uint64(size - 1)
+    made = (p + a + np.uint64(1 << 20), p + b + np.uint64(1 << 21), p + a * np.uint64(1 << 16) + b + np.uint64(1 << 38))
+    return np.stack([place, *(NODES + i * size + (splitmix(x) & cut).astype(np.int64) for i, x in enumerate(made))])
 
 
 def _raised(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n x CLASSES scores less their row's greatest, their exponentials, and the sums of these."""
-    z = weights.take(rows[:, 0], axis=0)
-    z += weights.take(rows[:, 1], axis=0)
-    z += weights.take(rows[:, 2], axis=0)
-    z += weights[0]
+    """n x WIDTH scores less their row's greatest, their exponentials, and the sums of these."""
+    z = weights.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += weights.take(r, axis=0)
     z -= z.max(axis=1, keepdims=True)
     e = np.exp(z)
     return z, e, e.sum(axis=1)
 
 
-def class_scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """n x CLASSES log-probabilities (natural)."""
-    z, _, total = _raised(weights, rows)
-    return z - np.log(total)[:, None]
-
-
-def gold_scores(weights: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> np.ndarray:
-    """The log-probability (natural) of one class in each row."""
-    z, _, total = _raised(weights, rows)
-    return z[np.arange(len(gold)), gold] - np.log(total)
+def type_scores(weights: np.ndarray, tree: Tree, types: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The log-probability (natural) of each token's type after its history."""
+    size, out = (len(weights) - NODES) // 3, np.zeros(len(types))
+    for a in range(0, len(types), STEP):
+        s = slice(a, a + STEP)
+        token, place, branch = tree.steps(types[s])
+        z, _, total = _raised(weights, feature_rows(place, one[s][token], two[s][token], size))
+        out[s] = np.bincount(token, weights=z[np.arange(len(token)), branch] - np.log(total), minlength=len(types[s]))
+    return out
 
 
 # ---------------------------------------------------------------- corpus statistics
 def count_words(texts: DataFrame) -> DataFrame:
-    """(h, c): how often each hashed token stands in the texts; summed within partitions before the shuffle."""
+    """(h, c, cell): how often each hashed token stands in the texts, and its suffix cell; summed within partitions before the shuffle."""
 
     def run(source):
         held, size = [], 0
 
         def merged():
-            h, c = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-            words, at = np.unique(h, return_inverse=True)
-            return words, np.bincount(at, weights=c, minlength=len(words)).astype(np.int64)
+            h, c, cell = (np.concatenate(x) for x in zip(*held))
+            words, first, at = np.unique(h, return_index=True, return_inverse=True)
+            return words, np.bincount(at, weights=c, minlength=len(words)).astype(np.int64), cell[first]
 
-        def out(words, c):
+        def out(words, c, cell):
             for a in range(0, len(words), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(words[a : a + (1 << 16)].view(np.int64)), pa.array(c[a : a + (1 << 16)])], names=["h", "c"])
+                s = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(words[s].view(np.int64)), pa.array(c[s]), pa.array(cell[s].astype(np.int32))], names=["h", "c", "cell"])
 
         for batch in batches(source):
-            h, c = np.unique(tokens_of(batch.column("text"))[0], return_counts=True)
-            held.append((h, c.astype(np.int64)))
-            size += len(h)
-            if size > 1 << 21:
+            h, cell, _ = tokens_of(batch.column("text"))
+            words, first, c = np.unique(h, return_index=True, return_counts=True)
+            held.append((words, c.astype(np.int64), cell[first]))
+            size += len(words)
+            if size > 1 << 20:
                 held[:] = [merged()]
                 size = len(held[0][0])
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield from out(*held.pop())
                     size = 0
         if held:
             yield from out(*merged())
 
-    return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "h long, c long, cell int").groupBy("h").agg(F.sum("c").alias("c"), F.min("cell").alias("cell"))
 
 
-def head_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def head_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """At most HEAD of the commonest words: all from the least count (in steps of a 64th of a power of two) at which they are no more."""
     step = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
     held, least = 0, None
@@ -178,13 +276,24 @@ def head_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held + r.n > HEAD:
             break
         held, least = held + r.n, r.s
-    end = counts.where(F.col("h") == F.lit(int(END.view(np.int64) if hasattr(END, "view") else END)))
+    end = counts.where(F.col("h") == F.lit(int(END.view(np.int64))))
     rows = [] if least is None else counts.where(step >= least).unionByName(end).distinct().collect()
-    return np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.c for r in rows], np.int64)
+    return np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.c for r in rows], np.int64), np.array([r.cell for r in rows], np.int64)
+
+
+def cell_sums(counts: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens and distinct words of each suffix cell, without the words that are types themselves."""
+    tokens, words = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
+    for r in counts.groupBy("cell").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        tokens[r.cell], words[r.cell] = r.c, r.n
+    own = lexicon.types >= 0
+    tokens -= np.bincount(lexicon.cells[own], weights=lexicon.counts[own], minlength=SUFFIXES)
+    words -= np.bincount(lexicon.cells[own], minlength=SUFFIXES)
+    return tokens, words
 
 
 def sum_blocks(parts: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """Sums of float32 blocks by ``chunk``, streamed: a task holds one block of each of its chunks. The chunks are few and of fixed size."""
+    """Sums of float32 blocks by ``chunk``, in the order of ``shard``. The chunks are few and of fixed size; a task holds one block of each of its own."""
 
     def run(source):
         sums: dict[int, np.ndarray] = {}
@@ -195,35 +304,85 @@ def sum_blocks(parts: DataFrame, width: int) -> dict[int, np.ndarray]:
                     sums[k] += x
                 else:
                     sums[k] = x.astype(np.float64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], names=["chunk", "data"])
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=["chunk", "data"])
 
-    rows = parts.repartition("chunk").mapInArrow(run, "chunk int, data binary").collect()
+    rows = parts.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(run, "chunk int, data binary").collect()
     return {r.chunk: np.frombuffer(r.data, np.float32).reshape(-1, width) for r in rows}
 
 
-def _blocks(table: np.ndarray, touched: np.ndarray):
+def _blocks(shard: int, table: np.ndarray, touched: np.ndarray):
     """Record batches of the table's chunks of CHUNK rows in which any row was touched."""
-    chunks = np.unique(np.flatnonzero(touched) // CHUNK)
-    data = [np.ascontiguousarray(table[c * CHUNK : (c + 1) * CHUNK], np.float32).tobytes() for c in chunks]
-    for a in range(0, len(chunks), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(chunks[a : a + 64].astype(np.int32)), pa.array(data[a : a + 64], pa.binary())], names=["chunk", "data"])
+    for c in np.unique(np.flatnonzero(touched) // CHUNK):
+        data = np.ascontiguousarray(table[c * CHUNK : (c + 1) * CHUNK], np.float32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([c], pa.int32()), pa.array([data], pa.binary())], names=["shard", "chunk", "data"])
+
+
+def _assembled(parts: DataFrame, rows: int, width: int) -> np.ndarray:
+    total = np.zeros((-(-rows // CHUNK) * CHUNK, width), np.float32)
+    for chunk, data in sum_blocks(parts, width).items():
+        total[chunk * CHUNK : chunk * CHUNK + len(data)] = data
+    return total[:rows]
+
+
+BLOCKS = "shard long, chunk int, data binary"
+
+
+def typed(texts: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
+    """``keep`` columns with, per text: tokens, their types, and what the head's counts say; the other words, once a text."""
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+    kept = texts.select(*keep, "text")
+
+    def run(source):
+        lex = shared.value
+        for batch in batches(source):
+            h, cell, bounds = tokens_of(batch.column("text"))
+            n, row, at = batch.num_rows, counts_to_rows(bounds), lex.find(h)
+            ty = lex.type_of(at, cell)
+            head = at >= 0
+            c = lex.counts[at[head]]
+            rare = head & (ty >= TYPES)
+            base, mass = np.zeros(len(h)), np.zeros(len(h))
+            base[head] = np.log10(c + 1)
+            mass[rare] = lex.rare_score(lex.counts[at[rare]], cell[rare])
+            key = np.stack([row[~head], h[~head].view(np.int64), cell[~head]], axis=1)
+            key = key[np.lexsort((key[:, 1], key[:, 0]))]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:, :2] != key[:-1, :2]).any(axis=1)
+            cut = np.flatnonzero(new)
+            offsets = pa.array(np.searchsorted(key[cut, 0], np.arange(n + 1)).astype(np.int32))
+            codes = ty.astype("<u2")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k) for k in keep), pa.array(np.diff(bounds)), pa.array(np.bincount(row, weights=head, minlength=n).astype(np.int64)), pa.array(np.bincount(row, weights=base, minlength=n)), pa.array(np.bincount(row, weights=mass, minlength=n)),
+                    pa.array([codes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
+                    pa.ListArray.from_arrays(offsets, pa.array(key[cut, 1])), pa.ListArray.from_arrays(offsets, pa.array(key[cut, 2].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(cut, len(key))).astype(np.int32))),
+                ],
+                names=[*keep, "n_tokens", "_known", "_base", "_mass", "_types", "_h", "_cell", "_times"],
+            )
+
+    more = "n_tokens long, _known long, _base double, _mass double, _types binary, _h array<long>, _cell array<int>, _times array<int>"
+    return kept.mapInArrow(run, T.StructType([*(kept.schema[k] for k in keep), *T._parse_datatype_string(more).fields]))
+
+
+def types_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Types of all tokens of a column of ``_types``, and where each text's begin."""
+    parts = [np.frombuffer(x.as_buffer(), "<u2") for x in column]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), bounds
 
 
 def company(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
     """types x (2 NEAR + 1): how often each of the NEAR commonest words stands before and after a type; last, the type's own count."""
-    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
     kinds, width = START_TYPE + 1, 2 * NEAR + 1
+    near = np.full(kinds, NEAR)
+    at = lexicon.find(lexicon.near)
+    near[lexicon.types[at]] = np.arange(len(at))
 
     def run(source):
-        lex = shared.value
-        near = np.full(kinds, NEAR)
-        at = lex.find(lex.near)
-        near[lex.types[at]] = np.arange(len(at))
         table = np.zeros((kinds, 2 * NEAR + 2))
         for batch in batches(source):
-            h, cell, bounds = tokens_of(batch.column("text"))
-            ty = lex.type_of(lex.find(h), cell)
+            ty, bounds = types_of(batch.column("_types"))
             one, _ = histories(ty, bounds)
             inner = one != START_TYPE
             for who, other, shift in ((ty[inner], one[inner], 0), (one[inner], ty[inner], NEAR)):
@@ -231,199 +390,151 @@ def company(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
                 seen = col < NEAR
                 table.ravel()[:] += np.bincount(who[seen] * (2 * NEAR + 2) + col[seen] + shift, minlength=table.size)
             table[:, 2 * NEAR] += np.bincount(ty, minlength=kinds)
-        yield from _blocks(table[:, :width], table[:, 2 * NEAR] > 0)
-
-    out = np.zeros((-(-kinds // CHUNK) * CHUNK, width))
-    for chunk, data in sum_blocks(_learners(texts).mapInArrow(run, "chunk int, data binary"), width).items():
-        out[chunk * CHUNK : chunk * CHUNK + len(data)] = data
-    return out[:kinds]
-
-
-def _learners(texts: DataFrame) -> DataFrame:
-    """The texts in at most twice as many partitions as the cluster runs tasks, so that what learners send stays in proportion to the cluster."""
-    return texts.select("text").coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
-
-
-def cluster(table: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Class of each type: the SINGLE commonest words alone, the others by k-means of square roots of their company's shares."""
-    own, context = table[:, -1], table[:, :-1]
-    share = np.sqrt((context + 1e-3) / (context.sum(axis=1, keepdims=True) + 1e-3 * context.shape[1]))
-    classes = np.zeros(len(table), np.int32)
-    words = np.argsort(-own[:TYPES], kind="stable")
-    single = words[:SINGLE]
-    rest = np.setdiff1d(np.arange(len(table)), single)
-    order = rest[np.argsort(-own[rest], kind="stable")]
-    k = CLASSES - SINGLE
-    # the first centre is the commonest type, each next one the type farthest from all so far, weighed by its count
-    pull = np.sqrt(own[rest] + 1e-9)
-    centres = [share[order[0]]]
-    gap = ((share[rest] - centres[0]) ** 2).sum(axis=1)
-    for _ in range(k - 1):
-        centres.append(share[rest[np.argmax(gap * pull)]])
-        gap = np.minimum(gap, ((share[rest] - centres[-1]) ** 2).sum(axis=1))
-    middle, weight = np.array(centres), own[rest] + 1e-6
-    for _ in range(rounds):
-        near = (share[rest] @ middle.T - 0.5 * (middle**2).sum(axis=1)).argmax(axis=1)
-        for c in range(k):
-            mine = near == c
-            if mine.any():
-                middle[c] = np.average(share[rest][mine], axis=0, weights=weight[mine])
-    classes[rest] = near + SINGLE
-    classes[single] = np.arange(len(single))
-    return classes
+        # whole numbers: in any order they have one sum
+        yield from _blocks(0, table[:, :width], table[:, 2 * NEAR] > 0)
+
+    return _assembled(texts.select("_types").mapInArrow(run, BLOCKS), kinds, width).astype(np.float64)
 
 
 # ---------------------------------------------------------------- gradient updates
-def learn_round(texts: DataFrame, lexicon: Lexicon, classes: np.ndarray, weights: np.ndarray, rate: float) -> np.ndarray:
-    """Weights after each learner's pass over its texts, changes averaged by use."""
-    shared = texts.sparkSession.sparkContext.broadcast((lexicon, classes, weights))
+def learn(weights: np.ndarray, tree: Tree, texts: list[np.ndarray], rate: float, power: np.ndarray, used: np.ndarray) -> None:
+    """Adaptive minibatch steps over texts (their types), in place."""
+    size = (len(weights) - NODES) // 3
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    types = np.concatenate(texts).astype(np.int64)
+    one, two = histories(types, bounds)
+    for a in range(0, len(types), STEP):
+        s = slice(a, a + STEP)
+        token, place, branch = tree.steps(types[s])
+        rows = feature_rows(place, one[s][token], two[s][token], size)
+        _, g, total = _raised(weights, rows)
+        g /= total[:, None]
+        n = len(token)
+        g[np.arange(n), branch] -= 1
+        flat = rows.ravel()
+        order = np.argsort(flat)
+        ranked = flat[order]
+        cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        step = np.add.reduceat(g.take(order % n, axis=0), cut, axis=0)
+        at = ranked[cut]
+        power[at] += np.einsum("ij,ij->i", step, step) / WIDTH
+        step *= (rate / np.sqrt(power[at]))[:, None]
+        weights[at] -= step
+        used[at] += np.diff(np.append(cut, len(flat)))
+
+
+def learn_round(texts: DataFrame, tree: Tree, weights: np.ndarray, rate: float, shards: int) -> np.ndarray:
+    """Weights after each learner's pass over its shard, changes averaged by use. texts: _shard, _order, _types."""
+    shared = texts.sparkSession.sparkContext.broadcast((tree, weights))
+    enough = 1 << 17
 
     def run(source):
-        lex, kind, start = shared.value
-        w = start.copy()
-        power = np.full(WEIGHT_ROWS, 1.0, np.float32)
-        used = np.zeros(WEIGHT_ROWS)
-        for batch in batches(source, 1 << 22):
-            h, cell, bounds = tokens_of(batch.column("text"))
-            ty = lex.type_of(lex.find(h), cell)
-            rows, gold = feature_rows(*histories(ty, bounds)), kind[ty]
-            for a in range(0, len(gold), STEP):
-                r, y = rows[a : a + STEP], gold[a : a + STEP]
-                _, g, total = _raised(w, r)
-                g /= total[:, None]
-                g[np.arange(len(y)), y] -= 1
-                flat = r.ravel(order="F")
-                order = np.argsort(flat, kind="stable")
-                sorted_rows = flat[order]
-                cut = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                step = np.add.reduceat(g.take(order % len(y), axis=0), cut, axis=0)
-                at = sorted_rows[cut]
-                power[at] += (step * step).mean(axis=1)
-                w[at] -= rate * step / np.sqrt(power[at])[:, None]
-                bias = g.sum(axis=0)
-                power[0] += (bias * bias).mean()
-                w[0] -= rate * bias / np.sqrt(power[0])
-                used[at] += np.diff(np.append(cut, len(flat)))
-                used[0] += len(y)
-        table = np.concatenate([(w - start) * used[:, None], used[:, None]], axis=1)
-        yield from _blocks(table, used > 0)
-
-    total = np.zeros((-(-WEIGHT_ROWS // CHUNK) * CHUNK, CLASSES + 1))
-    for chunk, data in sum_blocks(_learners(texts).mapInArrow(run, "chunk int, data binary"), CLASSES + 1).items():
-        total[chunk * CHUNK : chunk * CHUNK + len(data)] = data
-    total = total[:WEIGHT_ROWS]
-    return (weights + total[:, :-1] / np.maximum(total[:, -1:], 1)).astype(np.float32)
+        tree, start = shared.value
+        now, held, size = None, [], 0
+        w = power = used = None
+
+        def done():
+            if held:
+                learn(w, tree, held, rate, power, used)
+            table = np.concatenate([(w - start) * used[:, None], used[:, None]], axis=1, dtype=np.float32)
+            yield from _blocks(now, table, used > 0)
+
+        for batch in source:
+            for shard, data in zip(batch.column("_shard").to_pylist(), batch.column("_types")):
+                if shard != now:
+                    if now is not None:
+                        yield from done()
+                    now, held, size = shard, [], 0
+                    w, power, used = start.copy(), np.ones(len(start), np.float32), np.zeros(len(start), np.float32)
+                held.append(np.frombuffer(data.as_buffer(), "<u2"))
+                size += len(held[-1])
+                if size >= enough:
+                    learn(w, tree, held, rate, power, used)
+                    held, size = [], 0
+        if now is not None:
+            yield from done()
+
+    dealt = texts.repartition(max(1, shards), "_shard").sortWithinPartitions("_shard", "_order").select("_shard", "_types")
+    total = _assembled(dealt.mapInArrow(run, BLOCKS), len(weights), WIDTH + 1)
+    return weights + total[:, :-1] / np.maximum(total[:, -1:], 1)
 
 
 class Model:
-    """What scoring broadcasts: head counts, classes, weights, and per class the tokens and distinct words."""
-
-    def __init__(self, lexicon, classes, weights, tokens, words, n, v, discount):
-        self.lexicon, self.classes, self.weights = lexicon, classes, weights
-        self.tokens, self.words, self.n, self.v, self.discount = tokens, words, n, v, discount
-
-
-def train(texts: DataFrame, rate: float = 0.15) -> tuple[Model, DataFrame]:
-    """The model of the texts (column ``text``; null is empty) and the table (h, c) of all counts."""
-    counts = materialize(count_words(texts), "word-counts")
-    stats = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")
-    ).first()
-    lexicon = Lexicon(*head_of(counts))
-    table = company(texts, lexicon)
-    classes = cluster(table)
-    tokens = np.bincount(classes, weights=table[:, -1], minlength=CLASSES)
-    discount = min(0.95, max(0.05, stats.n1 / (stats.n1 + 2 * stats.n2))) if stats.n1 else 0.5
-    weights = np.zeros((WEIGHT_ROWS, CLASSES), np.float32)
-    weights[0] = np.log((tokens + 0.5) / (tokens.sum() + 0.5 * CLASSES))
-    share = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
+    """What scoring broadcasts beside the lexicon: the tree and the weights."""
+
+    def __init__(self, tree: Tree, weights: np.ndarray):
+        self.tree, self.weights = tree, weights
+
+
+def train(texts: DataFrame, tokens: int, lexicon: Lexicon, rate: float = 0.15) -> Model:
+    """The model of the typed texts, which hold so many tokens."""
+    tree = Tree(company(texts, lexicon)[:START_TYPE], int((lexicon.types >= 0).sum()))
+    size = feature_size(tokens)
+    weights = np.concatenate([tree.bias, np.zeros((3 * size, WIDTH), np.float32)])
+    shards = max(1, round(tokens / ROUNDS / shard_tokens(size)))
+    mixed = texts.select("_types", F.xxhash64("doc_id", "_types").alias("_order"))
+    dealt = mixed.withColumn("_round", F.pmod("_order", F.lit(ROUNDS))).withColumn("_shard", F.pmod(F.xxhash64("_order"), F.lit(shards)))
     for r in range(ROUNDS):
-        weights = learn_round(texts.where(F.coalesce(share, F.lit(0)) == r), lexicon, classes, weights, rate / (1 + r))
-    # discounted mass by class: one discount for each distinct word, of which the singles are most; taken in proportion to tail tokens
-    head_class = classes[lexicon.type_of(np.arange(len(lexicon.words)), np.zeros(len(lexicon.words), np.int64))] if len(lexicon.words) else np.zeros(0, np.int64)
-    typed = lexicon.types >= 0
-    words = np.bincount(head_class[typed], minlength=CLASSES).astype(float)
-    other = np.bincount(classes[TYPES:START_TYPE], weights=table[TYPES:START_TYPE, -1], minlength=CLASSES)
-    words += other / max(other.sum(), 1.0) * (stats.v - typed.sum())
-    return Model(lexicon, classes, weights, tokens, words, stats.n, stats.v, discount), counts
+        weights = learn_round(dealt.where(F.col("_round") == r), tree, weights, rate / (1 + r), shards)
+    return Model(tree, weights)
 
 
 # ---------------------------------------------------------------- scoring
-def score(documents: DataFrame, model: Model, counts: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns with n_tokens, n_known, train_tokens, base_score, score for each row.
-
-    The pass over the texts settles classes and head words; the rest of each text's words, once a text, are joined with
-    the counts of all words.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    kept = documents.select(*keep, "text")
+def score(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """``keep`` columns and ``_score`` of typed texts: the model's log10 probability of their types, in sparse numpy batches."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kept = rows.select(*keep, "_types")
 
     def run(source):
         m = shared.value
-        lex, ln = m.lexicon, np.log10
-        room = ln(np.maximum(m.tokens, 0.5))
-        for batch in batches(source, 1 << 22):
-            h, cell, bounds = tokens_of(batch.column("text"))
-            at = lex.find(h)
-            ty = lex.type_of(at, cell)
-            cls = m.classes[ty]
-            one, two = histories(ty, bounds)
-            mass = np.empty(len(h))
-            for a in range(0, len(h), STEP):
-                s = slice(a, a + STEP)
-                mass[s] = gold_scores(m.weights, feature_rows(one[s], two[s]), cls[s])
-            mass = mass / np.log(10) - room[cls]
-            head = at >= 0
-            c = lex.counts[at[head]]
-            base = np.zeros(len(h))
-            base[head] = ln(c + 1)
-            mass[head] += ln(c - m.discount)
-            row = counts_to_rows(bounds)
-            n = batch.num_rows
-            rest = ~head
-            key = np.stack([row[rest], h[rest].view(np.int64), cls[rest]], axis=1)
-            order = np.lexsort((key[:, 1], key[:, 0])) if len(key) else np.zeros(0, np.int64)
-            key = key[order]
-            new = np.concatenate([[True], (key[1:, :2] != key[:-1, :2]).any(axis=1)]) if len(key) else np.zeros(0, bool)
-            cut = np.flatnonzero(new)
-            times = np.diff(np.append(cut, len(key)))
-            cuts = np.searchsorted(key[cut, 0], np.arange(n + 1)) if len(key) else np.zeros(n + 1, np.int64)
-            offsets = pa.array(cuts.astype(np.int32))
-            made = [
-                pa.array(np.diff(bounds)), pa.array(np.bincount(row, weights=head, minlength=n).astype(np.int64)), pa.array(np.bincount(row, weights=base, minlength=n)), pa.array(np.bincount(row, weights=mass, minlength=n)),
-                pa.ListArray.from_arrays(offsets, pa.array(key[cut, 1])), pa.ListArray.from_arrays(offsets, pa.array(key[cut, 2].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *made], names=[*keep, "n_tokens", "_known", "_base", "_score", "_h", "_cls", "_times"])
-
-    more = "n_tokens long, _known long, _base double, _score double, _h array<long>, _cls array<int>, _times array<int>"
-    schema = T.StructType([*(kept.schema[k] for k in keep), *T._parse_datatype_string(more).fields])
-    scored = materialize(kept.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "head-scores")
-    tails = scored.select("_row", F.explode(F.arrays_zip("_h", "_cls", "_times")).alias("t")).select("_row", F.col("t._h").alias("h"), F.col("t._cls").alias("cls"), F.col("t._times").alias("times"))
-    unknown = F.element_at(F.array(*(F.lit(float(np.log10(max(model.discount * w, 1e-3)))) for w in model.words)), F.col("cls") + 1)
-    found = tails.join(counts, "h", "left").select(
-        "_row",
-        F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).alias("known"),
-        (F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)).alias("base"),
-        (F.col("times") * F.when(F.col("c").isNotNull(), F.log10(F.col("c") - F.lit(model.discount))).otherwise(unknown)).alias("mass"),
-    )
-    sums = found.groupBy("_row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("mass").alias("mass"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.drop("_h", "_cls", "_times").join(sums, "_row", "left").select(
-        *keep,
-        "n_tokens",
-        (F.col("_known") + zero("known")).alias("n_known"),
-        F.lit(int(model.n)).cast("long").alias("train_tokens"),
-        (F.col("_base") + zero("base") - F.col("n_tokens") * F.lit(float(np.log10(model.n + model.v + 1)))).alias("base_score"),
-        (F.col("_score") + zero("mass")).alias("score"),
-    )
+        for batch in batches(source):
+            ty, bounds = types_of(batch.column("_types"))
+            mass = type_scores(m.weights, m.tree, ty, *histories(ty, bounds)) / np.log(10)
+            made = pa.array(np.bincount(counts_to_rows(bounds), weights=mass, minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), made], names=[*keep, "_score"])
+
+    return kept.mapInArrow(run, T.StructType([*(kept.schema[k] for k in keep), T.StructField("_score", T.DoubleType())]))
 
 
 def lm_scores(documents: DataFrame, holdout: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``documents``.
 
     Texts whose key's crc32 modulo 7 is ``holdout`` are scored and never learned from. A null text is an empty one, of
-    one token. Without any training text all tokens are unknown; an empty table gives an empty result.
+    one token. Repeated rows have equal scores. Without any training text all tokens are unknown; an empty table gives an
+    empty result.
     """
     rows = documents.select("doc_id", "text", (key_residue("doc_id", 7) == holdout).alias("held_out"))
-    model, counts = train(rows.where(~F.col("held_out")).select("text"))
-    return score(rows, model, counts, ["doc_id", "held_out"])
+    with scratch() as keep:
+        counts = keep(count_words(rows.where(~F.col("held_out"))), "word-counts")
+        one, two = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+        stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), one.alias("n1"), two.alias("n2")).first()
+        lexicon = Lexicon(*head_of(counts))
+        lexicon.discount = min(0.95, max(0.05, stats.n1 / (stats.n1 + 2 * stats.n2))) if stats.n1 else 0.5
+        tokens, words = cell_sums(counts, lexicon)
+        # what a rare word's type gives each of its words; a cell that training never met leaves all to unknown words
+        lexicon.cell_room = np.log10(np.maximum(tokens, 1))
+        unknown = np.where(words > 0, np.log10(np.maximum(lexicon.discount * words, 1e-9)) - lexicon.cell_room, 0.0)
+        coded = keep(typed(rows, lexicon, ["doc_id", "held_out"]).withColumn("_row", F.monotonically_increasing_id()), "typed")
+        model = train(coded.where(~F.col("held_out")), stats.n, lexicon)
+        scored = score(coded, model, ["_row", "doc_id", "held_out", "n_tokens", "_known", "_base", "_mass"])
+
+        cells = documents.sparkSession.createDataFrame([(i, float(r), float(u)) for i, (r, u) in enumerate(zip(lexicon.cell_room, unknown))], "cell int, _room double, _unknown double")
+        tails = coded.select("_row", F.explode(F.arrays_zip("_h", "_cell", "_times")).alias("t")).select("_row", F.col("t._h").alias("h"), F.col("t._cell").alias("cell"), F.col("t._times").alias("times"))
+        met = tails.join(counts.select("h", "c"), "h", "left").join(F.broadcast(cells), "cell")
+        known = F.col("c").isNotNull()
+        sums = met.groupBy("_row").agg(
+            F.sum(F.when(known, F.col("times")).otherwise(0)).alias("known"),
+            F.sum(F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)).alias("base"),
+            F.sum(F.col("times") * F.when(known, F.log10(F.col("c") - F.lit(lexicon.discount)) - F.col("_room")).otherwise(F.col("_unknown"))).alias("mass"),
+        )
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        done = scored.join(sums, "_row", "left").select(
+            "doc_id",
+            "held_out",
+            "n_tokens",
+            (F.col("_known") + zero("known")).alias("n_known"),
+            F.lit(int(stats.n)).cast("long").alias("train_tokens"),
+            (F.col("_base") + zero("base") - F.col("n_tokens") * F.lit(float(np.log10(stats.n + stats.v + 1)))).alias("base_score"),
+            (F.col("_score") + F.col("_mass") + zero("mass")).alias("score"),
+        )
+        return materialize(done, "lm-scores")

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -7,11 +8,12 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm import html_text, licenses, maxent, toxicity
 from corpusloom.llm.common import hash_spans, utf8_view, words_of
 
-from .conftest import prose
+from .conftest import WORDS, prose
 
 
 # ---------------------------------------------------------------- hashed words
@@ -55,20 +57,53 @@ def test_lm_scores_against_counts(spark, odd):
     assert all(r.train_tokens == n and r.score < 0 for r in got)
 
 
-def test_lm_learns_context_and_sums_to_one(spark):
-    rows = [(i, ("ab cd " if i % 2 else "ef gh ") * 40) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = maxent.lm_scores(docs).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
-    assert got["sum(score)"] > got["sum(base_score)"]
-    model, counts = maxent.train(docs.select("text"))
-    at = np.arange(len(model.lexicon.words))
-    cls = model.classes[model.lexicon.type_of(at, np.zeros(len(at), np.int64))]
-    one, two = np.array([0]), np.array([maxent.START_TYPE])
-    p = np.exp(maxent.class_scores(model.weights, maxent.feature_rows(one, two)))[0]
-    assert abs(p.sum() - 1) < 1e-5
-    word = p[cls] * (model.lexicon.counts - model.discount) / model.tokens[cls]
-    rest = sum(p[c] * (model.discount * model.words[c] / model.tokens[c] if model.tokens[c] else 1) for c in range(maxent.CLASSES))
-    assert abs(word.sum() + rest - 1) < 1e-3
+def sentences(n, seed, rare=0.02, pool=500):
+    """Texts in which the next word depends on the two before it, with some rare words."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        w = [r.choice(WORDS), r.choice(WORDS)]
+        for _ in range(60):
+            w.append(WORDS[(WORDS.index(w[-1]) * 3 + WORDS.index(w[-2]) + r.choice([0, 0, 0, 1])) % len(WORDS)] if w[-1] in WORDS and w[-2] in WORDS else r.choice(WORDS))
+            if r.random() < rare:
+                w.append(f"rare{r.randrange(pool)}")
+        out.append((seed * 10_000 + i, " ".join(w)))
+    return out
+
+
+def test_lm_choices_sum_to_one(spark):
+    docs = spark.createDataFrame(sentences(700, 3, 0.6, 10**6), "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 7 == 2)
+    counts = maxent.count_words(docs.where("NOT held_out"))
+    lexicon = maxent.Lexicon(*maxent.head_of(counts))
+    tokens, words = maxent.cell_sums(counts, lexicon)
+    whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    assert tokens.sum() + lexicon.counts[lexicon.types >= 0].sum() == whole.n and words.sum() + (lexicon.types >= 0).sum() == whole.v
+    lexicon.cell_room = np.log10(np.maximum(tokens, 1))
+    coded = maxent.typed(docs, lexicon, ["doc_id", "held_out"]).cache()
+    model = maxent.train(coded.where("NOT held_out"), whole.n, lexicon)
+    every = np.arange(maxent.START_TYPE)
+    # every type ends in its own leaf, and after any history all types have probability one together
+    assert len(set(zip(model.tree.path[:, 0], model.tree.path[:, 1], model.tree.path[:, 2]))) == len(every)
+    for one, two in ((3, 5), (maxent.START_TYPE, maxent.START_TYPE), (20, 1)):
+        p = np.exp(maxent.type_scores(model.weights, model.tree, every, np.full(len(every), one), np.full(len(every), two)))
+        assert abs(p.sum() - 1) < 1e-4
+    # within a cell the words seen and the unknown one share all
+    cell = int(np.argmax(words))
+    held = lexicon.counts[(lexicon.types < 0) & (lexicon.cells == cell)]
+    assert len(held) == words[cell] and abs((10 ** lexicon.rare_score(held, np.full(len(held), cell))).sum() + lexicon.discount * words[cell] / tokens[cell] - 1) < 1e-9
+
+
+def test_lm_beats_counts_on_held_out_texts(spark):
+    docs = spark.createDataFrame(sentences(1500, 4), "doc_id long, text string")
+    got = maxent.lm_scores(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    # twenty words in equal shares cost 1.3 each; what the history leaves open costs far less
+    assert got.b / got.n < -1.25 and got.s / got.n > got.b / got.n + 0.25
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame(sentences(120, 5), "doc_id long, text string")
+    a, b = ({r.doc_id: r.score for r in maxent.lm_scores(docs.repartition(n)).collect()} for n in (1, 7))
+    assert a == b
 
 
 def test_lm_empty(spark, none_at_all):
