@@ -5,9 +5,12 @@ All are built-in expressions. Case folding is ``lower`` plus sharp s, which equa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: what each tokenizer takes as a token or a gap, and where a sentence ends
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 WORD = r"[\p{L}\p{N}_]+"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
@@ -15,6 +18,11 @@ CHECK_TOKEN = r"[a-z0-9]+(?:'[a-z0-9]+)*"
 BOUNDARY = r"""(?<=[.!?])["')\]]*\s+(?=[A-Z0-9"'(\[])"""
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often and in whatever lambda ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 250219413
@@ -88,6 +90,26 @@ def cluster_bootstrap(judged: DataFrame, by: str, cluster: str, correct: str = "
 
 
 def manifest(documents: DataFrame, doc: str = "document_id", order: str = "source_index") -> DataFrame:
-    """Number of documents and an order-sensitive digest of their ids, one line each."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(doc).alias("d"))))
-    return documents.agg(F.count(F.lit(1)).alias("documents"), F.sha2(F.concat(F.array_join(F.transform(listed, lambda x: x.d), "\n"), F.lit("\n")), 256).alias("selection_sha256"))
+    """Number of documents and an order-sensitive digest of their ids, one line each.
+
+    The digest runs through the ids in order, so one task reads them: as a sorted stream, of which it holds a batch.
+    """
+
+    def run(source):
+        digest, n = hashlib.sha256(), 0
+        for batch in source:
+            for d in batch.column(0).to_pylist():
+                digest.update(f"{d or ''}\n".encode())
+            n += batch.num_rows
+        if not n:
+            digest.update(b"\n")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=["documents", "selection_sha256"])
+
+    ids = documents.select(F.col(doc).cast("string").alias("d"), order).repartition(1).sortWithinPartitions(order, "d").select("d")
+    return ids.mapInArrow(run, "documents long, selection_sha256 string")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of the files of a dataset, each read whole by one task."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

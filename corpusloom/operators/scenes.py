@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed values: numbers with their composites, and dates as a draft's revisions are stamped
 NUMBER = r"\d+(?:[-/:.]\d+)*"
 STAMP = r"\b\d{1,2}/\d{1,2}/\d{2,4}\b"
 

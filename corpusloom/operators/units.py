@@ -65,17 +65,20 @@ def unit_errors(units: DataFrame, expected: DataFrame) -> DataFrame:
     return found.unionByName(wrong)
 
 
-def seams(windows: DataFrame) -> DataFrame:
-    """(left_window, right_window) of neighbours by number."""
-    return windows.select(F.col("window").alias("left_window"), F.lead("window").over(Window.partitionBy(F.lit(0)).orderBy("window")).alias("right_window")).where("right_window IS NOT NULL")
+def seams(windows: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, left_window, right_window) of neighbours by number within a document."""
+    after = F.lead("window").over(Window.partitionBy(doc).orderBy("window"))
+    return windows.select(doc, F.col("window").alias("left_window"), after.alias("right_window")).where("right_window IS NOT NULL")
 
 
-def renamed(units: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Units with ids replaced as the small table (alias, canonical) of resolved merges says, wherever they stand."""
-    table = aliases.agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("_m"))
-    to = lambda i: F.coalesce(F.col("_m")[i], i)
-    with_map = units.join(F.broadcast(table))  # one row
-    return with_map.select(
+def renamed(units: DataFrame, aliases: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Units with ids replaced as the merges (doc, alias, canonical) of their document say, wherever they stand.
+
+    A document's merges come as one map with its units; nothing of other documents is looked at.
+    """
+    table = aliases.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("_m"))
+    to = lambda i: F.coalesce(F.try_element_at("_m", i), i)
+    return units.join(table, doc, "left").select(
         *(c for c in units.columns if c not in ("present", "referenced", "beats", "entities")),
         F.transform("present", to).alias("present"),
         F.transform("referenced", to).alias("referenced"),
@@ -114,11 +117,11 @@ def rendered(units: DataFrame, minimal: bool = False) -> DataFrame:
 
 
 # ---------------------------------------------------------------- scene maps
-def map_errors(scenes: DataFrame, source: Column, length: Column) -> DataFrame:
-    """(scene_id, error): bounds, start and end anchors, overlaps. scenes: scene_id, start_char, end_char, start_quote, end_quote and what ``source`` needs."""
+def map_errors(scenes: DataFrame, source: Column, length: Column, doc: str = "doc_id") -> DataFrame:
+    """(doc, scene_id, error): bounds, start and end anchors, overlaps. scenes: doc, scene_id, start_char, end_char, start_quote, end_quote and what ``source`` needs."""
     body = F.substring(source, F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
     quote = lambda c: F.substring(X.collapsed(F.col(c)), 1, 25)
-    w = Window.partitionBy(F.lit(0)).orderBy("start_char", "end_char")
+    w = Window.partitionBy(doc).orderBy("start_char", "end_char")
     s = scenes.withColumn("_before", F.lag("end_char").over(w))
     bad = [
         ((F.col("start_char") < 0) | (F.col("end_char") > length) | (F.col("start_char") >= F.col("end_char")), "out of bounds"),
@@ -126,15 +129,15 @@ def map_errors(scenes: DataFrame, source: Column, length: Column) -> DataFrame:
         (~F.contains(X.collapsed(body), quote("end_quote")), "end differs"),
         (F.col("_before") > F.col("start_char"), "overlap"),
     ]
-    return s.select("scene_id", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for c, m in bad)))).alias("error"))
+    return s.select(doc, "scene_id", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for c, m in bad)))).alias("error"))
 
 
-def attribution(scenes: DataFrame, length: int) -> DataFrame:
-    """One row: characters that scenes cover, their share, and the number of gaps."""
-    w = Window.partitionBy(F.lit(0)).orderBy("start_char", "end_char").rowsBetween(Window.unboundedPreceding, -1)
+def attribution(scenes: DataFrame, length: Column, doc: str = "doc_id") -> DataFrame:
+    """(doc, covered, coverage, gaps): characters that a document's scenes cover, their share of ``length``, and the number of gaps."""
+    w = Window.partitionBy(doc).orderBy("start_char", "end_char").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("end_char").over(w), F.lit(0))
-    s = scenes.select((F.col("end_char") - F.col("start_char")).alias("n"), (reach < F.col("start_char")).cast("int").alias("g"))
-    return s.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("covered"), F.round(F.coalesce(F.sum("n"), F.lit(0)) / length, 4).alias("coverage"), F.coalesce(F.sum("g"), F.lit(0)).alias("gaps"))
+    s = scenes.select(doc, length.alias("_n"), (F.col("end_char") - F.col("start_char")).alias("n"), (reach < F.col("start_char")).cast("int").alias("g"))
+    return s.groupBy(doc).agg(F.sum("n").alias("covered"), F.round(F.try_divide(F.sum("n"), F.max("_n")), 4).alias("coverage"), F.sum("g").alias("gaps"))
 
 
 # ---------------------------------------------------------------- abstraction objects

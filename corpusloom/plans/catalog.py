@@ -268,11 +268,12 @@ PARAGRAPHS = "p AS (SELECT doc_id, i, length(l) AS n, coalesce(sum(length(l) + 1
 
 
 def _paragraphs(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("_l"))
-    sizes = F.transform("_l", lambda x: F.length(x) + 1)
-    placed = F.transform(sizes, lambda s, i: F.struct((s - 1).alias("n"), F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x).cast("long").alias("start")))
-    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
-    return lines.select("doc_id", total.alias("total"), F.posexplode(placed).alias("i", "_p")).select("doc_id", "i", "total", F.col("_p.n").alias("n"), F.col("_p.start").alias("start"))
+    def placed(lines):
+        starts = F.aggregate(lines, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x) + 1)))
+        return X.bound(starts, lambda at: F.transform(lines, lambda x, i: F.struct(F.length(x).alias("n"), F.get(at, i).alias("start"), F.element_at(at, -1).alias("total"))))
+
+    p = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.bound(F.split("text", "\n"), placed)).alias("i", "_p"))
+    return p.select("doc_id", "i", "_p.total", "_p.n", "_p.start")
 
 
 @query(

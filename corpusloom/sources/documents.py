@@ -7,7 +7,8 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation
@@ -33,7 +34,24 @@ def normalized(rows: DataFrame, text_column: str) -> DataFrame:
     if text_column not in rows.columns:
         raise ValueError(f"no column {text_column!r}")
     pick = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
-    return rows.select(F.monotonically_increasing_id().alias("ord"), pick(text_column).alias("text"), pick("title").alias("title"), pick("abstract").alias("abstract"))
+    return numbered(rows, "ord").select("ord", pick(text_column).alias("text"), pick("title").alias("title"), pick("abstract").alias("abstract"))
+
+
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """Rows of files with their place from 0, by file and place in the file, however the files are split over tasks.
+
+    Rows are told by their split and their number within the task; a count for each split, of which there are few beside
+    the rows, gives how many come before. A table that isn't read from files is numbered by its partitions.
+    """
+    at = rows.withColumn("_id", F.monotonically_increasing_id())
+    try:
+        at = at.withColumn("_f", F.col("_metadata.file_path")).withColumn("_o", F.col("_metadata.file_block_start"))
+    except AnalysisException:
+        at = at.withColumn("_f", F.lit("")).withColumn("_o", F.shiftright("_id", 33))
+    splits = at.groupBy("_f", "_o").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.withColumn("_start", before - F.col("_first")).select("_f", "_o", "_start")
+    return at.join(starts, ["_f", "_o"]).withColumn(out, F.col("_id") + F.col("_start")).drop("_f", "_o", "_id", "_start")
 
 
 def _pdf(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +88,7 @@ def selected(documents: DataFrame, offset: int = 0, limit: int | None = None) ->
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     """(document_id, source_index, text, questions, answers) of a list-shaped or an expanded table."""
     rows = spark.read.parquet(path)
-    indexed = rows.withColumn("idx", F.monotonically_increasing_id())
+    indexed = numbered(rows, "idx")
     if dict(rows.dtypes)["question"].startswith("array"):
         good = evaluation.valid_pairs(indexed)
         return good.select(evaluation.document_id(F.col("text"), F.col("idx")).alias("document_id"), F.col("idx").alias("source_index"), "text", "questions", "answers")

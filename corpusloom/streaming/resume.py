@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def manifest_hash(config: dict) -> str:
@@ -36,15 +38,21 @@ def resumable(documents: DataFrame, work: Callable[[DataFrame], DataFrame], path
         if spark.read.parquet(runs).where(F.col("manifest") != digest).limit(1).count():
             raise ValueError("the results there belong to another set-up")
         documents = remaining(documents, spark.read.parquet(results), key)
-    order = documents.select(key).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)))
     # 64 lanes of batch / 64 documents each: no window over all documents
     lane = max(1, batch // 64)
-    numbered = documents.join(order, key).withColumn("_batch", F.floor((F.col("_n") - 1) / lane).cast("int")).drop("_n")
-    last = numbered.agg(F.max("_batch")).first()[0]
+    order = documents.select(key).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)))
+    plan = f"{path}/plans/{uuid.uuid4().hex}"
+    # which batch a document falls to is settled once; a batch then reads its own part of the table
+    order.withColumn("_batch", F.floor((F.col("_n") - 1) / lane).cast("int")).drop("_n").write.partitionBy("_batch").parquet(plan)
+    dealt = spark.read.schema(T.StructType([documents.schema[key], T.StructField("_batch", T.IntegerType())])).parquet(plan)
+    last = dealt.agg(F.max("_batch")).first()[0]
     for i in range(0 if last is None else min(last + 1, most_batches or last + 1)):
         start = time.time()
-        work(numbered.where(F.col("_batch") == i).drop("_batch")).write.mode("append").parquet(results)
+        mine = dealt.where(F.col("_batch") == i).select(key)
+        work(documents.join(F.broadcast(mine) if batch <= 100_000 else mine, key, "left_semi")).write.mode("append").parquet(results)
         spark.createDataFrame([(digest, i, time.time() - start)], "manifest string, batch int, seconds double").write.mode("append").parquet(runs)
+    target = spark._jvm.org.apache.hadoop.fs.Path(plan)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     return spark.read.parquet(results)
 
 

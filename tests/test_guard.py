@@ -14,6 +14,11 @@ def test_rest_stands_alone(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'chunk_greedy_200' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+    # a folder that is left with nothing to import, or with a part that can't be, is as good as none
+    (tmp_path / "corpusloom" / "llm" / "__pycache__").mkdir(parents=True)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+    (tmp_path / "corpusloom" / "llm" / "registry.py").write_text("import no_such_module_anywhere\n")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
 
 
 def test_nothing_imports_it():

@@ -20,6 +20,12 @@ def test_answers_are_parsed():
     assert parsing.unit(cut)["error"] and [e["name"] for e in parsing.unit(cut, True)["entities"]] == ["Ana"]
     assert parsing.unit("prose")["error"] and parsing.unit("[1]")["error"] and parsing.unit('{"entities": [{"na', True)["error"]
     assert "no entities" in parsing.unit("{}")["warnings"]
+    hard = '{"context_summary": "a \\"b\\" ]", "entities": [{"name": "x, ]}", "attributes": {"k": [1, {"z": "}"}]}}, {"name": "B"}, {"name": "cut'
+    assert [e["name"] for e in parsing.unit(hard, True)["entities"]] == ["x, ]}", "B"] and parsing.unit(hard, True)["context_summary"] == 'a "b" ]'
+    for n in range(len(hard)):
+        # whatever is cut off, only whole entities come back
+        found = parsing.unit(hard[:n], True)
+        assert found["error"] or [e["name"] for e in found["entities"]] in (["x, ]}"], ["x, ]}", "B"])
 
 
 class Flaky:
@@ -69,10 +75,15 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"text": "x", "title": "T"}\n\n{"text": null}\n')
     (tmp_path / "c.csv").write_text('body,title\n"two\nlines",T\n')
     (tmp_path / "d.json").write_text('[{"text": "one"}]')
-    read = lambda name, **k: documents.read_documents(spark, str(tmp_path / name), **k).collect()
+    read = lambda name, **k: documents.read_documents(spark, str(tmp_path / name), **k).orderBy("ord").collect()
     assert [(r.text, r.title) for r in read("a.txt")] == [("hello\nthere", "a")]
     assert [r.text for r in read("b.jsonl")] == ["x", ""]
     assert read("c.csv", text_column="body")[0].text == "two\nlines" and read("d.json")[0].text == "one"
+    (tmp_path / "many").mkdir()
+    for f in range(5):
+        (tmp_path / "many" / f"{f}.jsonl").write_text("".join(json.dumps({"text": f"{f}-{i}"}) + "\n" for i in range(7 - f)))
+    placed = documents.read_documents(spark, str(tmp_path / "many" / "*.jsonl")).orderBy("ord").collect()
+    assert [(r.ord, r.text) for r in placed] == list(enumerate(f"{f}-{i}" for f in range(5) for i in range(7 - f)))
     for name in ("c.csv", "e.xyz"):
         with pytest.raises(ValueError):
             read(name)

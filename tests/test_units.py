@@ -39,7 +39,8 @@ def test_errors_and_closure(spark):
 
 def test_patches_and_roll_up(spark):
     df = frame(spark, unit(), unit("sc-2", 1, present=["anna"], entities=[("Anna", "anna", "person", [])]))
-    merged = units.renamed(df, spark.createDataFrame([("anna", "ana")], "alias string, canonical string"))
+    merges = spark.createDataFrame([("d", "anna", "ana"), ("e", "ana", "zoe")], "doc_id string, alias string, canonical string")
+    merged = units.renamed(df.withColumn("doc_id", F.lit("d")), merges)
     rolled = {r.entity_id: r for r in units.roll_up(merged).collect()}
     assert rolled["ana"].name == "Ana" and rolled["ana"].aliases == ["A.", "Anna"] and rolled["ana"].scenes == 2
     fixed = units.patched(df, spark.createDataFrame([("sc-1", 2, "old fix", 0), ("sc-1", 2, "new fix", 1), ("sc-1", 9, "nowhere", 2)], "scene_id string, `order` int, content string, ord int"))
@@ -50,12 +51,12 @@ def test_scene_maps(spark):
     source = "Once there was a quay. Ana came.  Boris left at dawn."
     rows = [("a", 0, 22, "Once there was", "a quay."), ("b", 23, 53, "Ana came. Boris", "at dawn.")]
     schema = "scene_id string, start_char int, end_char int, start_quote string, end_quote string"
-    check = lambda r: {(e.scene_id, e.error) for e in units.map_errors(spark.createDataFrame(r, schema), F.lit(source), F.lit(len(source))).collect()}
+    check = lambda r: {(e.scene_id, e.error) for e in units.map_errors(spark.createDataFrame(r, schema).withColumn("doc_id", F.lit(1)), F.lit(source), F.lit(len(source))).collect()}
     assert check(rows) == set()
     assert ("b", "out of bounds") in check([rows[0], ("b", 23, 99, *rows[1][3:])])
     assert ("a", "start differs") in check([("a", 1, 22, *rows[0][3:])]) and ("b", "overlap") in check([("a", 0, 30, *rows[0][3:]), rows[1]])
     assert ("b", "end differs") in check([rows[0], (*rows[1][:4], "at noon")])
-    r = units.attribution(spark.createDataFrame(rows, schema), len(source)).first()
+    r = units.attribution(spark.createDataFrame(rows, schema).withColumn("doc_id", F.lit(1)), F.lit(len(source))).first()
     assert (r.covered, r.gaps) == (52, 1)
 
 
@@ -66,7 +67,7 @@ def test_objects(spark):
     assert sorted((r.group, r.parent) for r in g.collect()) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)]
     arcs = spark.createDataFrame([("x", ["ao-w003-001", "no", "ao-w003-000"]), ("y", ["no", "ao-w003-000"])], "name string, stages array<string>")
     assert [(r.name, r.stages) for r in units.arc_stages(arcs, o).collect()] == [("x", ["ao-w003-001", "ao-w003-000"])]
-    assert units.seams(spark.createDataFrame([(1,), (2,), (5,)], "window int")).count() == 2
+    assert units.seams(spark.createDataFrame([(7, 1), (7, 2), (7, 5), (8, 1)], "doc_id int, window int")).count() == 2
 
 
 def test_samples(spark):
