@@ -92,7 +92,7 @@ def references(used: DataFrame, declared: DataFrame) -> DataFrame:
 def variety(values: DataFrame, most: float = 0.45, repeats: int = 2) -> DataFrame:
     """Values (field, ord, value) neither repeat more than ``repeats`` times nor resemble each other: median Jaccard above ``most``."""
     again = values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > repeats).select(F.concat_ws(" ", "field", F.lit("repeats")).alias("v"))
-    alike = scenes.band_median(values, "field", "ord", X.check_tokens(F.col("value"))).where(F.col("median") > most).select(F.concat_ws(" ", "field", F.lit("alike")).alias("v"))
+    alike = scenes.band_median(values, "field", "ord", X.check_tokens(F.col("value")), step=None).where(F.col("median") > most).select(F.concat_ws(" ", "field", F.lit("alike")).alias("v"))
     return result(again.union(alike), "C6", "variety", False)
 
 
@@ -118,13 +118,13 @@ def restatement(objects: DataFrame, beats: DataFrame, least: float = 0.6, most:
     share = s.groupBy("ao_id").agg(F.max(overlap.containment(X.check_tokens(F.col("statement")), X.check_tokens(F.col("content")))).alias("s"))
     flagged = share.where(F.col("s") >= least)
     figures = share.agg(F.coalesce(F.avg((F.col("s") >= least).cast("double")), F.lit(0.0)).alias("share"))
-    return result(flagged.select(F.col("ao_id").alias("v")), "G2", "restatement", True, fail=F.col("share") > most, detail=figures)
+    return result(flagged.select(F.col("ao_id").alias("v")), "G2", "restatement", True, fail=F.col("share") > most, warn=F.col("n_violations") > 0, detail=figures)
 
 
 def confidence(objects: DataFrame, most: float = 0.75) -> DataFrame:
     """No level of confidence holds more than ``most`` of the objects; near-certain theories of mind are listed."""
-    g = objects.groupBy("confidence").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n") / F.sum("n"), F.lit(0.0)).alias("modal_share"))
-    listed = objects.where("type = 'theory_of_mind' AND confidence = 'near_certain'").select(F.col("ao_id").alias("v"))
+    g = objects.groupBy("confidence").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n") / F.sum("n"), F.lit(1.0)).alias("modal_share"))
+    listed = objects.where("type = 'theory_of_mind' AND confidence = 'near-certain'").select(F.col("ao_id").alias("v"))
     return result(listed, "G3", "confidence", False, fail=F.col("modal_share") > most, detail=g)
 
 

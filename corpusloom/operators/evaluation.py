@@ -68,25 +68,73 @@ def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str = "correct")
     return a.select(*keys, F.col(value).alias("value_a")).join(b.select(*keys, F.col(value).alias("value_b")), keys).withColumn("difference", F.col("value_a") - F.col("value_b"))
 
 
-def cluster_bootstrap(judged: DataFrame, by: str, cluster: str, correct: str = "correct", resamples: int = 10_000, seed: int = SEED) -> DataFrame:
-    """(by, accuracy, low, high): interval of accuracy over resampled clusters, 95 % by sorted places int(.025 n) and int(.975 n) - 1.
+def interval(values: list[float], closed: bool) -> tuple[float, float]:
+    """95 % by sorted places: int(.025 n), and int(.975 n) or, ``closed``, the place before it."""
+    v = sorted(values)
+    return v[int(0.025 * len(v))], v[int(0.975 * len(v)) - closed]
 
-    Clusters are summed before any draw, so a group holds one pair of numbers for each, and draws are made from those.
+
+def question_bootstrap(cell: DataFrame, by: str = "arm", order: str = "question_id", resamples: int = 2000, seed: int = 7) -> DataFrame:
+    """(by, low, high): interval of the mean accuracy over resampled questions with any answer, in the order of ``order``; zeros without any."""
+    shares = cell.where("total > 0").select(by, order, (F.col("correct") / F.col("total")).alias("_x"))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, rng = pdf.sort_values(order)["_x"].tolist(), random.Random(seed)
+        n = len(x)
+        low, high = interval([sum(x[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples)], False)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "low": [low], "high": [high]})
+
+    drawn = shares.groupBy(by).applyInPandas(draw, f"{by} {cell.schema[by].dataType.simpleString()}, low double, high double")
+    return cell.select(by).distinct().join(drawn, by, "left").select(by, F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
+
+
+def stratified_summary(cell: DataFrame, leaky_questions: DataFrame) -> DataFrame:
+    """(arm, stratum, questions, answered, unparseable, correct, accuracy): of all questions, and of those that don't leak."""
+    marked = cell.join(leaky_questions.select("question_id", F.lit(True).alias("_leaky")).distinct(), "question_id", "left")
+    kinds = F.when(F.col("_leaky"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("non_leaky")))
+    g = marked.withColumn("stratum", F.explode(kinds)).groupBy("arm", "stratum")
+    sums = g.agg(F.count(F.lit(1)).alias("questions"), F.sum("total").alias("answered"), F.sum("unparseable").alias("unparseable"), F.sum("correct").alias("correct"))
+    return sums.withColumn("accuracy", F.try_divide("correct", "answered"))
+
+
+def position_bias(samples: DataFrame, by: str = "arm", choice: str = "choice") -> DataFrame:
+    """(by, letter, share): how often each of the four letters was chosen, of all parsed choices; zeros where none was."""
+    one = lambda x: F.struct(F.lit(x).alias("letter"), F.coalesce(F.try_divide(F.count_if(F.col(choice) == x), F.count(choice)), F.lit(0.0)).alias("share"))
+    return samples.groupBy(by).agg(F.array(*map(one, LETTERS)).alias("_p")).select(by, F.explode("_p").alias("_p")).select(by, "_p.letter", "_p.share")
+
+
+def cluster_bootstrap(judged: DataFrame, by: str, cluster: str, correct: str = "correct", condition: str | None = None, order: str | None = None, versus: tuple[str, str] | None = None, resamples: int = 10_000, seed: int = SEED) -> DataFrame:
+    """(by, condition, accuracy, low, high, clusters): interval of accuracy over resampled clusters, 95 % by sorted places int(.025 n) and int(.975 n) - 1.
+
+    All conditions of a group share each draw, and ``versus`` adds the difference of two of them, as ``a-b``. Clusters
+    stand by their least ``order`` (their name without one) and are summed before any draw, so a group holds a few numbers
+    for each.
     """
-    sums = judged.groupBy(by, cluster).agg(F.sum(F.col(correct).cast("long")).alias("c"), F.count(F.lit(1)).alias("n"))
+    rows = judged.withColumn("_c", F.lit("all") if condition is None else F.col(condition)).withColumn("_o", F.col(cluster) if order is None else F.col(order))
+    sums = rows.groupBy(by, cluster, "_c").agg(F.sum(F.col(correct).cast("long")).alias("c"), F.count(F.lit(1)).alias("n"), F.min("_o").alias("_o"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = random.Random(seed)
-        pdf = pdf.sort_values(cluster)
-        c, n = pdf["c"].tolist(), pdf["n"].tolist()
-        size, got = len(c), []
+        places = pdf.groupby(cluster)["_o"].min().sort_values(kind="stable").index.tolist()
+        size, rng = len(places), random.Random(seed)
+        kinds = sorted(pdf["_c"].unique())
+        wide = {k: pdf[pdf["_c"] == k].set_index(cluster)[["c", "n"]].reindex(places).fillna(0) for k in kinds}
+        hits, all_ = ({k: w[x].to_numpy() for k, w in wide.items()} for x in "cn")
+        got: dict[str, list[float]] = {k: [] for k in kinds}
         for _ in range(resamples):
-            pick = rng.choices(range(size), k=size)
-            got.append(sum(c[i] for i in pick) / sum(n[i] for i in pick))
-        got.sort()
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "accuracy": [sum(c) / sum(n)], "low": [got[int(0.025 * resamples)]], "high": [got[int(0.975 * resamples) - 1]], "clusters": [size]})
-
-    return sums.groupBy(by).applyInPandas(draw, sums.select(by).schema.simpleString()[7:-1].replace(":", " ") + ", accuracy double, low double, high double, clusters long")
+            pick = [rng.choice(range(size)) for _ in range(size)]
+            for k in kinds:
+                n = all_[k][pick].sum()
+                got[k].append(hits[k][pick].sum() / n if n else 0.0)
+        points = {k: hits[k].sum() / all_[k].sum() for k in kinds}
+        if versus and set(versus) <= set(kinds):
+            a, b = versus
+            name = f"{a}-{b}"
+            got[name], points[name] = [x - y for x, y in zip(got[a], got[b])], points[a] - points[b]
+        ends = {k: interval(v, True) for k, v in got.items()}
+        return pd.DataFrame([(pdf[by].iloc[0], k, points[k], *ends[k], size) for k in got], columns=[by, "condition", "accuracy", "low", "high", "clusters"])
+
+    kind = f"{by} {judged.schema[by].dataType.simpleString()}, condition string, accuracy double, low double, high double, clusters long"
+    return sums.groupBy(by).applyInPandas(draw, kind)
 
 
 def manifest(documents: DataFrame, doc: str = "document_id", order: str = "source_index") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,15 +16,6 @@ def shuffled_order(n: int, seed: int = 250219413) -> list[int]:
     return order
 
 
-def strata(scenes: DataFrame, count: int, seed: int = 7) -> DataFrame:
-    """At most ``count`` scenes, in turn from 3 x 3 strata by place and by length modulo 3, drawn by hashed order within a stratum."""
-    a = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("scene_index")) - 1
-    b = F.row_number().over(Window.partitionBy("_a").orderBy("word_count", "scene_index")) - 1
-    s = scenes.where("word_count >= 20").withColumn("_a", a % 3).withColumn("_b", b % 3)
-    turn = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(F.xxhash64(F.lit(seed), "scene_id"), "scene_id"))
-    return s.withColumn("_t", turn).orderBy("_t", "_a", "_b").limit(count).drop("_a", "_b", "_t").orderBy("scene_index")
-
-
 def shuffled_options(questions: DataFrame, samples: int) -> DataFrame:
     """(…, sample, shown, correct_position): options of each question in an order hashed from its id and the sample's number."""
     q = questions.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
@@ -55,7 +46,7 @@ def paired_test(pairs: DataFrame, by: str, value: str = "difference", order: str
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order)[value].tolist()
         rng, n = random.Random(seed), len(x)
-        means = sorted(sum(rng.choices(x, k=n)) / n for _ in range(resamples))
+        means = sorted(sum(x[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
         p = 2 * min(sum(m <= 0 for m in means), sum(m >= 0 for m in means)) / resamples
         return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [sum(x) / n], "low": [means[int(0.025 * resamples)]], "high": [means[int(0.975 * resamples)]], "p": [p]})
 

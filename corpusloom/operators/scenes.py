@@ -90,12 +90,16 @@ def drifted(stated: DataFrame, source: DataFrame, group: str, value: str = "numb
     return a.join(b, [group, "_m"]).where(F.col(value) != F.col("original")).groupBy(group, value).agg(F.min("original").alias("original"))
 
 
-def band_median(df: DataFrame, group: str, order: str, tokens: str, step: int = 1, reach: int = 11) -> DataFrame:
-    """Upper median of the token Jaccard between rows at most ``reach`` places apart, the first at every ``step``-th place."""
+def band_median(df: DataFrame, group: str, order: str, tokens: str, step: int | None = 1, reach: int = 11) -> DataFrame:
+    """Upper median of the token Jaccard between rows at most ``reach`` places apart, the first at every ``step``-th place.
+
+    Without a step it is a sixtieth of the group's rows, at least 1.
+    """
     from ..functions.text import jaccard
 
     r = df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).withColumn("_t", F.array_distinct(tokens))
-    a = r.where(F.col("_i") % step == 0).select(group, F.col("_i").alias("_a"), F.col("_t").alias("_x"), F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + reach)).alias("_i"))
+    every = F.lit(step) if step else F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy(group)) / 60))
+    a = r.withColumn("_step", every).where(F.col("_i") % F.col("_step") == 0).select(group, F.col("_i").alias("_a"), F.col("_t").alias("_x"), F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + reach)).alias("_i"))
     pairs = a.join(r.select(group, "_i", F.col("_t").alias("_y")), [group, "_i"]).select(group, jaccard(F.col("_x"), F.col("_y")).alias("s"))
     s = F.array_sort(F.collect_list("s"))
     return pairs.groupBy(group).agg(s.alias("_s")).select(group, F.get("_s", F.floor(F.size("_s") / 2).cast("int")).alias("median"), F.size("_s").alias("pairs"))

@@ -140,6 +140,48 @@ def attribution(scenes: DataFrame, length: Column, doc: str = "doc_id") -> DataF
     return s.groupBy(doc).agg(F.sum("n").alias("covered"), F.round(F.try_divide(F.sum("n"), F.max("_n")), 4).alias("coverage"), F.sum("g").alias("gaps"))
 
 
+def source_refs(scenes: DataFrame, source: Column, doc: str = "doc_id") -> DataFrame:
+    """Scenes with their text cut from ``source``, its digest and fingerprint, and the scenes before and after them."""
+    from .overlap import token_minhash
+    from .scenes import chain
+
+    cut = F.substring(source, (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int"))
+    s = chain(scenes.withColumn("text", cut), doc, "scene_index", "scene_id")
+    return s.withColumn("sha256", X.sha256(F.col("text"))).withColumn("sentence_minhash", token_minhash()("text"))
+
+
+def windows_of(scenes: DataFrame, length: Column, context: Column, doc: str = "doc_id") -> DataFrame:
+    """(doc, window, scene_ids, start_char, end_char, context_start, context_end): numbered groups of scenes with ``context`` characters around them."""
+    g = scenes.withColumn("_n", length).groupBy(doc, "window").agg(F.array_sort(F.collect_list(F.struct("scene_index", "scene_id"))).alias("_s"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.max("_n").alias("_n"))
+    return g.select(doc, "window", F.col("_s.scene_id").alias("scene_ids"), "start_char", "end_char", F.greatest(F.lit(0), F.col("start_char") - context).alias("context_start"), F.least(F.col("_n"), F.col("end_char") + context).alias("context_end"))
+
+
+def characters_a_word(length: Column, words: Column) -> Column:
+    """What a page of words takes in characters of this text; 6.0 for a text whose scenes have no words."""
+    return F.when(F.coalesce(words, F.lit(0)) > 0, length / words).otherwise(F.lit(6.0))
+
+
+def window_texts(windows: DataFrame, source: Column) -> DataFrame:
+    """Windows with ``target``, ``before`` and ``after``; a canary's target is empty, since it ends where it starts."""
+    part = lambda a, b: F.substring(source, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int"))
+    return windows.withColumn("target", part("start_char", "end_char")).withColumn("before", part("context_start", "start_char")).withColumn("after", part("end_char", "context_end"))
+
+
+def canaries(windows: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """For each document of two windows or more the middle one as a canary: its scenes and surroundings with nothing between, numbered -1."""
+    w = Window.partitionBy(doc)
+    placed = windows.withColumn("_r", F.row_number().over(w.orderBy("window")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    middle = placed.where((F.col("_n") >= 2) & (F.col("_r") == F.floor(F.col("_n") / 2)))
+    return middle.withColumn("donor", F.col("window")).withColumn("window", F.lit(-1)).withColumn("end_char", F.col("start_char")).drop("_r", "_n")
+
+
+def listing(scenes: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, listing): a line for each scene with its id, words and heading, in order."""
+    line = F.format_string("%s  [%d w]  %s", "scene_id", "word_count", F.coalesce("heading", F.lit("")))
+    rows = scenes.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("scene_index", line.alias("line")))).alias("_l"))
+    return rows.select(doc, F.array_join("_l.line", "\n").alias("listing"))
+
+
 # ---------------------------------------------------------------- abstraction objects
 def numbered(objects: DataFrame, window: str = "window", round_: int | None = None) -> DataFrame:
     """ao_id by window, research round and place."""

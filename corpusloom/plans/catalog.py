@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import checks, chunking, entities, evaluation, overlap, sampling, scenes
+from ..operators import checks, chunking, entities, evaluation, instrument, overlap, sampling, scenes
 from . import extraction, models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,9 +145,9 @@ def alias_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.ascii_slug(F.concat_ws(" ", "source", "lang")).alias("slug"), X.spaced_key(head).alias("spaced"), X.bare_key(head).alias("bare"))
 
 
-@query("SELECT doc_id, '[' || substr(sha256(l), 1, 16) || ':' || len(string_split(l, ' ')) || ']' AS redaction FROM (SELECT doc_id, string_split(text, chr(10))[1] AS l FROM documents)")
+@query("SELECT doc_id, regexp_replace(text, '[0-9]+', 'N', 'g') AS text, '[' || substr(sha256(text), 1, 16) || ':' || len(string_split(text, ' ')) || ']' AS redaction FROM documents")
 def redacted_spans(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.gram_digest(F.get(F.split("text", "\n"), 0)).alias("redaction"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[0-9]+", "N").alias("text"), X.gram_digest(F.col("text")).alias("redaction"))
 
 
 # ---------------------------------------------------------------- overlap
@@ -321,9 +321,13 @@ def drift_pairs(spark, sf_dir):
     return scenes.drifted(n.where("lang = 'en'"), n.where("lang <> 'en'"), "source")
 
 
-@query(r"SELECT doc_id, s AS stamp, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b')) AS s FROM documents) GROUP BY doc_id, s HAVING count(*) >= 2")
+@query(
+    r"SELECT doc_id, s AS stamp, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text || repeat(' rev. ' || (doc_id % 28 + 1) || '/3/1998', CAST(doc_id % 4 AS INT)), '\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b')) AS s FROM documents) GROUP BY doc_id, s HAVING count(*) >= 2"
+)
 def revision_stamps(spark, sf_dir):
-    return scenes.stamps(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
+    stamp = F.repeat(F.format_string(" rev. %d/3/1998", F.col("doc_id") % 28 + 1), (F.col("doc_id") % 4).cast("int"))
+    return scenes.stamps(d.withColumn("text", F.concat("text", stamp)), "doc_id")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -353,21 +357,40 @@ def arm_summary(spark, sf_dir):
     return evaluation.arm_summary(_cells(spark, sf_dir))
 
 
-@query("WITH " + JUDGED + ", " + CELLS + " SELECT question_id FROM c WHERE arm = 'en' AND total > 0 AND correct / total >= 0.6")
+@query("WITH " + JUDGED + ", " + CELLS + " SELECT arm, question_id FROM c WHERE total > 0 AND correct / total >= 0.6")
 def leaky_filter(spark, sf_dir):
-    return evaluation.leaky(_cells(spark, sf_dir), arm="en")
+    c = _cells(spark, sf_dir)
+    return c.where((F.col("total") > 0) & (F.col("correct") / F.col("total") >= 0.6)).select("arm", "question_id")
 
 
-@query("WITH " + JUDGED + ", " + CELLS + " SELECT a.question_id, a.correct AS value_a, b.correct AS value_b, a.correct - b.correct AS difference FROM c a JOIN c b USING (question_id) WHERE a.arm = 'en' AND b.arm = 'de'")
+@query("WITH " + JUDGED + ", " + CELLS + " SELECT a.arm AS arm_a, b.arm AS arm_b, a.question_id, a.correct AS value_a, b.correct AS value_b, a.correct - b.correct AS difference FROM c a JOIN c b USING (question_id) WHERE a.arm < b.arm")
 def paired_difference(spark, sf_dir):
     c = _cells(spark, sf_dir)
-    return evaluation.paired(c.where("arm = 'en'"), c.where("arm = 'de'"), ["question_id"])
+    sides = [c.withColumnRenamed("arm", x) for x in ("arm_a", "arm_b")]
+    a, b = (d.select(x, "question_id", F.col("correct").alias(v)) for d, x, v in zip(sides, ("arm_a", "arm_b"), ("value_a", "value_b")))
+    return a.join(b, "question_id").where("arm_a < arm_b").withColumn("difference", F.col("value_a") - F.col("value_b"))
+
+
+@query("WITH " + JUDGED + ", " + CELLS + ", l AS (SELECT question_id FROM c WHERE arm = 'en' AND total > 0 AND correct / total >= 0.6), m AS (SELECT 'all' AS stratum, * FROM c UNION ALL SELECT 'non_leaky', * FROM c WHERE question_id NOT IN (SELECT question_id FROM l)) SELECT arm, stratum, count(*) AS questions, CAST(sum(total) AS BIGINT) AS answered, CAST(sum(unparseable) AS BIGINT) AS unparseable, CAST(sum(correct) AS BIGINT) AS correct, sum(correct) / nullif(sum(total), 0) AS accuracy FROM m GROUP BY arm, stratum")
+def stratified_arms(spark, sf_dir):
+    c = _cells(spark, sf_dir)
+    return evaluation.stratified_summary(c, evaluation.leaky(c, arm="en"))
+
+
+@query("WITH " + JUDGED + " SELECT condition AS arm, letter, coalesce(count(*) FILTER (pred = letter) / nullif(count(pred), 0), 0.0) AS share FROM j, (SELECT unnest(['A', 'B', 'C', 'D']) AS letter) GROUP BY condition, letter")
+def position_bias(spark, sf_dir):
+    return evaluation.position_bias(_judged(spark, sf_dir).select(F.col("condition").alias("arm"), F.col("pred").alias("choice")))
+
+
+@query()
+def question_bootstrap_ci(spark, sf_dir):
+    return evaluation.question_bootstrap(_cells(spark, sf_dir))
 
 
 @query()
 def cluster_bootstrap_ci(spark, sf_dir):
     j = _judged(spark, sf_dir).withColumn("correct", F.coalesce((F.col("pred") == F.col("gold")).cast("int"), F.lit(0)))
-    return evaluation.cluster_bootstrap(j, "condition", "source")
+    return evaluation.cluster_bootstrap(j.withColumn("group", F.lit("all")), "group", "source", condition="condition", order="doc_id", versus=("en", "de"))
 
 
 EXPANDED = "x AS (SELECT turn + conv_id * 100 AS idx, (SELECT 'c' || conv_id) AS text, text AS question, CASE turn % 5 WHEN 0 THEN 'a ' WHEN 1 THEN 'B' WHEN 2 THEN ' c' WHEN 3 THEN 'E' ELSE NULL END AS answer FROM conversations)"
@@ -460,9 +483,9 @@ def dangling_refs(spark, sf_dir):
     return cited.join(known, at == F.col("_r"), "left_anti")
 
 
-@query("SELECT role, text, count(*) AS n FROM conversations GROUP BY role, text HAVING count(*) > 2")
+@query("SELECT role, length(text) AS size, count(*) AS n FROM conversations GROUP BY role, length(text) HAVING count(*) > 2")
 def repeated_values(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    return table(spark, sf_dir, "conversations").groupBy("role", F.length("text").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("n")).where("n > 2")
 
 
 @query("SELECT event_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share, max(count(*)) OVER () / sum(count(*)) OVER () AS modal_share FROM events GROUP BY event_type")
@@ -508,19 +531,19 @@ def canonical_entities(spark, sf_dir):
 @query()
 def judge_answers(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    q = c.select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").alias("question_index"), F.lit("original").alias("condition"), F.col("role").alias("question"), F.col("text").alias("context"), F.lit("A").alias("gold"))
+    q = c.select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").alias("question_index"), F.lit("original").alias("condition"), F.col("role").alias("question"), F.col("text").alias("context"), F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("turn") % 4 + 1).cast("int")).alias("gold"))
     return evaluation.summary(extraction.judged(q, models.StubModel()))
 
 
 @query()
 def stratified_scenes(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("scene_id"), F.col("conv_id").alias("scene_index"), F.size(X.words(F.col("text"))).alias("word_count"))
-    return sampling.strata(c, 30)
+    d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("scene_index"), F.size(X.words(F.col("text"))).alias("word_count"))
+    return instrument.sampled_scenes(d, 25, doc="source")
 
 
 @query()
 def shuffled_options(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.slice(X.words(F.col("text")), 1, 4).alias("options"), F.lit(0).alias("correct_index")).where("size(options) = 4")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), X.words(F.col("text")).alias("options"), F.lit(0).alias("correct_index"))
     return sampling.shuffled_options(q, 3).select("question_id", "sample", F.array_join("shown", "|").alias("shown"), "correct_position")
 
 

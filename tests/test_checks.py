@@ -90,7 +90,7 @@ def test_g3(make):
     assert status(checks.confidence(make.objects())) == "pass"
     many = [(f"ao-{i}", *OBJECTS[0][1:]) for i in range(10)]
     assert status(checks.confidence(make.objects(many))) == "fail"
-    certain = checks.confidence(make.objects([OBJECTS[0], (*OBJECTS[1][:6], "near_certain", OBJECTS[1][7])])).first()
+    certain = checks.confidence(make.objects([OBJECTS[0], (*OBJECTS[1][:6], "near-certain", OBJECTS[1][7])])).first()
     assert certain.status == "pass" and certain.violations == ["ao-2"]
 
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans.catalog import ORACLES, QUERIES
+from corpusloom.plans.unit_catalog import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

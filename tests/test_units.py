@@ -74,9 +74,6 @@ def test_samples(spark):
     want = list(range(9))
     random.Random(250219413).shuffle(want)
     assert sampling.shuffled_order(9) == want
-    scenes = spark.createDataFrame([(f"s{i}", i, 10 + i) for i in range(40)], "scene_id string, scene_index int, word_count int")
-    got = [r.scene_index for r in sampling.strata(scenes, 12).collect()]
-    assert len(got) == 12 and got == sorted(got) and min(got) >= 10
     q = spark.createDataFrame([("q1", ["w", "x", "y", "z"], 2)], "question_id string, options array<string>, correct_index int")
     for r in sampling.shuffled_options(q, 6).collect():
         assert sorted(r.shown) == ["w", "x", "y", "z"] and r.shown[r.correct_position] == "y"
