@@ -34,7 +34,7 @@ WIDTH = 32
 SINGLE = 8
 NEAR = 32
 ROUNDS = 2
-STEP = 4096
+STEP = 8192
 END = np.uint64(0x1D8E4E27C47D124F)
 START_TYPE = TYPES + SUFFIXES
 # places of the tree: the root, its classes, their groups
@@ -403,24 +403,29 @@ def learn(weights: np.ndarray, tree: Tree, texts: list[np.ndarray], rate: float,
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
     types = np.concatenate(texts).astype(np.int64)
     one, two = histories(types, bounds)
+    seen, slot = np.zeros(len(weights), bool), np.zeros(len(weights), np.int64)
     for a in range(0, len(types), STEP):
         s = slice(a, a + STEP)
         token, place, branch = tree.steps(types[s])
         rows = feature_rows(place, one[s][token], two[s][token], size)
         _, g, total = _raised(weights, rows)
         g /= total[:, None]
-        n = len(token)
-        g[np.arange(n), branch] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat)
-        ranked = flat[order]
-        cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        step = np.add.reduceat(g.take(order % n, axis=0), cut, axis=0)
-        at = ranked[cut]
-        power[at] += np.einsum("ij,ij->i", step, step) / WIDTH
-        step *= (rate / np.sqrt(power[at]))[:, None]
-        weights[at] -= step
-        used[at] += np.diff(np.append(cut, len(flat)))
+        g[np.arange(len(token)), branch] -= 1
+        # sums by weight row, a column at a time: each kind of feature has rows of its own
+        columns = np.ascontiguousarray(g.T, np.float64)
+        for r in rows:
+            seen[r] = True
+            at = np.flatnonzero(seen)
+            seen[at] = False
+            slot[at] = np.arange(len(at))
+            which = slot[r]
+            step = np.empty((len(at), WIDTH), np.float32)
+            for j in range(WIDTH):
+                step[:, j] = np.bincount(which, weights=columns[j], minlength=len(at))
+            power[at] += np.einsum("ij,ij->i", step, step) / WIDTH
+            step *= (rate / np.sqrt(power[at]))[:, None]
+            weights[at] -= step
+            used[at] += np.bincount(which, minlength=len(at))
 
 
 def learn_round(texts: DataFrame, tree: Tree, weights: np.ndarray, rate: float, shards: int) -> np.ndarray:
@@ -454,7 +459,7 @@ def learn_round(texts: DataFrame, tree: Tree, weights: np.ndarray, rate: float,
         if now is not None:
             yield from done()
 
-    dealt = texts.repartition(max(1, shards), "_shard").sortWithinPartitions("_shard", "_order").select("_shard", "_types")
+    dealt = texts.repartitionById(shards, F.col("_shard").cast("int")).sortWithinPartitions("_shard", "_order").select("_shard", "_types")
     total = _assembled(dealt.mapInArrow(run, BLOCKS), len(weights), WIDTH + 1)
     return weights + total[:, :-1] / np.maximum(total[:, -1:], 1)
 
