@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from .entities import canonical_id
@@ -132,7 +133,10 @@ def retargeted(relations: DataFrame, groups: DataFrame, doc: str = "doc_id", tar
     return r.withColumn(target, F.coalesce("_c.canonical_name", target)).withColumn("target_id", F.col("_c.canonical_id")).drop("_f", "_c")
 
 
-@F.pandas_udf("array<struct<canonical_name:string,aliases:array<string>>>")
+_GROUPS = T.ArrayType(T.StructType([T.StructField("canonical_name", T.StringType()), T.StructField("aliases", T.ArrayType(T.StringType()))]))
+
+
+@F.pandas_udf(_GROUPS)
 def answered_groups(responses: pd.Series) -> pd.Series:
     """Alias groups of a resolver's answers, in either of their two shapes; none where an answer can't be read."""
     from ..plans.parsing import json_object

@@ -15,8 +15,8 @@ UNIT = (
     " entities array<struct<name:string,entity_id:string,type:string,aliases:array<string>>>"
 )
 #: fixed values: enumerations of a beat
-BEAT_TYPES = ("action", "dialogue", "revelation", "decision", "description", "transition")
-CERTAINTIES = ("stated", "implied", "inferred")
+BEAT_TYPES = ("action", "speech", "revelation", "state_change", "movement", "perception")
+CERTAINTIES = ("stated", "implied_by_action", "ambiguous")
 
 
 def text_fields(units: DataFrame) -> DataFrame:
@@ -43,8 +43,8 @@ def used_ids(units: DataFrame) -> DataFrame:
 def closed(units: DataFrame) -> DataFrame:
     """Units whose used ids are all declared: missing ones are added as entities named after their ids, marked ``auto`` by count."""
     used = F.array_distinct(F.filter(F.concat(F.coalesce("present", F.array()), F.coalesce("referenced", F.array()), F.transform("beats", lambda b: b.actor), F.transform("beats", lambda b: b.addressee)), lambda x: F.coalesce(x, F.lit("")) != ""))
-    missing = F.array_except(used, F.transform("entities", lambda e: e.entity_id))
-    added = F.transform(missing, lambda i: F.struct(F.replace(i, F.lit("_"), F.lit(" ")).alias("name"), i.alias("entity_id"), F.lit("concept").alias("type"), F.array().cast("array<string>").alias("aliases")))
+    missing = F.array_sort(F.array_except(used, F.transform("entities", lambda e: e.entity_id)))
+    added = F.transform(missing, lambda i: F.struct(F.replace(i, F.lit("_"), F.lit(" ")).alias("name"), i.alias("entity_id"), F.lit("other").alias("type"), F.array().cast("array<string>").alias("aliases")))
     return units.withColumn("auto_declared", F.size(missing)).withColumn("entities", F.concat("entities", added))
 
 

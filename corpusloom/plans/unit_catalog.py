@@ -11,13 +11,21 @@ from .catalog import ORACLES, PARAGRAPHS, QUERIES, RUNS, TOKENS, _paragraphs, qu
 
 __all__ = ["ORACLES", "QUERIES"]
 
-SCENE, REF = F.concat(F.lit("sc-"), F.col("conv_id").cast("string")), F.concat_ws("#", F.concat(F.lit("sc-"), F.col("conv_id").cast("string")), (F.col("turn") + 1).cast("string"))
+
+def _scene():
+    return F.concat(F.lit("sc-"), F.col("conv_id").cast("string"))
+
+
+def _ref():
+    return F.concat_ws("#", _scene(), (F.col("turn") + 1).cast("string"))
+
+
 BEATS = "b AS (SELECT 'sc-' || conv_id AS scene_id, 'sc-' || conv_id || '#' || (turn + 1) AS ref, turn + 1 AS o, role, text FROM conversations)"
 TYPES = ("motive", "theory_of_mind", "theme", "pattern")
 
 
 def _beats(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(SCENE.alias("scene_id"), REF.alias("ref"), (F.col("turn") + 1).cast("int").alias("order"), F.col("role").alias("actor"), F.col("text").alias("content"))
+    return table(spark, sf_dir, "conversations").select(_scene().alias("scene_id"), _ref().alias("ref"), (F.col("turn") + 1).cast("int").alias("order"), F.col("role").alias("actor"), F.col("text").alias("content"))
 
 
 def _pick(key: str, *values: str):
@@ -72,7 +80,7 @@ def beat_order_check(spark, sf_dir):
     b = table(spark, sf_dir, "conversations")
     order = F.when(F.col("conv_id") % 10 == 3, F.col("turn") + 2).otherwise(F.col("turn") + 1)
     cause = F.when(F.col("conv_id") % 7 == 2, F.col("turn") + 2).otherwise(F.col("turn"))
-    return _shown(checks.beat_order(b.select(SCENE.alias("scene_id"), order.alias("order"), F.filter(F.array(cause), lambda c: c >= 1).alias("causes"))))
+    return _shown(checks.beat_order(b.select(_scene().alias("scene_id"), order.alias("order"), F.filter(F.array(cause), lambda c: c >= 1).alias("causes"))))
 
 
 @query("WITH " + BEATS + ", d AS (SELECT DISTINCT scene_id, role FROM b WHERE o <= 1)" + _verdict("C5", "SELECT DISTINCT scene_id || ' ' || role AS v FROM b WHERE (scene_id, role) NOT IN (SELECT (scene_id, role) FROM d)", ANY))
@@ -243,7 +251,7 @@ def _units(spark, sf_dir) -> DataFrame:
     name = F.when(F.col("conv_id") % 3 == 0, F.upper(first)).otherwise(first)
     entity = F.struct(name.alias("name"), first.alias("entity_id"), F.when(F.col("conv_id") % 2 == 0, "person").otherwise("object").alias("type"), F.array(F.initcap(first)).alias("aliases"))
     return g.select(
-        SCENE.alias("scene_id"), F.col("conv_id").cast("int").alias("scene_index"), F.lit("").alias("context_before"), F.lit(None).cast("string").alias("context_after"), F.concat(F.lit("style of "), F.col("conv_id").cast("string")).alias("style"),
+        _scene().alias("scene_id"), F.col("conv_id").cast("int").alias("scene_index"), F.lit("").alias("context_before"), F.lit(None).cast("string").alias("context_after"), F.concat(F.lit("style of "), F.col("conv_id").cast("string")).alias("style"),
         F.array(first).alias("present"), F.array(F.lit("narrator")).alias("referenced"), "beats", F.array(entity).alias("entities"),
     )
 
