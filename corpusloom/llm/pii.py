@@ -280,7 +280,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 # ---------------------------------------------------------------- operators
-BATCH = 1 << 19
+BATCH = 1 << 18
 
 
 def _tagged(documents: DataFrame, tagger: Tagger, produce, fields: list[T.StructField], names: list[str]) -> DataFrame:
