@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, free_names, materialize
 
 WORD_GAPS = "[\\x20\\x09-\\x0D]+"
 REPEAT = 3
@@ -86,6 +86,7 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
         ),
         "mix-sizes",
     )
+    targets = cut = None
     try:
         targets = materialize(source_targets(sized), "mix-targets")
         head = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("n")).first()
@@ -129,7 +130,9 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
             "mix-result",
         )
     finally:
-        discard(sized)
+        for used in (sized, targets, cut):
+            if used is not None:
+                discard(used)
 
 
 def _prefix(sums: DataFrame, value: str, buckets: int) -> DataFrame:
@@ -188,8 +191,9 @@ def mixed(documents: DataFrame) -> DataFrame:
     Only documents at the edge of a block are taken in part. A text without words is taken not at all. Rows that repeat a
     key with as many words share what their key takes.
     """
-    taken = mix(documents).where("size > 0").groupBy("doc_id", "size").agg(F.round(F.avg("passes")).cast("int").alias("_times")).where("_times > 0")
-    taken = taken.select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"), "_times")
-    rows = documents.withColumn("_size", word_count(F.col("text")))
-    met = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_d"]) & (rows["_size"] == taken["_s"]))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*documents.columns)
+    d, s, times, size, copy = free_names(documents, "_d", "_s", "_times", "_size", "_copy")
+    taken = mix(documents).where("size > 0").groupBy("doc_id", "size").agg(F.round(F.avg("passes")).cast("int").alias(times)).where(F.col(times) > 0)
+    taken = taken.select(F.col("doc_id").alias(d), F.col("size").alias(s), times)
+    rows = documents.withColumn(size, word_count(F.col("text")))
+    met = rows.join(taken, rows["doc_id"].eqNullSafe(taken[d]) & (rows[size] == taken[s]))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*documents.columns)

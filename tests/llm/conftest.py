@@ -3,6 +3,8 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, node long, label int"
+#: names that operators would like for columns of their own
+CLASHING = ("_score", "_some", "_size", "_copy", "_d", "_s", "_times", "_node", "_h", "_row", "keys", "score", "_k")
 WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "omicron", "pi", "rho", "sigma", "tau", "upsilon"]
 
 

@@ -1,4 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
+
+from .conftest import CLASHING
 
 
 def test_pipeline_stages(spark, tmp_path, odd):
@@ -15,3 +18,16 @@ def test_pipeline_stages(spark, tmp_path, odd):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns, name
     assert docs.count() and not docs.where("NOT round_trip").count()
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path, odd):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    path = str(tmp_path / "documents.parquet")
+    odd.select("*", *(F.lit(name).alias(name) for name in CLASHING)).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.select(*CLASHING).distinct().collect()
+        assert [tuple(r) for r in rows] == [CLASHING], name
