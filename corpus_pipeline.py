@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import mixing, near_dup, pieces, pii, toxicity
-from corpusloom.llm.common import materialize, read_table
+from corpusloom.llm.common import free_names, materialize, read_table
 
 THRESHOLD = 0.7
 #: The sampled segmentations have no equivalent in SQL.
@@ -18,7 +18,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below THRESHOLD, by a model of all labels."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), holdout=None)
-    return toxicity.score(docs, model, out="_score").where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    (score,) = free_names(docs, "_score")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
