@@ -1,4 +1,4 @@
-"""Command line: extract, canonicalize and evaluate over files or tables, with the offline stub or a chat service."""
+"""Command line: extract, canonicalize and evaluate over files or tables, with the offline stub or a chat service; gate scenes or a graph."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluation
-from .plans import extraction, models
+from .plans import extraction, gates, models
 from .sources import documents
 
 
@@ -27,8 +27,16 @@ def main(argv: list[str] | None = None) -> int:
         v.add_argument("--text-column", default="text")
         v.add_argument("--offset", type=int, default=0)
         v.add_argument("--limit", type=int)
+    for name in ("gate-scenes", "gate-graph"):
+        v = verbs.add_parser(name)
+        v.add_argument("input")
+        v.add_argument("output")
+        v.add_argument("--verified", action="append", default=[])
+        v.add_argument("--canary-emitted", type=int)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("corpusloom").getOrCreate()
+    if a.verb.startswith("gate-"):
+        return 0 if gates.run(spark, a.verb[5:], a.input, a.output, a.verified, a.canary_emitted) else 1
     model: models.Model = models.StubModel() if a.model == "stub" else models.EndpointModel(a.model, tuple(a.url), a.key_variable)
     if a.verb == "extract":
         rows = documents.selected(documents.read_documents(spark, a.input, a.text_column), a.offset, a.limit)
