@@ -165,7 +165,7 @@ def windows_of(labelled: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.n
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.json")
 
 
-def train(labelled: list[tuple[str, list[Span]]], epochs: int = 8, start: Tagger | None = None) -> Tagger:
+def train(labelled: list[tuple[str, list[Span]]], epochs: int = 9, start: Tagger | None = None) -> Tagger:
     """A tagger for labelled spans; from ``start`` on where one is given."""
     tagger = start or Tagger(len(KINDS))
     tagger.fit(*windows_of(labelled), epochs=epochs)
@@ -325,4 +325,4 @@ def redact(documents: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
 if __name__ == "__main__":
     # how the weights beside this module were made
-    save(train(generated(8_000), epochs=8))
+    save(train(generated(10_000), epochs=9))
