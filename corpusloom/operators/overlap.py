@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,19 +67,30 @@ def token_minhash(permutations: int = 16):
         from decimal import Decimal
 
         seeds = [i.to_bytes(4, "little") for i in range(permutations)]
-        cache: dict[str, list[int]] = {}
+        word = re.compile(r"\w+")
+        # digests of the tokens met in this batch, a row each; as many as fit a bound, then it starts anew
+        places: dict[str, int] = {}
+        digests = np.empty((1 << 12, permutations), np.uint64)
+
+        def place(token):
+            nonlocal digests
+            at = places.get(token)
+            if at is None:
+                at = places[token] = len(places)
+                if at == len(digests):
+                    digests = np.concatenate([digests, np.empty_like(digests)])
+                data = token.encode()
+                digests[at] = np.frombuffer(b"".join([hashlib.blake2b(s + data, digest_size=8).digest() for s in seeds]), "<u8")
+            return at
 
         def row(text):
-            least = None
-            for token in set(re.findall(r"\w+", (text or "").casefold())):
-                h = cache.get(token)
-                if h is None:
-                    data = token.encode()
-                    h = [int.from_bytes(hashlib.blake2b(s + data, digest_size=8).digest(), "little") for s in seeds]
-                    if len(cache) < 200_000:
-                        cache[token] = h
-                least = h if least is None else [min(x, y) for x, y in zip(least, h)]
-            return [Decimal(x) for x in least] if least else []
+            tokens = set(word.findall((text or "").casefold()))
+            if not tokens:
+                return []
+            if len(places) > 1 << 18:
+                places.clear()
+            at = [place(t) for t in tokens]
+            return [Decimal(int(x)) for x in digests[at].min(axis=0)]
 
         return texts.map(row)
 
