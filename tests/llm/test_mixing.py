@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,40 @@ def test_stage(spark, odd, none_at_all):
     words = out.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("w")).collect()
     targets = {r.source: r.target for r in mixing.mix(odd).select("source", "target").distinct().collect()}
     assert all(abs(r.w - targets[r.source]) < 0.2 * targets[r.source] + 30_000 for r in words)
+
+
+def test_taken_words_equal_a_walk_through_the_schedule(spark):
+    """Slots, blocks and words by plain loops over every word of a small corpus."""
+    r = random.Random(6)
+    rows = [(i, " ".join("w" * r.randint(0, 40)), r.choice(["a", "b", "c", None])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: x for x in mixing.mix(docs).collect()}
+    placed = docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id").alias("h")).collect()
+    hashed = {x.doc_id: x.h for x in placed}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i, _, x in rows if x == s) for s in names}
+    target = {x.source: x.target for x in got.values()}
+    everything = sum(total.values())
+    most = {s: min(mixing.block_words(everything), max(1, total[s] // mixing.CUTS)) for s in names}
+    blocks = {s: -(-total[s] // most[s]) for s in names}
+    share = {s: target[s] * blocks[s] / total[s] for s in names}
+    slots, line, low = round(sum(share.values())), {}, 0.0
+    for s in names:
+        line[s] = (low, low + share[s])
+        low += share[s]
+    times, rank = {s: [0] * blocks[s] for s in names}, dict.fromkeys(names, 0)
+    for t in range(slots):
+        u = ((t * mixing.GOLDEN) % 2**64 >> 32) / 2**32
+        (s,) = [s for s in names if line[s][0] / low <= u < line[s][1] / low]
+        if rank[s] < mixing.REPEAT * blocks[s]:
+            times[s][rank[s] % blocks[s]] += 1
+        rank[s] += 1
+    # the buckets of a source come before the hashes within them
+    buckets = max(64, len(rows) // 256)
+    for s in names:
+        at = 0
+        for i in sorted((i for i, _, x in rows if x == s), key=lambda i: (hashed[i] % buckets, hashed[i], i)):
+            want = sum(times[s][((at + k + 1) * blocks[s] - 1) // total[s]] for k in range(size[i]))
+            assert got[i].taken == want, (s, i)
+            at += size[i]

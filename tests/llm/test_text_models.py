@@ -110,6 +110,56 @@ def test_lm_empty(spark, none_at_all):
     assert maxent.lm_scores(none_at_all).count() == 0
 
 
+def small_tree(seed=0, kinds=200):
+    r = np.random.default_rng(seed)
+    table = np.concatenate([r.integers(0, 50, (kinds, 6)), r.integers(1, 400, (kinds, 1))], axis=1).astype(float)
+    return maxent.Tree(table, kinds)
+
+
+def slow_score(weights, tree, size, ty, one, two):
+    """One token's log-probability by loops over the branches of each place on its path."""
+    total = 0.0
+    places = [0, 1 + tree.path[ty, 0], 1 + maxent.WIDTH + maxent.WIDTH * tree.path[ty, 0] + tree.path[ty, 1]]
+    for level in range(tree.depth[ty]):
+        rows = maxent.feature_rows(np.array([places[level]]), np.array([one]), np.array([two]), size)[:, 0]
+        z = [sum(float(weights[r][b]) for r in rows) for b in range(maxent.WIDTH)]
+        top = max(z)
+        total += z[tree.path[ty, level]] - top - math.log(sum(math.exp(x - top) for x in z))
+    return total
+
+
+def test_lm_scores_against_loops():
+    tree, size, r = small_tree(), 64, np.random.default_rng(1)
+    weights = np.concatenate([tree.bias, r.standard_normal((3 * size, maxent.WIDTH)).astype(np.float32)])
+    ty, one, two = (r.integers(0, 200, 60) for _ in range(3))
+    got = maxent.type_scores(weights, tree, ty, one, two)
+    want = [slow_score(weights, tree, size, *x) for x in zip(ty, one, two)]
+    assert np.abs(got - want).max() < 1e-3
+
+
+def test_lm_step_follows_the_gradient():
+    tree, size, r = small_tree(3), 64, np.random.default_rng(2)
+    weights = np.concatenate([tree.bias, 0.1 * r.standard_normal((3 * size, maxent.WIDTH))]).astype(np.float32)
+    text = r.integers(0, 200, 40).astype("<u2")
+    bounds = np.array([0, len(text)])
+    types = text.astype(np.int64)
+    one, two = maxent.histories(types, bounds)
+    loss = lambda w: -maxent.type_scores(w, tree, types, one, two).sum()
+    after, power, used = weights.copy(), np.ones(len(weights), np.float32), np.zeros(len(weights), np.float32)
+    maxent.learn(after, tree, [text], 0.1, power, used)
+    token, place, branch = tree.steps(types)
+    assert used.sum() == 4 * len(token) and loss(after) < loss(weights)
+    for row, col in {(int(maxent.feature_rows(place[i : i + 1], one[token[i : i + 1]], two[token[i : i + 1]], size)[k, 0]), int(branch[i])) for i in (0, 7, 50) for k in range(4)}:
+        sides = []
+        for h in (1e-2, -1e-2):
+            moved = weights.astype(np.float64)
+            moved[row, col] += h
+            sides.append(loss(moved))
+        slope = (sides[0] - sides[1]) / 2e-2
+        # the step is the gradient over the root of what the row has gathered
+        assert abs((weights[row, col] - after[row, col]) - 0.1 * slope / math.sqrt(power[row])) < 2e-3
+
+
 # ---------------------------------------------------------------- toxicity
 def test_toxicity_holds_out_and_learns(spark, odd, none_at_all):
     docs = [(i, prose(30, i) + (" you vile fool" if i % 4 == 0 else "") + prose(30, 900 + i)) for i in range(400)]
@@ -127,6 +177,31 @@ def test_toxicity_holds_out_and_learns(spark, odd, none_at_all):
     assert toxicity.toxicity(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_ftrl_against_loops():
+    p = toxicity.Ftrl(bits=6, epochs=2, min_texts=1, l1=0.05)
+    r = np.random.default_rng(4)
+    examples = [(np.unique(r.integers(0, 64, 9)).astype(np.uint32), int(r.random() < 0.4)) for _ in range(60)]
+    examples += [(np.array([1, 2], np.uint32), 1)] * 3  # repeats teach once
+    kept, weights, bias = toxicity.fit(examples, p)
+    z, n, z0, n0 = [0.0] * 64, [0.0] * 64, 0.0, 0.0
+    once = list({tuple(c): (c, y) for c, y in examples}.values())
+    share = sum(y for _, y in once) / len(once)
+    start = math.log(share / (1 - share))
+    weight = lambda i: 0.0 if abs(z[i]) <= p.l1 else -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+    for _ in range(p.epochs):
+        for cells, y in once:
+            b = start - z0 / ((p.beta + math.sqrt(n0)) / p.alpha + p.l2)
+            g = 1 / (1 + math.exp(-(sum(weight(int(i)) for i in cells) + b))) - y
+            for i, w in [(int(i), weight(int(i))) for i in cells]:
+                rise = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha
+                z[i] += g - rise * w
+                n[i] += g * g
+            z0 += g - (math.sqrt(n0 + g * g) - math.sqrt(n0)) / p.alpha * (b - start)
+            n0 += g * g
+    assert list(kept) == [i for i in range(64) if abs(z[i]) > p.l1]
+    assert np.allclose(weights, [weight(int(i)) for i in kept])
+
+
 # ---------------------------------------------------------------- pages
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site name</header>
 <nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><div class="cookie-notice">We use cookies here</div>
