@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -191,6 +192,14 @@ def words_of(column: pa.Array, separator: np.ndarray = SPACE) -> tuple[np.ndarra
     return hash_spans(text, starts, ends), np.searchsorted(starts, offsets, side="left").astype(np.int64)
 
 
+def give_back() -> None:
+    """Returns memory that the allocators of arrow and C keep for later; an idle worker then holds little of an executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def batches(source, limit: int = 1 << 21):
     """Record batches cut so that the strings of each come to about ``limit`` bytes; one long text is a batch of its own."""
     for batch in source:
@@ -208,6 +217,7 @@ def batches(source, limit: int = 1 << 21):
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def counts_to_rows(bounds: np.ndarray) -> np.ndarray:
