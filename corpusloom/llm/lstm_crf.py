@@ -9,7 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 TRAIN_WINDOW = 96
-WINDOW, STRIDE = 256, 232
+WINDOW, STRIDE, GRAIN = 512, 480, 32
+CELLS = 1 << 17  # symbols whose states are held at a time
 NEVER = 1e4  # what a tag other than outside loses where there is no text
 SYMBOLS = 130  # 0 pads, 1-128 are ASCII, 129 is any other character
 
@@ -190,20 +191,26 @@ class Tagger:
         begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)
         weight = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)
         sums, loads = np.zeros((begins[-1], self.tags), np.float32), np.zeros(begins[-1], np.float32)
-        owner = [(k, a) for k, x in enumerate(texts) if len(x) for a in range(0, max(1, len(x) - WINDOW + STRIDE), STRIDE)]
-        for at in range(0, len(owner), 512):
-            part = owner[at : at + 512]
-            windows = np.zeros((len(part), WINDOW), np.uint8)
-            for i, (k, a) in enumerate(part):
-                piece = texts[k][a : a + WINDOW]
-                windows[i, : len(piece)] = piece
-            e = self.emissions(windows)
-            e *= weight[:, None, None]
-            e = np.ascontiguousarray(e.transpose(2, 0, 1))
-            for i, (k, a) in enumerate(part):
-                m, to = min(WINDOW, len(texts[k]) - a), begins[k] + a
-                sums[to : to + m] += e[i, :m]
-                loads[to : to + m] += weight[:m]
+        # a text's last window is only as long as what is left of it, rounded up, whatever stands beside it
+        owner: dict[int, list[tuple[int, int]]] = {}
+        for k, x in enumerate(texts):
+            for a in range(0, max(1, len(x) - WINDOW + STRIDE) if len(x) else 0, STRIDE):
+                owner.setdefault(-(-min(WINDOW, len(x) - a) // GRAIN) * GRAIN, []).append((k, a))
+        for steps, every in sorted(owner.items()):
+            many = max(1, CELLS // steps)
+            for at in range(0, len(every), many):
+                part = every[at : at + many]
+                windows = np.zeros((len(part), steps), np.uint8)
+                for i, (k, a) in enumerate(part):
+                    piece = texts[k][a : a + WINDOW]
+                    windows[i, : len(piece)] = piece
+                e = self.emissions(windows)
+                e *= weight[:steps, None, None]
+                e = np.ascontiguousarray(e.transpose(2, 0, 1))
+                for i, (k, a) in enumerate(part):
+                    m, to = min(WINDOW, len(texts[k]) - a), begins[k] + a
+                    sums[to : to + m] += e[i, :m]
+                    loads[to : to + m] += weight[:m]
         sums /= np.maximum(loads, 1)[:, None]
         sums[begins[1:] - 1, 1:] = -NEVER
         return sums, begins
