@@ -456,7 +456,7 @@ def fallback_groups(spark, sf_dir):
 
 @query()
 def alias_candidates(spark, sf_dir):
-    return entities.alias_pairs(table(spark, sf_dir, "supplier"), "s_nationkey", "s_name")
+    return entities.alias_pairs(table(spark, sf_dir, "supplier").withColumn("doc_id", F.expr("s_suppkey % 5")), "doc_id", "s_name")
 
 
 @query("WITH e AS (SELECT label, avg(CAST(embedding[1] AS DOUBLE)) AS m FROM embeddings GROUP BY label) SELECT label, round(m, 6) AS mean FROM e")
