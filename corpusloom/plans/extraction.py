@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.lineage import cut
+from ..operators import canonical as canon
 from ..operators import chunking, entities, overlap
 from . import models, parsing
+from . import prompts as prompts_of
 
 
 @dataclass(frozen=True)
@@ -88,15 +90,25 @@ def mentions(units: DataFrame) -> DataFrame:
     return e.select("doc_id", "chunk_index", (F.col("chunk_index") * 100_000 + F.col("i")).alias("pos"), F.col("e.name").alias("name"), F.col("e.entity_type").alias("type"))
 
 
-def canonical(units: DataFrame) -> DataFrame:
-    """(doc_id, canonical_id, canonical_name, type, aliases, mentions) from names that are equal but for case and punctuation."""
+def resolver_answers(units: DataFrame, model: models.Model, max_tokens: int = 4096) -> DataFrame:
+    """(doc_id, response, error): one answer a document to its names by chunk and the pairs of them that look alike. Documents without names aren't asked."""
     m = mentions(units)
-    grouped = entities.alias_groups(m)
-    lookup = grouped.select("doc_id", F.explode("aliases").alias("alias"), F.get("aliases", F.lit(0)).alias("canonical_name"), F.lit(0).alias("ord")).withColumn("canonical_id", entities.canonical_id("canonical_name"))
-    named = entities.rewritten(m, lookup).withColumn("canonical_id", F.coalesce("canonical_id", entities.canonical_id("canonical_name")))
-    kinds = entities.majority_type(named, "doc_id", "canonical_id", "type", "pos")
-    names = named.groupBy("doc_id", "canonical_id").agg(F.min_by("canonical_name", "pos").alias("canonical_name"), F.array_sort(F.collect_set("name")).alias("aliases"))
-    return names.join(kinds, ["doc_id", "canonical_id"])
+    listed = units.where(F.size("unit.entities") > 0).select("doc_id", F.struct("chunk_index", F.col("unit.context_summary").alias("summary"), F.transform("unit.entities", lambda e: F.struct(e["name"].alias("name"), e.entity_type.alias("type"))).alias("entities")).alias("c"))
+    names = listed.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list("c"))).alias("_names"))
+    pairs = entities.alias_pairs(m, "doc_id").groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(F.array("left_name", "right_name")))).alias("_pairs"))
+    none = F.lit("")
+    asked = names.join(pairs, "doc_id", "left").select("doc_id", prompts_of.aliases(F.col("_names"), F.coalesce("_pairs", F.lit("[]")), none, none).alias("prompt"))
+    return models.answer(asked, model, max_tokens=max_tokens).drop("prompt")
+
+
+def canonical(units: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """(doc_id, canonical_id, canonical_name, type, aliases, mentions): a model's groups (doc_id, response), guarded by class, then names that are equal but for case and punctuation."""
+    m = mentions(units)
+    groups = canon.all_groups(m, None if answers is None else canon.groups_of(answers))
+    named = canon.canonicalized(m, groups)
+    return named.groupBy("doc_id", F.col("entity_id").alias("canonical_id")).agg(
+        F.min_by("name", "pos").alias("canonical_name"), F.array_sort(F.collect_set("original")).alias("aliases"), F.min_by("type", "pos").alias("type"), F.count(F.lit(1)).alias("mentions")
+    )
 
 
 def judged(questions: DataFrame, model: models.Model, rounds: int = 4) -> DataFrame:

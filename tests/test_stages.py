@@ -237,3 +237,30 @@ def test_gated_runs(spark, tmp_path):
     assert (tmp_path / "b" / "quarantine").is_dir() and (tmp_path / "b" / "raw").is_dir()
     assert main(["gate-graph", str(tmp_path / "t"), str(tmp_path / "c")]) == 0
     assert spark.read.parquet(str(tmp_path / "c" / "protocol")).count() == 8
+
+
+def test_documents_are_resolved_by_a_model(spark):
+    from corpusloom.plans import extraction
+
+    docs = spark.createDataFrame([(1, "Anna Karlsen came. Then Anna Karlsson left with Boris."), (2, "nothing here."), (3, "Karl saw Boris.")], "doc_id int, text string")
+
+    class Reader:
+        name = "reader"
+
+        def generate_batch(self, prompts, max_tokens=None):
+            names = ["Anna Karlsen", "Anna Karlsson", "Boris", "Karl"]
+            out = []
+            for p in prompts:
+                if "PAIRS TO LOOK AT" in p:
+                    assert '["Anna Karlsen","Anna Karlsson"]' in p or "Karl\"" in p
+                    out.append(json.dumps({"alias_groups": {"Anna Karlsen": ["Anna Karlsen", "Anna Karlsson"]}}) if "Karlsson" in p else "no idea")
+                else:
+                    target = p.rsplit("TARGET", 1)[1]
+                    out.append(json.dumps({"context_summary": "s", "entities": [{"name": n, "type": "person"} for n in names if n in target]}))
+            return out
+
+    units_ = extraction.extract(docs, Reader())
+    answers = extraction.resolver_answers(units_, Reader())
+    assert {r.doc_id for r in answers.collect()} == {1, 3}
+    got = {(r.doc_id, r.canonical_id): (r.aliases, r.mentions) for r in extraction.canonical(units_, answers).collect()}
+    assert got[1, "anna_karlsen"] == (["Anna Karlsen", "Anna Karlsson"], 2) and (3, "karl") in got
