@@ -10,8 +10,10 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK = (1 << 64) - 1
 
@@ -92,6 +94,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, order: list[Column], at: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``df`` with the position of each row in the whole order, from 0, as column ``at``; ``keep`` stores a table of it.
+
+    Rows are cut into ranges of the order, with ties told apart by their place in the input, so that equal rows are
+    spread as well. Each range numbers its own rows, and the driver adds up one count a range.
+    """
+    part, row, tie = free_names(df, "_part", "_row", "_tie")
+    names = [*df.columns, part, row]
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order, F.col(tie)).sortWithinPartitions(*order, F.col(tie)).drop(tie)
+
+    def number(source):
+        done, mine = 0, TaskContext.get().partitionId()
+        for batch in source:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, mine, np.int32)), pa.array(np.arange(done, done + n))], names=names)
+            done += n
+
+    stored = keep(ranged.mapInArrow(number, T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(row, T.LongType())])), "numbered")
+    starts, before = [], 0
+    for r in stored.groupBy(part).count().orderBy(part).collect():
+        starts.append((r[0], before))
+        before += r[1]
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, f"{part} int, {tie} long"))
+    return stored.join(first, part).select(*df.columns, (F.col(row) + F.col(tie)).alias(at))
+
+
 def key_residue(column: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit(""))) % F.lit(modulus)
@@ -112,8 +140,8 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SEGMENT = 1 << 21
 _powers: dict[int, np.ndarray] = {}
 
@@ -171,7 +199,7 @@ def hash_spans(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     Works through segments of bounded length, so that the extra memory does not grow with the text.
     """
     out = np.empty(len(starts), dtype=np.uint64)
-    table = _BYTE[_LOWER] if lower else _BYTE
+    table = _BYTE[LOWER] if lower else _BYTE
     i = 0
     while i < len(starts):
         low = int(starts[i])
@@ -192,6 +220,31 @@ def words_of(column: pa.Array, separator: np.ndarray = SPACE) -> tuple[np.ndarra
     return hash_spans(text, starts, ends), np.searchsorted(starts, offsets, side="left").astype(np.int64)
 
 
+def distinct_spans(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Codes of the byte ranges, which ascend and don't overlap, and the distinct byte strings that the codes number."""
+    inside = np.zeros(len(text) + 1, dtype=np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    data = text[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return dictionary(data, offsets)
+
+
+def dictionary(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Codes of the byte strings that lie one after another, and the distinct ones."""
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = spans.dictionary_encode()
+    return np.asarray(coded.indices), coded.dictionary
+
+
+def run_lengths(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each stands in the stream."""
+    ordered = np.sort(stream, kind="stable" if stream.itemsize < 4 else None)  # counting sort, or vector instructions
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[heads], np.diff(np.append(heads, len(ordered)))
+
+
 def give_back() -> None:
     """Returns memory that the allocators of arrow and C keep for later; an idle worker then holds little of an executor's."""
     pa.default_memory_pool().release_unused()

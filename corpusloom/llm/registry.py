@@ -15,7 +15,9 @@ from .mixing import mix
 from .pieces import segmentations
 from .pii import find
 from .near_dup import near_duplicates
+from .resampling import importance_sample
 from .sketch import fingerprints
+from .token_files import token_digests
 from .toxicity import toxicity
 
 
@@ -59,6 +61,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
