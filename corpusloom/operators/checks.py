@@ -83,10 +83,15 @@ def beat_order(beats: DataFrame) -> DataFrame:
 
 
 def references(used: DataFrame, declared: DataFrame) -> DataFrame:
-    """Ids in use (scene_id, entity_id) are declared (scene_id, entity_id, auto); more than half declared automatically warns."""
-    dangling = used.join(declared, ["scene_id", "entity_id"], "left_anti").select(F.concat_ws(" ", "scene_id", "entity_id").alias("v"))
-    share = declared.agg(F.coalesce(F.avg(F.col("auto").cast("double")), F.lit(0.0)).alias("auto_share"))
-    return result(dangling, "C5", "references", False, warn=F.col("auto_share") > 0.5, detail=share)
+    """Ids in use (scene_id, path, entity_id) are declared by some unit (entity_id, auto); more than half of the records made by closure warn.
+
+    Ids are compared once each, so that an id used everywhere meets its declaration in one row.
+    """
+    ids = used.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n"))
+    lost = ids.join(declared.select("entity_id").distinct(), "entity_id", "left_anti")
+    dangling = used.join(lost.select("entity_id"), "entity_id", "left_semi").select(F.concat_ws(" ", "scene_id", "path", "entity_id").alias("v"))
+    records = declared.agg(F.coalesce(F.avg(F.col("auto").cast("double")), F.lit(0.0)).alias("auto_share"), F.count_if("auto").alias("auto_declared"), F.count(F.lit(1)).alias("entity_records"), F.count_distinct("entity_id").alias("declared_ids"))
+    return result(dangling, "C5", "references", False, warn=F.col("auto_share") > 0.5, detail=records.crossJoin(F.broadcast(ids.agg(F.count(F.lit(1)).alias("referenced_ids")))))  # one row by one row
 
 
 def variety(values: DataFrame, most: float = 0.45, repeats: int = 2) -> DataFrame:

@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.nested import Leaf, Walk, built
 
 UNIT = (
-    "scene_id string, scene_index int, context_before string, context_after string, style string, present array<string>, referenced array<string>,"
-    " beats array<struct<`order`:int,type:string,actor:string,addressee:string,content:string,causes:array<int>,certainty:string>>,"
-    " entities array<struct<name:string,entity_id:string,type:string,aliases:array<string>>>"
+    "scene_id string, scene_index int, heading struct<raw:string,location:string>, context_before string, context_after string, style string, present array<string>, referenced array<string>,"
+    " beats array<struct<`order`:int,type:string,actor:string,addressee:string,content:string,facts:struct<quantities:array<string>,dates:array<string>,proper_nouns:array<string>,locations:array<string>>,"
+    "state_changes:array<struct<entity:string,field:string,`from`:string,`to`:string>>,causes:array<int>,certainty:string>>,"
+    " entities array<struct<name:string,entity_id:string,type:string,aliases:array<string>,attributes:map<string,string>,relationships:array<struct<predicate:string,target:string,target_id:string>>>>,"
+    " extraction_warnings array<string>"
 )
-#: fixed values: enumerations of a beat
+#: fixed values: enumerations of a beat, the facts kept word for word, and what marks an entity that closure declared
 BEAT_TYPES = ("action", "speech", "revelation", "state_change", "movement", "perception")
 CERTAINTIES = ("stated", "implied_by_action", "ambiguous")
+FACTS = ("quantities", "dates", "proper_nouns", "locations")
+DECLARED_BY, CLOSURE = "declared_by", "reference_closure"
+#: what the leaves of a unit are: authored text, ids in use, ids declared, facts that must survive word for word
+WALK = Walk(
+    {c: Leaf("text") for c in ("context_before", "context_after", "style", "beats.content", "beats.state_changes.field", "beats.state_changes.from", "beats.state_changes.to", "entities.attributes", "entities.relationships.target")}
+    | {c: Leaf("id") for c in ("present", "referenced", "beats.actor", "beats.addressee", "beats.state_changes.entity")}
+    | {"entities.relationships.target_id": Leaf("id", "relationships.target_id"), "entities.entity_id": Leaf("declared"), "heading.raw": Leaf("heading"), "heading.location": Leaf("heading")}
+    | {f"beats.facts.{c}": Leaf("fact") for c in FACTS},
+    {"beats": "order", "entities": "entity_id"},
+)
+
+
+def leaves(units: DataFrame, *kinds: str) -> DataFrame:
+    """(scene_id, path, kind, value): the leaves of these kinds that hold something, one row each."""
+    return units.select("scene_id", F.explode(WALK.found(units.schema, *kinds)).alias("x")).select("scene_id", "x.*")
 
 
 def text_fields(units: DataFrame) -> DataFrame:
     """(scene_id, path, text): every authored string that isn't empty with its place."""
-    whole = [units.select("scene_id", F.lit(c).alias("path"), F.col(c).alias("text")) for c in ("context_before", "context_after", "style")]
-    beats = units.select("scene_id", F.posexplode("beats").alias("i", "b")).select("scene_id", F.format_string("beats[%d].content", F.col("i")).alias("path"), F.col("b.content").alias("text"))
-    names = units.select("scene_id", F.posexplode("entities").alias("i", "e")).select("scene_id", F.format_string("entities[%d].name", F.col("i")).alias("path"), F.col("e.name").alias("text"))
-    return reduce(DataFrame.unionByName, [*whole, beats, names]).where(F.coalesce("text", F.lit("")) != "")
+    return leaves(units, "text").select("scene_id", "path", F.col("value").alias("text"))
 
 
 def beat_refs(units: DataFrame) -> DataFrame:
@@ -34,18 +47,35 @@ def beat_refs(units: DataFrame) -> DataFrame:
 
 
 def used_ids(units: DataFrame) -> DataFrame:
-    """(scene_id, entity_id) that beats, present and referenced name."""
-    b = units.select("scene_id", F.explode("beats").alias("b"))
-    parts = [units.select("scene_id", F.explode(c).alias("entity_id")) for c in ("present", "referenced")] + [b.select("scene_id", F.col(f"b.{c}").alias("entity_id")) for c in ("actor", "addressee")]
-    return reduce(DataFrame.union, parts).where(F.coalesce("entity_id", F.lit("")) != "").distinct()
+    """(scene_id, path, entity_id) wherever a unit names an entity by its id."""
+    return leaves(units, "id").select("scene_id", "path", F.col("value").alias("entity_id"))
+
+
+def declared_ids(units: DataFrame) -> DataFrame:
+    """(scene_id, entity_id, auto): the units' entity records, and whether closure made them."""
+    e = units.select("scene_id", F.explode("entities").alias("e"))
+    return e.select("scene_id", F.nullif("e.entity_id", F.lit("")).alias("entity_id"), F.coalesce(F.try_element_at("e.attributes", F.lit(DECLARED_BY)) == CLOSURE, F.lit(False)).alias("auto"))
 
 
 def closed(units: DataFrame) -> DataFrame:
-    """Units whose used ids are all declared: missing ones are added as entities named after their ids, marked ``auto`` by count."""
-    used = F.array_distinct(F.filter(F.concat(F.coalesce("present", F.array()), F.coalesce("referenced", F.array()), F.transform("beats", lambda b: b.actor), F.transform("beats", lambda b: b.addressee)), lambda x: F.coalesce(x, F.lit("")) != ""))
-    missing = F.array_sort(F.array_except(used, F.transform("entities", lambda e: e.entity_id)))
-    added = F.transform(missing, lambda i: F.struct(F.replace(i, F.lit("_"), F.lit(" ")).alias("name"), i.alias("entity_id"), F.lit("other").alias("type"), F.array().cast("array<string>").alias("aliases")))
-    return units.withColumn("auto_declared", F.size(missing)).withColumn("entities", F.concat("entities", added))
+    """Units whose used ids are all declared: each missing one becomes an empty entity named after its id, with a warning.
+
+    ``auto_declared`` is their number. A unit without a gap is as it was.
+    """
+    used = F.transform(WALK.found(units.schema, "id"), lambda x: x.value)
+    own = F.transform(WALK.found(units.schema, "declared"), lambda x: x.value)
+    kind = units.schema["entities"].dataType
+    empty = lambda i: built(kind.elementType, name=F.replace(i, F.lit("_"), F.lit(" ")), entity_id=i, type=F.lit("other"), attributes=F.create_map(F.lit(DECLARED_BY), F.lit(CLOSURE)))
+    u = units.withColumn("_missing", F.array_sort(F.array_distinct(F.array_except(used, own))))
+    said = F.format_string("auto-declared %d entity id(s) referenced but not defined: %s", F.size("_missing"), F.array_join("_missing", ", "))
+    gap = F.size("_missing") > 0
+    return u.withColumns(
+        {
+            "auto_declared": F.size("_missing"),
+            "entities": F.when(gap, F.concat(F.coalesce("entities", F.array().cast(kind)), F.transform("_missing", empty))).otherwise(F.col("entities")),
+            "extraction_warnings": F.when(gap, F.concat(F.coalesce("extraction_warnings", F.array().cast("array<string>")), F.array(said))).otherwise(F.col("extraction_warnings")),
+        }
+    ).drop("_missing")
 
 
 def unit_errors(units: DataFrame, expected: DataFrame) -> DataFrame:
@@ -56,7 +86,7 @@ def unit_errors(units: DataFrame, expected: DataFrame) -> DataFrame:
         (F.coalesce(F.size("beats"), F.lit(0)) < 1, "no beats"),
         (F.transform("beats", lambda b: b["order"]) != F.sequence(F.lit(1), F.greatest(F.size("beats"), F.lit(1))), "orders not 1 to n"),
         (F.exists("beats", lambda b: ~b.type.isin(*BEAT_TYPES) | ~b.certainty.isin(*CERTAINTIES)), "unknown type or certainty"),
-        (F.exists("beats", lambda b: F.length(F.coalesce(b.content, F.lit(""))) < 10), "content too short"),
+        (F.exists("beats", lambda b: F.length(F.trim(F.coalesce(b.content, F.lit("")))) < 10), "content too short"),
         (F.exists("beats", lambda b: F.exists(F.coalesce(b.causes, F.array().cast("array<int>")), lambda c: (c < 1) | (c >= b["order"]))), "cause not before"),
     ]
     found = units.select("scene_id", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for c, m in bad)))).alias("error"))
@@ -77,14 +107,8 @@ def renamed(units: DataFrame, aliases: DataFrame, doc: str = "doc_id") -> DataFr
     A document's merges come as one map with its units; nothing of other documents is looked at.
     """
     table = aliases.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("_m"))
-    to = lambda i: F.coalesce(F.try_element_at("_m", i), i)
-    return units.join(table, doc, "left").select(
-        *(c for c in units.columns if c not in ("present", "referenced", "beats", "entities")),
-        F.transform("present", to).alias("present"),
-        F.transform("referenced", to).alias("referenced"),
-        F.transform("beats", lambda b: b.withField("actor", to(b.actor)).withField("addressee", to(b.addressee))).alias("beats"),
-        F.transform("entities", lambda e: e.withField("entity_id", to(e.entity_id))).alias("entities"),
-    )
+    met = units.join(table, doc, "left")
+    return WALK.rewritten(met, lambda i: F.coalesce(F.try_element_at("_m", i), i), "id", "declared").select(*units.columns)
 
 
 def patched(units: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -108,12 +132,49 @@ def roll_up(units: DataFrame) -> DataFrame:
     return out.select("entity_id", "name", "type", F.filter("_a", lambda a: a != F.col("name")).alias("aliases"), F.coalesce("scenes", F.lit(0)).alias("scenes"))
 
 
-def rendered(units: DataFrame, minimal: bool = False) -> DataFrame:
-    """(scene_id, scene_index, digest): a compact text of each unit."""
-    line = lambda b: F.concat(b["order"].cast("string"), F.lit(". "), F.when(F.coalesce(b.actor, F.lit("")) != "", F.concat(b.actor, F.lit(": "))).otherwise(""), b.content)
-    body = F.array_join(F.transform("beats", line), "\n")
-    head = F.format_string("[%s]", "scene_id")
-    return units.select("scene_id", "scene_index", (F.concat_ws("\n", head, body) if minimal else F.concat_ws("\n", head, "context_before", body, "context_after")).alias("digest"))
+def rendered(units: DataFrame, verbosity: str = "full") -> DataFrame:
+    """(scene_id, scene_index, digest): a compact text of each unit.
+
+    ``minimal`` leaves out what was before and after, ``full`` has both, any other word what was before. Of a beat's facts
+    its quantities and dates follow it.
+    """
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    some = lambda c: F.nullif(c, F.lit(""))
+    none = F.array().cast("array<string>")
+
+    def beat(b: Column) -> Column:
+        facts = F.concat(*(F.coalesce(b.facts[c], none) for c in FACTS[:2]))
+        tail = F.when(F.size(facts) > 0, F.concat(F.lit("  ["), F.array_join(facts, "; "), F.lit("]"))).otherwise("")
+        to = F.coalesce(F.concat(F.lit(" -> "), some(b.addressee)), F.lit(""))
+        line = F.concat(shown(b["order"]), F.lit(". ["), shown(b.type), F.lit("] "), F.coalesce(some(b.actor), F.lit("?")), to, F.lit(": "), shown(b.content), tail)
+        changes = F.transform(b.state_changes, lambda c: F.concat(F.lit("     ~ "), shown(c.entity), F.lit("."), shown(c.field), F.lit(": "), shown(c["from"]), F.lit(" -> "), shown(c["to"])))
+        return F.concat(F.array(line), F.coalesce(changes, none))
+
+    head = F.concat(F.lit("## "), shown(F.col("scene_id")), F.lit(" | "), F.coalesce(some(F.col("heading.raw")), F.lit("(no heading)")))
+    before = F.concat(F.lit("Before: "), some(F.col("context_before"))) if verbosity != "minimal" else F.lit(None).cast("string")
+    here = F.when(F.size("present") > 0, F.concat(F.lit("Present: "), F.array_join("present", ", ")))
+    after = F.concat(F.lit("After: "), some(F.col("context_after"))) if verbosity == "full" else F.lit(None).cast("string")
+    lines = F.concat(F.array(head, before, here), F.coalesce(F.flatten(F.transform("beats", beat)), none), F.array(after))
+    return units.select("scene_id", "scene_index", F.array_join(F.array_compact(lines), "\n").alias("digest"))
+
+
+def rendered_chain(units: DataFrame, documents: DataFrame, doc: str = "doc_id", verbosity: str = "full") -> DataFrame:
+    """(doc, chain, tokens): a document's units in order under its heading, and about how many tokens that is.
+
+    documents: doc, title, draft, draft_date, credited_as. A document without units has its heading alone.
+    """
+    or_ = lambda c, word: F.coalesce(F.nullif(c, F.lit("")), F.lit(word))
+    keyed = units.select(doc, "scene_id").join(rendered(units, verbosity), "scene_id")
+    body = keyed.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scene_index", "scene_id", "digest"))), lambda x: x.digest), "\n\n").alias("_body"))
+    head = F.concat_ws(
+        "\n",
+        F.format_string("KNOWLEDGE UNITS — %s (%s, %s)", or_("title", "untitled"), or_("draft", "draft unknown"), or_("draft_date", "date unknown")),
+        F.concat(F.lit("Credited as: "), or_("credited_as", "unknown")),
+        F.lit("Scenes in order. Each scene lists its beats in the order the audience receives them."),
+        F.lit(""),
+    )
+    chain = documents.join(body, doc, "left").select(doc, F.concat(head, F.coalesce("_body", F.lit(""))).alias("chain"))
+    return chain.withColumn("tokens", X.estimated_tokens(F.col("chain")))
 
 
 # ---------------------------------------------------------------- scene maps

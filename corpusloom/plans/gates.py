@@ -15,11 +15,11 @@ def scene_checks(unit: DataFrame, scene: DataFrame, canary_emitted: int | None =
     """C1 to C7. unit: units.UNIT; scene: scene_id, text, kind, location, speakers, stamps."""
     fields = units.text_fields(unit)
     paths = fields.select(F.concat_ws(".", "scene_id", "path").alias("path"), "scene_id", "text")
-    blobs = fields.groupBy("scene_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("blob"))
+    # what a unit records, its heading included, as one text
+    blobs = unit.select("scene_id", F.array_join(F.transform(units.WALK.found(unit.schema, "text", "heading"), lambda x: x.value), " ").alias("blob"))
     stated = paths.select("scene_id", F.explode(scenes.numbers(F.col("text"))).alias("number"))
     source = scene.select("scene_id", F.explode(scenes.numbers(F.col("text"))).alias("number"))
     beats = unit.select("scene_id", F.explode("beats").alias("b")).select("scene_id", F.col("b.order").alias("order"), F.coalesce("b.causes", F.array().cast("array<int>")).alias("causes"))
-    declared = unit.select("scene_id", F.explode("entities").alias("e")).select("scene_id", F.col("e.entity_id").alias("entity_id"), F.lit(False).alias("auto"))
     shown = unit.select("scene_index", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("context_before", "context_after", "style")))).alias("f"))
     values = shown.select("f.field", F.col("scene_index").alias("ord"), "f.value").where(X.text_of(F.col("value")) != "")
     spark = unit.sparkSession
@@ -28,7 +28,7 @@ def scene_checks(unit: DataFrame, scene: DataFrame, canary_emitted: int | None =
         checks.verbatim(paths.select("path", "text"), scene.select("scene_id", "text")),
         recall.fidelity(recall.recalled(scene, blobs), scenes.drifted(stated, source, "scene_id")),
         checks.beat_order(beats),
-        checks.references(units.used_ids(unit), declared),
+        checks.references(units.used_ids(unit), units.declared_ids(unit)),
         checks.variety(values),
         checks.canary(spark, canary_emitted),
     ]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.nested import built
 from ..operators import canonical, checks, entities, graph, instrument, overlap, recall, scenes, units
+from ..operators.units import UNIT
 from .catalog import ORACLES, PARAGRAPHS, QUERIES, RUNS, TOKENS, _paragraphs, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -83,12 +86,6 @@ def beat_order_check(spark, sf_dir):
     return _shown(checks.beat_order(b.select(_scene().alias("scene_id"), order.alias("order"), F.filter(F.array(cause), lambda c: c >= 1).alias("causes"))))
 
 
-@query("WITH " + BEATS + ", d AS (SELECT DISTINCT scene_id, role FROM b WHERE o <= 1)" + _verdict("C5", "SELECT DISTINCT scene_id || ' ' || role AS v FROM b WHERE (scene_id, role) NOT IN (SELECT (scene_id, role) FROM d)", ANY))
-def reference_check(spark, sf_dir):
-    b = _beats(spark, sf_dir).select("scene_id", F.col("actor").alias("entity_id"), "order")
-    return _shown(checks.references(b.select("scene_id", "entity_id").distinct(), b.where("order <= 1").select("scene_id", "entity_id").distinct().withColumn("auto", F.lit(False))))
-
-
 @query(
     "WITH t AS (SELECT role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS i, count(*) OVER (PARTITION BY role) AS k, list_distinct("
     + TOKENS.format("text")
@@ -242,33 +239,60 @@ def alias_chains(spark, sf_dir):
 
 # ---------------------------------------------------------------- units
 def _units(spark, sf_dir) -> DataFrame:
-    """Conversations as units: roles are entities under names in two cases, the first role is declared."""
-    b = F.struct(
-        (F.col("turn") + 1).cast("int").alias("order"), F.lit("dialogue").alias("type"), F.col("role").alias("actor"), F.lit(None).cast("string").alias("addressee"), F.col("text").alias("content"), F.filter(F.array(F.col("turn").cast("int")), lambda t: t > 0).alias("causes"), F.lit("stated").alias("certainty"),
-    )
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(b)).alias("beats"))
+    """Conversations as whole units: roles are entities under names in two cases, the first role is declared, others and a narrator aren't."""
+    kind = T._parse_datatype_string(UNIT)
+    beat, entity = kind["beats"].dataType.elementType, kind["entities"].dataType.elementType
+    turn, conv = F.col("turn"), F.col("conv_id")
+    change = F.struct(F.when(conv % 10 == 7, "ghost").otherwise(F.col("role")).alias("entity"), F.lit("mood").alias("field"), F.when(turn > 0, "calm").alias("from"), F.lit("tense").alias("to"))
+    facts = F.struct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)).alias("quantities"), F.array().alias("dates"), F.array(F.initcap("role")).alias("proper_nouns"), F.lit(None).alias("locations"))
+    b = built(beat, order=turn + 1, type=F.lit("speech"), actor=F.col("role"), content=F.col("text"), facts=facts, state_changes=F.filter(F.array(F.when(turn % 2 == 0, change)), lambda x: x.isNotNull()), causes=F.filter(F.array(turn.cast("int")), lambda t: t > 0), certainty=F.lit("stated"))
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", b.alias("b")))).alias("_b")).withColumn("beats", F.transform("_b", lambda x: x.b))
     first = F.get("beats", F.lit(0)).getField("actor")
-    name = F.when(F.col("conv_id") % 3 == 0, F.upper(first)).otherwise(first)
-    entity = F.struct(name.alias("name"), first.alias("entity_id"), F.when(F.col("conv_id") % 2 == 0, "person").otherwise("object").alias("type"), F.array(F.initcap(first)).alias("aliases"))
-    return g.select(
-        _scene().alias("scene_id"), F.col("conv_id").cast("int").alias("scene_index"), F.lit("").alias("context_before"), F.lit(None).cast("string").alias("context_after"), F.concat(F.lit("style of "), F.col("conv_id").cast("string")).alias("style"),
-        F.array(first).alias("present"), F.array(F.lit("narrator")).alias("referenced"), "beats", F.array(entity).alias("entities"),
+    knows = F.struct(F.lit("knows").alias("predicate"), F.lit("the narrator").alias("target"), F.when(conv % 3 != 0, "old_narrator").alias("target_id"))
+    person = built(
+        entity, name=F.when(conv % 3 == 0, F.upper(first)).otherwise(first), entity_id=first, type=F.when(conv % 2 == 0, "person").otherwise("object"), aliases=F.array(F.initcap(first)),
+        attributes=F.create_map(F.lit("tone"), F.lit("flat"), F.lit("seat"), (conv % 7).cast("string")), relationships=F.array(knows),
+    )
+    unit = built(
+        kind, scene_id=_scene(), scene_index=conv, heading=F.struct(F.when(conv % 4 != 0, F.concat(F.lit("INT. ROOM "), (conv % 5).cast("string"))).alias("raw"), F.lit(None).alias("location")), context_before=F.when(conv % 2 == 0, F.concat(F.lit("before it all is quiet in room "), conv.cast("string"))).otherwise(""),
+        context_after=F.when(conv % 3 == 0, F.lit("nobody speaks of it afterwards")), style=F.concat(F.lit("style of "), conv.cast("string")), present=F.array(first), referenced=F.array(F.lit("narrator")), beats=F.col("beats"), entities=F.array(person),
     )
+    return g.select(unit.alias("u")).select("u.*")
 
 
+SPOKEN = "c AS (SELECT 'sc-' || conv_id AS s, conv_id, turn, role, text, 'beats[' || (turn + 1) || ']' AS b, CASE WHEN conv_id % 10 = 7 THEN 'ghost' ELSE role END AS g FROM conversations)"
 FIRST = "f AS (SELECT conv_id, role AS id, CASE WHEN conv_id % 3 = 0 THEN upper(role) ELSE role END AS name, CASE WHEN conv_id % 2 = 0 THEN 'person' ELSE 'object' END AS type FROM conversations WHERE turn = 0)"
 
 
-@query(
-    "WITH " + FIRST + " SELECT 'sc-' || conv_id AS scene_id, 'beats[' || turn || '].content' AS path, text FROM conversations WHERE text <> '' UNION ALL SELECT 'sc-' || conv_id, 'style', 'style of ' || conv_id FROM f UNION ALL SELECT 'sc-' || conv_id, 'entities[0].name', name FROM f"
+TEXTS = (
+    "SELECT s AS scene_id, b || '.content' AS path, text FROM c WHERE text <> '' UNION ALL SELECT s, b || '.state_changes.field', 'mood' FROM c WHERE turn % 2 = 0 UNION ALL SELECT s, b || '.state_changes.from', 'calm' FROM c WHERE turn % 2 = 0 AND turn > 0"
+    " UNION ALL SELECT s, b || '.state_changes.to', 'tense' FROM c WHERE turn % 2 = 0 UNION ALL SELECT 'sc-' || conv_id, 'style', 'style of ' || conv_id FROM f UNION ALL SELECT 'sc-' || conv_id, 'context_before', 'before it all is quiet in room ' || conv_id FROM f WHERE conv_id % 2 = 0"
+    " UNION ALL SELECT 'sc-' || conv_id, 'context_after', 'nobody speaks of it afterwards' FROM f WHERE conv_id % 3 = 0 UNION ALL SELECT 'sc-' || conv_id, 'entities[' || id || '].attributes', unnest(['flat', CAST(conv_id % 7 AS VARCHAR)]) FROM f UNION ALL SELECT 'sc-' || conv_id, 'entities[' || id || '].relationships.target', 'the narrator' FROM f"
+)
+USED = (
+    "u AS (SELECT conv_id, s, b || '.actor' AS p, role AS i FROM c UNION ALL SELECT conv_id, s, b || '.state_changes.entity', g FROM c WHERE turn % 2 = 0 UNION ALL SELECT conv_id, 'sc-' || conv_id, 'present', id FROM f UNION ALL SELECT conv_id, 'sc-' || conv_id, 'referenced', 'narrator' FROM f"
+    " UNION ALL SELECT conv_id, 'sc-' || conv_id, 'relationships.target_id', 'old_narrator' FROM f WHERE conv_id % 3 <> 0)"
 )
+
+
+@query("WITH " + FIRST + ", " + SPOKEN + " " + TEXTS)
 def unit_fields(spark, sf_dir):
     return units.text_fields(_units(spark, sf_dir))
 
 
-@query("WITH " + FIRST + " SELECT 'sc-' || conv_id AS scene_id, CAST(1 + count(DISTINCT role) FILTER (role <> id) AS INT) AS auto_declared, 1 + 1 + count(DISTINCT role) FILTER (role <> id) AS entities FROM conversations JOIN f USING (conv_id) GROUP BY conv_id")
+@query("WITH " + FIRST + ", " + SPOKEN + ", " + USED + _verdict("C5", "SELECT s || ' ' || p || ' ' || i AS v FROM u WHERE i NOT IN (SELECT id FROM f)", ANY))
+def reference_check(spark, sf_dir):
+    u = _units(spark, sf_dir)
+    return _shown(checks.references(units.used_ids(u), units.declared_ids(u)))
+
+
+@query(
+    "WITH " + FIRST + ", " + SPOKEN + ", " + USED + ", m AS (SELECT f.conv_id, list_sort(list(DISTINCT i) FILTER (i <> id)) AS l FROM u JOIN f USING (conv_id) GROUP BY f.conv_id)"
+    " SELECT 'sc-' || conv_id AS scene_id, CAST(len(l) AS INT) AS auto_declared, 1 + len(l) AS entities, 'auto-declared ' || len(l) || ' entity id(s) referenced but not defined: ' || array_to_string(l, ', ') AS warning, replace(l[-1], '_', ' ') AS last_name FROM m"
+)
 def reference_closure(spark, sf_dir):
-    return units.closed(_units(spark, sf_dir)).select("scene_id", "auto_declared", F.size("entities").cast("long").alias("entities"))
+    done = units.closed(_units(spark, sf_dir))
+    return done.select("scene_id", "auto_declared", F.size("entities").cast("long").alias("entities"), F.array_join("extraction_warnings", "|").alias("warning"), F.element_at("entities", -1)["name"].alias("last_name"))
 
 
 @query(
@@ -278,9 +302,14 @@ def entity_roll_up(spark, sf_dir):
     return units.roll_up(_units(spark, sf_dir)).withColumn("aliases", F.array_join("aliases", "|"))
 
 
-@query("SELECT 'sc-' || conv_id AS scene_id, '[sc-' || conv_id || ']' || chr(10) || string_agg((turn + 1) || '. ' || role || ': ' || text, chr(10) ORDER BY turn) AS digest FROM conversations GROUP BY conv_id")
+@query(
+    "WITH x AS (SELECT *, regexp_extract_all(text, '[0-9]+') AS q FROM conversations), l AS (SELECT conv_id, turn, (turn + 1) || '. [speech] ' || role || ': ' || coalesce(text, 'None') || CASE WHEN len(q) > 0 THEN '  [' || array_to_string(q, '; ') || ']' ELSE '' END"
+    " || CASE WHEN turn % 2 = 0 THEN chr(10) || '     ~ ' || CASE WHEN conv_id % 10 = 7 THEN 'ghost' ELSE role END || '.mood: ' || CASE WHEN turn = 0 THEN 'None' ELSE 'calm' END || ' -> tense' ELSE '' END AS line, role FROM x)"
+    " SELECT 'sc-' || conv_id AS scene_id, '## sc-' || conv_id || ' | ' || CASE WHEN conv_id % 4 <> 0 THEN 'INT. ROOM ' || (conv_id % 5) ELSE '(no heading)' END || CASE WHEN conv_id % 2 = 0 THEN chr(10) || 'Before: before it all is quiet in room ' || conv_id ELSE '' END"
+    " || chr(10) || 'Present: ' || first(role ORDER BY turn) || chr(10) || string_agg(line, chr(10) ORDER BY turn) || CASE WHEN conv_id % 3 = 0 THEN chr(10) || 'After: nobody speaks of it afterwards' ELSE '' END AS digest FROM l GROUP BY conv_id"
+)
 def rendered_units(spark, sf_dir):
-    return units.rendered(_units(spark, sf_dir), minimal=True).select("scene_id", "digest")
+    return units.rendered(_units(spark, sf_dir)).select("scene_id", "digest")
 
 
 @query(

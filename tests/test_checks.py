@@ -62,7 +62,7 @@ def test_c4(make, beats, want):
 @pytest.mark.parametrize("used,auto,want", [(["ana"], False, "pass"), (["ana", "zoe"], False, "fail"), (["ana"], True, "warn")])
 def test_c5(make, used, auto, want):
     declared = make([("sc-1", "ana", auto)], "scene_id string, entity_id string, auto boolean")
-    assert status(checks.references(make([("sc-1", u) for u in used], "scene_id string, entity_id string"), declared)) == want
+    assert status(checks.references(make([("sc-1", "present", u) for u in used], "scene_id string, path string, entity_id string"), declared)) == want
 
 
 @pytest.mark.parametrize("values,want", [([f"word{i} other{i} thing{i}" for i in range(12)], "pass"), (["same old style"] * 30, "fail"), (["one two three four five", "one two three four six"] * 2, "fail")])

@@ -11,6 +11,8 @@ from corpusloom.operators import canonical, evaluation, graph, instrument, recal
 from corpusloom.plans import schemas, stages
 from corpusloom.sources import artifacts
 
+from .records import beat, entity, frame, unit
+
 
 class Says:
     """Answers each prompt by the first rule whose key it holds; counts what it was asked."""
@@ -213,8 +215,7 @@ def test_artifacts(spark, tmp_path):
 
 
 def test_beats_put_in_one_after_the_other(spark):
-    beats = [(i, "action", "a", None, f"old {i}", [], "stated") for i in (1, 2)]
-    u = spark.createDataFrame([("s1", 0, "", "", "", [], [], beats, [])], units.UNIT)
+    u = frame(spark, unit("s1", beats=[beat(i, f"old {i}") for i in (1, 2)]))
     new = spark.createDataFrame([("s1", 0, 0, "action", "a", None, "first"), ("s1", 1, 1, "action", "a", None, "second"), ("s1", 99, 2, "action", "a", None, "last")], "scene_id string, after_order int, ord int, type string, actor string, addressee string, content string")
     got = graph.perceived(u, new).first().beats
     assert [(b.order, b.content) for b in got] == [(1, "first"), (2, "second"), (3, "old 1"), (4, "old 2"), (5, "last")]
@@ -223,8 +224,8 @@ def test_beats_put_in_one_after_the_other(spark):
 def test_gated_runs(spark, tmp_path):
     from corpusloom.__main__ import main
 
-    beats = [(1, "action", "ana", None, "A worker hears that one box is missing from the load", [], "stated"), (2, "speech", "ana", None, "She asks how 47 of them could be signed for", [1], "stated")]
-    u = spark.createDataFrame([("s1", 0, "before all this nothing is known", "after it they part in silence", "short plain lines without colour", ["ana"], [], beats, [("Ana", "ana", "person", [])])], units.UNIT)
+    beats = [beat(1, "Ana hears that one box is missing from the load"), beat(2, "She asks how 47 of them could be signed for", type="speech", causes=[1])]
+    u = frame(spark, unit("s1", context_before="before all this nothing is known", context_after="after it they part in silence", style="short plain lines without colour", referenced=[], beats=beats, entities=[entity("ana")]))
     scene = spark.createDataFrame([("s1", "HEADING\nAna counts 47 boxes twice on the quay.", "EXT", "", ["ANA"], [])], "scene_id string, text string, kind string, location string, speakers array<string>, stamps array<string>")
     objects = spark.createDataFrame([("a1", "theory_of_mind", "s1", "Ana suspects that someone lied to her", ["s1#1"], "she asks twice", "plausible", "a receipt", None), ("a2", "hypothesis", "s1", "the load was short from the start", ["s1#2"], "numbers differ", "probable", "a full hold", None)], "ao_id string, type string, scene_id string, statement string, grounded_in array<string>, reasoning string, confidence string, falsifier string, superseded_by string")
     tables = {"units": u, "scenes": scene, "objects": objects, "links": spark.createDataFrame([("a1", "a2")], "from_ao string, to_ao string"), "evidence": spark.createDataFrame([("a1", "contradicts")], "ao_id string, stance string")}

@@ -2,43 +2,87 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import sampling, units
+from corpusloom.operators import checks, sampling, units
 
-
-def unit(scene="sc-1", index=0, **changes):
-    beats = [(i, "action", "ana", None, f"something happens {i}", [i - 1] if i > 1 else [], "stated") for i in (1, 2, 3)]
-    base = {"scene_id": scene, "scene_index": index, "context_before": "before that nothing of note", "context_after": "after that nothing of note", "style": "short and plain sentences", "present": ["ana"], "referenced": ["boris"], "beats": beats, "entities": [("Ana", "ana", "person", ["A."]), ("Boris", "boris", "person", [])]}
-    return tuple((base | changes).values())
-
-
-def frame(spark, *rows):
-    return spark.createDataFrame(list(rows), units.UNIT)
+from .records import beat, entity, frame, unit
 
 
 def test_fields_and_refs(spark):
+    change = {"entity": "ana", "field": "mood", "from": None, "to": "tense"}
+    full = unit(
+        beats=[beat(1, "Ana waits", state_changes=[change, change | {"from": "calm", "to": ""}]), beat(None, "no place")], present=None,
+        entities=[entity("ana", attributes={"tone": "flat", "none": None}, relationships=[{"predicate": "knows", "target": "the narrator", "target_id": "narrator"}]), entity("x", attributes=None, relationships=None)],
+    )
+    got = sorted((r.path, r.text) for r in units.text_fields(frame(spark, full)).collect())
+    assert got == sorted(
+        [
+            ("beats[1].content", "Ana waits"), ("beats[1].state_changes.field", "mood"), ("beats[1].state_changes.field", "mood"), ("beats[1].state_changes.from", "calm"), ("beats[1].state_changes.to", "tense"), ("beats[None].content", "no place"),
+            ("context_before", "before that nothing of note"), ("context_after", "after that nothing of note"), ("style", "short and plain sentences"), ("entities[ana].attributes", "flat"), ("entities[ana].relationships.target", "the narrator"),
+        ]
+    )
+    ids = sorted((r.path, r.entity_id) for r in units.used_ids(frame(spark, full)).collect())
+    assert ids == [("beats[1].actor", "ana"), ("beats[1].state_changes.entity", "ana"), ("beats[1].state_changes.entity", "ana"), ("beats[None].actor", "ana"), ("referenced", "boris"), ("relationships.target_id", "narrator")]
     df = frame(spark, unit())
-    assert {r.path for r in units.text_fields(df).collect()} == {"context_before", "context_after", "style", *(f"beats[{i}].content" for i in range(3)), "entities[0].name", "entities[1].name"}
     assert [r.ref for r in units.beat_refs(df).orderBy("order").collect()] == ["sc-1#1", "sc-1#2", "sc-1#3"]
-    assert units.rendered(df, True).first().digest.startswith("[sc-1]\n1. ana: something happens 1")
+
+
+def test_rendering(spark):
+    said = unit(
+        heading={"raw": "INT. QUAY"}, context_before=None, present=["ana", "boris"],
+        beats=[beat(1, "asks", type="speech", addressee="boris", facts={"quantities": ["47"], "dates": ["the 14th"], "proper_nouns": ["Pier"], "locations": None}, state_changes=[{"entity": "boris", "field": "mood", "from": None, "to": "tense"}]), beat(2, "leaves", actor="")],
+    )
+    body = "Present: ana, boris\n1. [speech] ana -> boris: asks  [47; the 14th]\n     ~ boris.mood: None -> tense\n2. [action] ?: leaves"
+    text = lambda u, v: units.rendered(frame(spark, u), v).first().digest
+    assert text(said, "full") == f"## sc-1 | INT. QUAY\n{body}\nAfter: after that nothing of note"
+    assert text(said | {"context_before": "earlier"}, "brief") == f"## sc-1 | INT. QUAY\nBefore: earlier\n{body}"
+    assert text(said | {"context_before": "earlier", "heading": None}, "minimal") == f"## sc-1 | (no heading)\n{body}"
+    assert text(unit(beats=None, present=None), "minimal") == "## sc-1 | (no heading)"
+    docs = spark.createDataFrame([("d", "T", None, "1998", ""), ("e", None, None, None, None)], "doc_id string, title string, draft string, draft_date string, credited_as string")
+    two = frame(spark, unit("sc-2", 1, beats=[]), unit("sc-1", 0, beats=[])).withColumn("doc_id", F.lit("d"))
+    got = {r.doc_id: r for r in units.rendered_chain(two, docs, verbosity="minimal").collect()}
+    head = "Credited as: unknown\nScenes in order. Each scene lists its beats in the order the audience receives them.\n"
+    assert got["d"].chain == f"KNOWLEDGE UNITS — T (draft unknown, 1998)\n{head}## sc-1 | (no heading)\nPresent: ana\n\n## sc-2 | (no heading)\nPresent: ana"
+    assert got["e"].chain == f"KNOWLEDGE UNITS — untitled (draft unknown, date unknown)\n{head}" and got["d"].tokens == int(len(got["d"].chain) / 3.6)
 
 
 def test_errors_and_closure(spark):
     expected = spark.createDataFrame([("sc-1",)], "scene_id string")
     assert not units.unit_errors(frame(spark, unit()), expected).count()
-    beats = unit()[7]
+    beats = unit()["beats"]
     for rows, said in (
-        ([unit(style="x")], "context or style too short"), ([unit(beats=[])], "no beats"), ([unit(beats=beats[1:])], "orders not 1 to n"), ([unit(beats=[(*beats[0][:6], "sure")])], "unknown type or certainty"),
-        ([unit(beats=[(*beats[0][:4], "short", [], "stated")])], "content too short"), ([unit(beats=[(*beats[0][:5], [1], "stated")])], "cause not before"), ([unit(), unit()], "not exactly once"), ([unit("sc-9")], "not exactly once"),
+        ([unit(style="x")], "context or style too short"), ([unit(beats=[])], "no beats"), ([unit(beats=beats[1:])], "orders not 1 to n"), ([unit(beats=[beats[0] | {"certainty": "sure"}])], "unknown type or certainty"),
+        ([unit(beats=[beats[0] | {"content": "short     "}])], "content too short"), ([unit(beats=[beats[0] | {"causes": [1]}])], "cause not before"), ([unit(), unit()], "not exactly once"), ([unit("sc-9")], "not exactly once"),
     ):
         assert said in {r.error for r in units.unit_errors(frame(spark, *rows), expected).collect()}, said
-    open_ = frame(spark, unit(present=["ana", "old_man"]))
+    change = {"entity": "ghost", "field": "mood", "from": None, "to": "tense"}
+    open_ = frame(spark, unit(present=["ana", "old_man"], beats=[beat(1, "something happens", state_changes=[change])], entities=[entity("ana", relationships=[{"predicate": "knows", "target": "him", "target_id": "old_man"}])]))
     closed = units.closed(open_).first()
-    assert closed.auto_declared == 1 and closed.entities[-1].name == "old man"
-    assert units.used_ids(open_).count() == 3
+    assert closed.auto_declared == 3 and [e.name for e in closed.entities] == ["Ana", "boris", "ghost", "old man"]
+    assert closed.entities[-1].attributes == {"declared_by": "reference_closure"} and closed.entities[-1].relationships == []
+    assert closed.extraction_warnings == ["auto-declared 3 entity id(s) referenced but not defined: boris, ghost, old_man"]
+    whole = frame(spark, unit())
+    assert units.closed(whole).drop("auto_declared").collect() == whole.collect()
+    # closure and its check look at the same places
+    for changed, want in ((open_, "fail"), (units.closed(open_).drop("auto_declared"), "warn"), (whole, "pass")):
+        got = checks.references(units.used_ids(changed), units.declared_ids(changed)).first()
+        assert got.status == want
+    assert [v.split() for v in checks.references(units.used_ids(open_), units.declared_ids(open_)).first().violations] == [["sc-1", "beats[1].state_changes.entity", "ghost"], ["sc-1", "present", "old_man"], ["sc-1", "referenced", "boris"], ["sc-1", "relationships.target_id", "old_man"]]
+    # an id declared by another unit is declared
+    other = frame(spark, unit(referenced=["zoe"]), unit("sc-2", 1, entities=[entity("zoe"), entity("ana")]))
+    assert checks.references(units.used_ids(other), units.declared_ids(other)).first().status == "pass"
+
+
+def test_ids_are_renamed_wherever_they_stand(spark):
+    change = {"entity": "anna", "field": "anna", "from": "anna", "to": "x"}
+    u = unit(present=["anna"], beats=[beat(1, "anna", actor="anna", addressee="anna", state_changes=[change])], entities=[entity("anna", relationships=[{"predicate": "is", "target": "anna", "target_id": "anna"}]), entity("boris")])
+    merges = spark.createDataFrame([("d", "anna", "ana")], "doc_id string, alias string, canonical string")
+    got = units.renamed(frame(spark, u).withColumn("doc_id", F.lit("d")), merges)
+    assert {r.entity_id for r in units.used_ids(got).collect()} == {"ana", "boris"} and {r.entity_id for r in units.declared_ids(got).collect()} == {"ana", "boris"}
+    assert {r.text for r in units.text_fields(got).collect()} >= {"anna"}
 
 
 def test_patches_and_roll_up(spark):
-    df = frame(spark, unit(), unit("sc-2", 1, present=["anna"], entities=[("Anna", "anna", "person", [])]))
+    df = frame(spark, unit(), unit("sc-2", 1, present=["anna"], entities=[entity("anna")]))
     merges = spark.createDataFrame([("d", "anna", "ana"), ("e", "ana", "zoe")], "doc_id string, alias string, canonical string")
     merged = units.renamed(df.withColumn("doc_id", F.lit("d")), merges)
     rolled = {r.entity_id: r for r in units.roll_up(merged).collect()}
