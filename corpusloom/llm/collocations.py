@@ -31,7 +31,7 @@ DEPTH = 3
 LEAST = 10
 COVERED = 50
 TOP = 2000
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: bytes of text for each range of hashes; the filter's bits
 RANGE_BYTES = 4 << 20
 FILTER_BITS = 27
@@ -69,24 +69,23 @@ class Automaton:
     levels: list[Level] = field(default_factory=list)
 
     def __post_init__(self):
-        words, none = self.words.astype(np.int64), np.full(self.size, -1)
-        self.levels = [Level(none, np.arange(self.size), none, np.bincount(words, minlength=self.size))]
-        # node[i]: the substring of this level that ends at place i, where it lies within one piece
-        node, ends = words, np.arange(len(words))
+        words, none = self.words.astype(np.int32), np.full(self.size, -1, dtype=np.int32)
+        self.levels = [Level(none, np.arange(self.size, dtype=np.int32), none, np.bincount(words, minlength=self.size).astype(np.int32))]
+        # node[i]: the substring of this level that ends at ends[i]; a piece's first words end no longer ones
+        node, ends = words, np.arange(len(words), dtype=np.int32)
         for _ in range(1, self.depth):
-            before = ends[1:][ends[1:] == ends[:-1] + 1] if len(ends) else ends
-            ends_next = before[~self.head[before]]
-            where = np.searchsorted(ends, ends_next)
-            key = node[where - 1] * self.size + words[ends_next]
+            where = np.flatnonzero((ends[1:] == ends[:-1] + 1) & ~self.head[ends[1:]]).astype(np.int32) + 1
+            ends = ends[where]
+            key = node[where - 1].astype(np.int64) * self.size + words[ends]
             order = np.argsort(key)
-            ordered = key[order]
-            first = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
+            key = key[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
             heads = np.flatnonzero(first)
-            into = np.empty(len(key), dtype=np.int64)
-            into[order] = np.cumsum(first) - 1
-            some = order[heads]
-            self.levels.append(Level(ordered[heads] // self.size, ordered[heads] % self.size, node[where][some], np.diff(np.append(heads, len(ordered)))))
-            node, ends = into, ends_next
+            source, label = np.divmod(key[heads], max(1, self.size))
+            counts = np.diff(np.append(heads, len(key)))
+            self.levels.append(Level(*(x.astype(np.int32) for x in (source, label, node[where[order[heads]]], counts))))
+            node = np.empty(len(key), dtype=np.int32)
+            node[order] = np.cumsum(first, dtype=np.int32) - 1
 
     def absorbed(self, level: int) -> np.ndarray:
         """Which substrings of a level end where a longer one always does: they share its state."""
@@ -161,11 +160,12 @@ def shards(source, size: int = SHARD_WORDS):
             later = np.flatnonzero(head[to:])  # on to where the next piece begins
             to = to + int(later[0]) if len(later) else len(starts)
             stop = taken + int(lengths[at:to].sum())
-            held.append((data[taken:stop], lengths[at:to], head[at:to], langs[at:to]))
+            held.append((data[taken:stop].copy(), lengths[at:to], head[at:to], langs[at:to]))
             count, at, taken = count + to - at, to, stop
             if count >= size:
-                yield Shard(*map(np.concatenate, zip(*held)), list(names))
-                held, count = [], 0
+                whole, held, count = [*map(np.concatenate, zip(*held))], [], 0
+                yield Shard(*whole, list(names))
+                give_back()
     if held:
         yield Shard(*map(np.concatenate, zip(*held)), list(names))
     give_back()
@@ -238,7 +238,7 @@ def phrase_counts(texts: DataFrame, depth: int = DEPTH, least: int = LEAST) -> D
                 lang = langs.take(pa.array(shard.lang[columns[0]]))
                 for at in range(0, len(some), 1 << 16):
                     part = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([lang[part], pa.array(np.full(len(some[part]), i + 1, np.int32)), phrase[part].cast(pa.string()), pa.array(made.levels[i].count[some[part]])], names=["lang", "words", "phrase", "f"])
+                    yield pa.RecordBatch.from_arrays([lang[part], pa.array(np.full(len(some[part]), i + 1, np.int32)), phrase[part].cast(pa.string()), pa.array(made.levels[i].count[some[part]].astype(np.int64))], names=["lang", "words", "phrase", "f"])
 
     found = texts.mapInArrow(names, "lang string, words int, phrase string, f long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
