@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import overlap, scenes
+from . import overlap, scenes, units
 
-SHOWN = 50
+SHOWN, WORST = 50, 20
 NOVEL = 3
 #: fixed values: words too common to count as taken from a source
 STOP_WORDS = frozenset(
@@ -22,13 +22,17 @@ STOP_WORDS = frozenset(
 )
 
 
-def result(violations: DataFrame, check_id: str, name: str, gate: bool, fail: Column | None = None, warn: Column | None = None, detail: DataFrame | None = None) -> DataFrame:
+def result(violations: DataFrame, check_id: str, name: str, gate: bool, fail: Column | None = None, warn: Column | None = None, detail: DataFrame | None = None, worst: list[str] | None = None) -> DataFrame:
     """One row from a table of violations (column ``v``) and a one-row table of figures that ``fail`` and ``warn`` may use.
 
-    Without ``fail`` any violation fails.
+    Without ``fail`` any violation fails. ``worst`` names columns by whose order the first WORST are shown.
     """
     # all are counted; what is shown is a bounded top, so that no task holds them all
-    shown = violations.select("v").distinct().orderBy("v").limit(SHOWN).agg(F.array_sort(F.collect_list("v")).alias("violations"))
+    if worst is None:
+        shown = violations.select("v").distinct().orderBy("v").limit(SHOWN).agg(F.array_sort(F.collect_list("v")).alias("violations"))
+    else:
+        top = violations.select(F.struct(*worst, "v").alias("x")).orderBy("x").limit(WORST)
+        shown = top.agg(F.array_sort(F.collect_list("x")).alias("_x")).select(F.col("_x.v").alias("violations"))
     row = violations.agg(F.count(F.lit(1)).alias("n_violations")).crossJoin(F.broadcast(shown))
     if detail is not None:
         row = row.crossJoin(F.broadcast(detail))  # one row by one row
@@ -67,6 +71,52 @@ def verbatim(fields: DataFrame, source: DataFrame, exempt: list[str] | None = No
     return result(runs.where(counts & (F.col("run") >= fail_at)).select(F.concat_ws(": ", "path", X.gram_digest(F.col("gram"))).alias("v")), check_id, "verbatim overlap", True, warn=F.col("adjudicated") > 0, detail=figures)
 
 
+def scene_matches(fields: DataFrame, scenes: DataFrame, documents: DataFrame, known: DataFrame) -> DataFrame:
+    """(scene_id, path, field, run, start, scope, gram, novel): the longest run that a field shares with its scene, or else its document.
+
+    fields: doc, scene_id, field (unique), path, text; scenes: scene_id, text; documents: doc, text; known: scene_id and
+    the tokens that must survive word for word, as an array. scope is scene or document. novel counts the gram's tokens
+    that are neither known nor stop words. Fields of unknown scenes are left out.
+    """
+    own = fields.join(scenes.select("scene_id"), "scene_id", "left_semi")
+    place = lambda scope, c: F.struct(F.lit(scope).alias("scope"), F.col(c).cast("string").alias("place"))
+    asked = own.select("field", F.array(place(0, "scene_id"), place(1, "doc")).alias("within"), "text")
+    held = scenes.select(place(0, "scene_id").alias("x"), "text").unionByName(documents.select(place(1, "doc").alias("x"), "text")).select("x.*", "text")
+    met = overlap.longest_matches(asked, held).join(own.select("field", "scene_id", "path"), "field").join(known.select("scene_id", "tokens"), "scene_id", "left")
+    dull = F.array_union(F.coalesce("tokens", F.array().cast("array<string>")), F.array(*(F.lit(w) for w in sorted(STOP_WORDS))))
+    novel = X.bound(dull, lambda k: F.size(F.filter("gram", lambda t: ~F.array_contains(k, t))))
+    return met.select("scene_id", "path", "field", "run", "start", F.when(F.col("scope") == 0, "scene").otherwise("document").alias("scope"), "gram", novel.alias("novel"))
+
+
+def known_tokens(unit: DataFrame, scene: DataFrame) -> DataFrame:
+    """(scene_id, tokens): check tokens of a scene's speakers, location and heading and of its unit's facts. scene: scene_id, speakers, location, heading."""
+    facts = F.transform(units.WALK.found(unit.schema, "fact"), lambda x: x.value)
+    of = scene.select("scene_id", F.concat(F.coalesce("speakers", F.array().cast("array<string>")), F.array("location", "heading")).alias("_s"))
+    said = F.concat(F.col("_f"), F.coalesce("_s", F.array().cast("array<string>")))
+    both = unit.select("scene_id", facts.alias("_f")).join(of, "scene_id", "left")
+    return both.select("scene_id", F.array_distinct(F.flatten(F.transform(said, X.check_tokens))).alias("tokens"))
+
+
+def scoped_verbatim(matches: DataFrame, known: DataFrame, fail_at: int = overlap.FAIL) -> DataFrame:
+    """C2 over ``scene_matches``: a match counts as copied if NOVEL of its tokens are novel; shown are the longest, most novel first.
+
+    The detail holds the longest match of all and the longest that counts, the fields that warn and fail, those dismissed
+    as facts only, and how many tokens a unit's facts exempt on the average.
+    """
+    counts = F.col("novel") >= NOVEL
+    figures = matches.agg(
+        F.coalesce(F.max("run"), F.lit(0)).alias("longest"), F.coalesce(F.max(F.when(counts, F.col("run"))), F.lit(0)).alias("longest_adjudicated"), F.count_if(counts).alias("adjudicated"),
+        F.count_if(counts & (F.col("run") >= fail_at)).alias("failing"), F.count_if(~counts).alias("dismissed"),
+    ).crossJoin(F.broadcast(known.agg(F.coalesce(F.round(F.avg(F.size("tokens")), 1), F.lit(0.0)).alias("mean_exempt"))))
+    shown = matches.where(counts).select((-F.col("run")).alias("_run"), (-F.col("novel")).alias("_novel"), "field", F.format_string("%s %s %d/%d %s %s", "scene_id", "path", "run", "novel", "scope", X.gram_digest(F.array_join("gram", " "))).alias("v"))
+    return result(shown, "C2", "verbatim overlap", True, fail=F.col("failing") > 0, warn=F.col("adjudicated") > 0, detail=figures, worst=["_run", "_novel", "field"])
+
+
+def match_lengths(matches: DataFrame) -> DataFrame:
+    """(run, n): how many fields' counting matches have each length."""
+    return matches.where(F.col("novel") >= NOVEL).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+
+
 def numbers_kept(stated: DataFrame, source: DataFrame) -> DataFrame:
     """Stated (scene_id, number) must not differ from the scene's numbers in one character; numbers left out only warn."""
     drift = scenes.drifted(stated, source, "scene_id")

@@ -14,11 +14,19 @@ from ..functions import text as X
 LEAST, MOST, FAIL = 6, 25, 8
 
 
+def token_hashes(text: Column) -> Column:
+    """A 64-bit hash for each check token."""
+    return F.transform(X.check_tokens(text), lambda t: F.xxhash64(t))
+
+
+def windows(h: Column, n: int) -> Column:
+    """A hash for each run of n hashed tokens; null where there are fewer."""
+    return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(n)))))
+
+
 def token_grams(df: DataFrame, key: str, n: int = LEAST, text: str = "text") -> DataFrame:
-    """(key, pos, gram): hashed n-grams of check tokens with their places."""
-    t = df.select(key, X.check_tokens(F.col(text)).alias("_t")).where(F.size("_t") >= n)
-    grams = F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: F.xxhash64(F.array_join(F.slice("_t", i + 1, n), " ")))
-    return t.select(key, F.posexplode(grams).alias("pos", "gram"))
+    """(key, pos, gram): hashed n-grams of check tokens with their places. Each text is cut into tokens once."""
+    return df.select(key, F.posexplode(X.bound(token_hashes(F.col(text)), lambda h: windows(h, n))).alias("pos", "gram"))
 
 
 def shared_runs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, n: int = LEAST) -> DataFrame:
@@ -35,6 +43,55 @@ def shared_runs(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return island.groupBy(left_key, right_key, "diagonal", "island").agg(F.min("p").alias("start"), (F.count(F.lit(1)) + n - 1).alias("run")).select(left_key, right_key, "start", "run")
 
 
+SALTS = 16
+
+
+def _met(rows: DataFrame, grams: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """``rows`` whose gram is among the distinct ``grams``; each gram stands in SALTS parts, so that rows of a hot one are spread."""
+    parts = grams.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(parts, [*on, "_salt"], "left_semi").drop("_salt")
+
+
+def longest_matches(fields: DataFrame, sources: DataFrame, n: int = LEAST, most: int = MOST) -> DataFrame:
+    """(field, run, start, scope, gram): for each field the longest run of n to ``most`` tokens that a source of its scopes has.
+
+    fields: field (unique), within (array of scope and place), text. sources: scope, place, text; rows of one place are
+    looked at together, but no run crosses two. Of equally long runs the first is taken, and of several scopes there the
+    lowest. Whether a run of some length starts at a place is asked of distinct runs only, so a gram that stands k times in
+    a field and m times in a source never makes k times m rows; only where the n tokens match are longer runs looked at.
+    Equal texts of one place are looked at as one.
+    """
+    on = ["scope", "place", "gram"]
+    grams = X.bound(token_hashes(F.col("text")), lambda h: windows(h, n))
+    left = fields.select("field", grams.alias("_w"))
+    right = sources.select("scope", "place", F.xxhash64("text").alias("_row"), grams.alias("_w"))
+    asked = fields.select("field", "within", F.posexplode(grams).alias("p", "gram")).select("field", F.explode("within").alias("w"), "p", "gram").select("field", "w.scope", "w.place", "p", "gram")
+    held = sources.select("scope", "place", F.xxhash64("text").alias("_row"), F.posexplode(grams).alias("q", "gram"))
+    shared = asked.select(*on).distinct().join(held.select(*on).distinct(), on)
+    starts = _met(asked, shared, on, ["field", "p"]).select("field", "scope", "place", "p")
+
+    def longer(at: Column) -> Column:
+        # k tokens are told by the windows of n that cover them: no slices, which would copy the whole array each
+        cover = lambda k: sorted({*range(0, k - n + 1, n), k - n})
+        runs = (F.when(at + (k - n) < F.size("_w"), F.struct(at.alias("at"), F.lit(k).alias("n"), F.xxhash64(*(F.get("_w", at + j) for j in cover(k))).alias("gram"))) for k in range(n + 1, most + 1))
+        return F.array_compact(F.array(*runs))
+
+    def places(starts: DataFrame, keys: list[str], texts: DataFrame, at: str) -> DataFrame:
+        listed = starts.groupBy(*keys, "scope", "place").agg(F.collect_set(at).alias("_at"))
+        met = texts.join(listed, [c for c in texts.columns if c in (*keys, "scope", "place")])
+        # all runs of a text are made within its row, so that none carries the text's hashes along
+        return met.select(*keys, "scope", "place", F.explode(F.flatten(F.transform("_at", longer))).alias("x")).select(*keys, "scope", "place", F.col("x.at").alias(at), "x.n", "x.gram")
+
+    wider = places(starts, ["field"], left, "p")
+    there = places(_met(held, shared, on, ["_row", "q"]).select("_row", "scope", "place", "q"), ["_row"], right, "q").select("scope", "place", "n", "gram").distinct()
+    which = ["scope", "place", "n", "gram"]
+    both = wider.select(*which).distinct().join(there, which)
+    found = starts.withColumn("n", F.lit(n)).unionByName(_met(wider, both, which, ["field", "p"]).select("field", "scope", "place", "p", "n"))
+    best = found.groupBy("field").agg(F.max(F.struct("n", (-F.col("p")).alias("p"), (-F.col("scope")).alias("scope"))).alias("b"))
+    tokens = fields.select("field", X.check_tokens(F.col("text")).alias("_t"))
+    return best.join(tokens, "field").select("field", F.col("b.n").alias("run"), (-F.col("b.p")).alias("start"), (-F.col("b.scope")).alias("scope"), F.slice("_t", 1 - F.col("b.p"), F.col("b.n")).alias("gram"))
+
+
 def longest_runs(runs: DataFrame, left_key: str, most: int = MOST) -> DataFrame:
     """Per left text the longest run, cut at ``most``, and whether it fails."""
     return runs.groupBy(left_key).agg(F.least(F.max("run"), F.lit(most)).cast("int").alias("longest"), F.countDistinct("start").alias("n_starts")).withColumn("fails", F.col("longest") >= FAIL)

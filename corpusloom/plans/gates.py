@@ -11,8 +11,12 @@ from ..sources.artifacts import raw_then_gated
 from ..sources.documents import write_gated
 
 
-def scene_checks(unit: DataFrame, scene: DataFrame, canary_emitted: int | None = None) -> list[DataFrame]:
-    """C1 to C7. unit: units.UNIT; scene: scene_id, text, kind, location, speakers, stamps."""
+def scene_checks(unit: DataFrame, scene: DataFrame, canary_emitted: int | None = None, documents: DataFrame | None = None) -> list[DataFrame]:
+    """C1 to C7. unit: units.UNIT; scene: scene_id, text, kind, location, speakers, stamps; doc_id and heading where it has them.
+
+    Scenes of one ``doc_id`` are one document; without it all are, as a run of one text has it. ``documents`` (doc_id,
+    text) has the whole texts; without them no run is found that goes from one scene into the next.
+    """
     fields = units.text_fields(unit)
     paths = fields.select(F.concat_ws(".", "scene_id", "path").alias("path"), "scene_id", "text")
     # what a unit records, its heading included, as one text
@@ -23,9 +27,13 @@ def scene_checks(unit: DataFrame, scene: DataFrame, canary_emitted: int | None =
     shown = unit.select("scene_index", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("context_before", "context_after", "style")))).alias("f"))
     values = shown.select("f.field", F.col("scene_index").alias("ord"), "f.value").where(X.text_of(F.col("value")) != "")
     spark = unit.sparkSession
+    of = scene.withColumn("doc", F.col("doc_id").cast("string") if "doc_id" in scene.columns else F.lit("all"))
+    of = of.withColumn("heading", F.col("heading") if "heading" in scene.columns else F.lit(None).cast("string"))
+    known = checks.known_tokens(unit, of)
+    matches = checks.scene_matches(units.placed_fields(unit).join(of.select("scene_id", "doc"), "scene_id"), of, of if documents is None else documents.select(F.col("doc_id").cast("string").alias("doc"), "text"), known)
     return [
         checks.coverage(unit, scene),
-        checks.verbatim(paths.select("path", "text"), scene.select("scene_id", "text")),
+        checks.scoped_verbatim(matches, known),
         recall.fidelity(recall.recalled(scene, blobs), scenes.drifted(stated, source, "scene_id")),
         checks.beat_order(beats),
         checks.references(units.used_ids(unit), units.declared_ids(unit)),

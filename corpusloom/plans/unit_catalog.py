@@ -501,3 +501,74 @@ def redacted_runs(spark, sf_dir):
     tokens = b.select("item_id", X.check_tokens(F.col("text")).alias("_t"))
     gram = F.array_join(F.slice("_t", F.col("r.start") + 1, F.least(F.col("r.run"), F.lit(overlap.MOST)).cast("int")), " ")
     return runs.join(tokens, "item_id").select("item_id", "doc_id", X.gram_digest(gram).alias("redaction"))
+
+
+# ---------------------------------------------------------------- copied runs, by scope
+LINED = "p AS (SELECT doc_id, i, a[i] AS t, a[i + 1] AS after FROM (SELECT doc_id, string_split(text, chr(10)) AS a, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)), "
+SCOPED = (
+    LINED
+    + "u AS (SELECT doc_id, i, doc_id || '#' || i AS sid, t, CASE i % 3 WHEN 1 THEN 'So ' || array_to_string(string_split(t, ' ')[3:20], ' ') WHEN 2 THEN coalesce(array_to_string(string_split(after, ' ')[1:9], ' '), '') || ' then' ELSE 'nothing of note happened here on that day' END AS said,"
+    + " CASE WHEN i % 5 = 0 THEN array_to_string(string_split(t, ' ')[3:18], ' ') ELSE '' END AS facts FROM p), "
+    + "x AS (SELECT sid, doc_id, list_distinct("
+    + TOKENS.format("facts")
+    + ") AS k, "
+    + TOKENS.format("said")
+    + " AS s, "
+    + TOKENS.format("t")
+    + " AS h FROM u), y AS (SELECT doc_id, "
+    + TOKENS.format("text")
+    + """ AS h FROM documents), a AS (SELECT sid, doc_id, s, p, array_to_string(s[p + 1:p + 6], ' ') AS g FROM (SELECT sid, doc_id, s, unnest(range(len(s) - 5)) AS p FROM x WHERE len(s) >= 6)),
+ b AS (SELECT 0 AS scope, sid AS place, q, array_to_string(h[q + 1:q + 6], ' ') AS g FROM (SELECT sid, h, unnest(range(len(h) - 5)) AS q FROM x WHERE len(h) >= 6) UNION ALL SELECT 1, CAST(doc_id AS VARCHAR), q, array_to_string(h[q + 1:q + 6], ' ') FROM (SELECT doc_id, h, unnest(range(len(h) - 5)) AS q FROM y WHERE len(h) >= 6)),
+ w AS (SELECT sid, s, 0 AS scope, sid AS place, p, g FROM a UNION ALL SELECT sid, s, 1, CAST(doc_id AS VARCHAR), p, g FROM a),
+ m AS (SELECT sid, s, scope, p, p - q AS d, p - row_number() OVER (PARTITION BY sid, scope, p - q ORDER BY p) AS k FROM w JOIN b USING (scope, place, g)),
+ r AS (SELECT sid, s, scope, min(p) AS start, least(25, count(*) + 5) AS run FROM m GROUP BY sid, s, scope, d, k),
+ e AS (SELECT sid, s, scope, start, run, row_number() OVER (PARTITION BY sid ORDER BY run DESC, start, scope) AS nth FROM r),
+ z AS (SELECT e.sid, run, start, scope, e.s[start + 1:start + run] AS gram, x.k FROM e JOIN x USING (sid) WHERE nth = 1),
+ v AS (SELECT sid, CAST(run AS BIGINT) AS run, CAST(start AS BIGINT) AS start, CASE scope WHEN 0 THEN 'scene' ELSE 'document' END AS scope, array_to_string(gram, ' ') AS gram, len(list_filter(gram, lambda t: NOT list_contains(k, t) AND NOT list_contains(STOPS, t))) AS novel FROM z)
+"""
+).replace("STOPS", "[" + ", ".join(f"'{w}'" for w in sorted(checks.STOP_WORDS)) + "]")
+
+
+def _lined(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of documents as scenes; units that copy their own line, the next one, or nothing; and the documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
+    split = docs.select("doc", F.split("text", "\n").alias("a"))
+    p = split.select("doc", "a", F.posexplode("a").alias("i", "t")).select("doc", (F.col("i") + 1).alias("i"), "t", F.get("a", F.col("i") + 1).alias("after")).withColumn("scene_id", F.concat_ws("#", "doc", F.col("i").cast("string")))
+    part = lambda c, a, n: F.array_join(F.slice(F.split(c, " "), a, n), " ")
+    said = F.when(F.col("i") % 3 == 1, F.concat(F.lit("So "), part("t", 3, 18))).when(F.col("i") % 3 == 2, F.concat(F.coalesce(part("after", 1, 9), F.lit("")), F.lit(" then"))).otherwise("nothing of note happened here on that day")
+    kind = T._parse_datatype_string(UNIT)
+    beat = kind["beats"].dataType.elementType
+    facts = F.struct(F.array().alias("quantities"), F.array().alias("dates"), F.array(F.when(F.col("i") % 5 == 0, part("t", 3, 16)).otherwise("")).alias("proper_nouns"), F.lit(None).alias("locations"))
+    unit = p.select("doc", built(kind, scene_id=F.col("scene_id"), scene_index=F.col("i"), beats=F.array(built(beat, order=F.lit(1), content=said, facts=facts))).alias("u")).select("doc", "u.*")
+    return unit, p.select("doc", "scene_id", F.col("t").alias("text"), F.lit(None).cast("array<string>").alias("speakers"), F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("heading")), docs
+
+
+def _matched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    unit, scene, docs = _lined(spark, sf_dir)
+    known = checks.known_tokens(unit, scene)
+    return checks.scene_matches(units.placed_fields(unit).join(unit.select("scene_id", "doc"), "scene_id"), scene, docs, known), known
+
+
+@query("WITH " + SCOPED + "SELECT sid AS scene_id, 'beats[1].content' AS path, run, start, scope, gram, novel FROM v")
+def scene_matches(spark, sf_dir):
+    found, _ = _matched(spark, sf_dir)
+    return found.select("scene_id", "path", F.col("run").cast("long").alias("run"), F.col("start").cast("long").alias("start"), "scope", F.array_join("gram", " ").alias("gram"), F.col("novel").cast("long").alias("novel"))
+
+
+@query("WITH " + SCOPED + "SELECT run, count(*) AS n FROM v WHERE novel >= 3 GROUP BY run")
+def match_lengths(spark, sf_dir):
+    return checks.match_lengths(_matched(spark, sf_dir)[0]).select(F.col("run").cast("long").alias("run"), "n")
+
+
+@query(
+    "WITH "
+    + SCOPED
+    + ", g AS (SELECT max(run) AS longest, max(run) FILTER (novel >= 3) AS adjudicated, count(*) FILTER (novel >= 3) AS warned, count(*) FILTER (novel >= 3 AND run >= 8) AS failing, count(*) FILTER (novel < 3) AS dismissed FROM v),"
+    + " t AS (SELECT sid || ' beats[1].content ' || run || '/' || novel || ' ' || scope || ' [' || sha256(gram)[1:16] || ':' || run || ']' AS v, run, novel, sid FROM v WHERE novel >= 3 ORDER BY run DESC, novel DESC, sid LIMIT 20)"
+    + " SELECT 'C2' AS check_id, CASE WHEN failing > 0 THEN 'fail' WHEN warned > 0 THEN 'warn' ELSE 'pass' END AS status, CAST(longest AS DOUBLE) AS longest, CAST(adjudicated AS DOUBLE) AS longest_adjudicated, CAST(warned AS DOUBLE) AS warned, CAST(failing AS DOUBLE) AS failing, CAST(dismissed AS DOUBLE) AS dismissed,"
+    + " (SELECT round(avg(len(k)), 1) FROM x) AS mean_exempt, (SELECT string_agg(v, '|' ORDER BY run DESC, novel DESC, sid) FROM t) AS worst FROM g"
+)
+def scoped_verbatim_check(spark, sf_dir):
+    r = checks.scoped_verbatim(*_matched(spark, sf_dir))
+    of = lambda c, to: F.col("detail")[c].alias(to)
+    return r.select("check_id", "status", of("longest", "longest"), of("longest_adjudicated", "longest_adjudicated"), of("adjudicated", "warned"), of("failing", "failing"), of("dismissed", "dismissed"), of("mean_exempt", "mean_exempt"), F.array_join("violations", "|").alias("worst"))

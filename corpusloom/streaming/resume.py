@@ -18,9 +18,24 @@ def manifest_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps({k: v for k, v in config.items() if k != "batch"}, sort_keys=True).encode()).hexdigest()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+class _folder:
+    """The file system of a path, whichever Hadoop knows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._at(path))
+
+    def names(self, path: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(path))) if self.exists(path) else []
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._at(path), True)
+
+    def committed(self, batches: str) -> list[str]:
+        return [n for n in self.names(batches) if self.exists(f"{batches}/{n}/run/_SUCCESS")]
 
 
 def remaining(documents: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -28,16 +43,28 @@ def remaining(documents: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def resumable(documents: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, config: dict, key: str = "doc_id", batch: int = 10_000, most_batches: int | None = None) -> DataFrame:
-    """Appends ``work`` of the documents not yet in ``path``, ``batch`` at a time, and returns all results.
+    """Runs ``work`` over the documents not yet in ``path``, ``batch`` at a time, and returns all results; each once.
 
-    ``path``/runs holds the set-up's digest and seconds; another digest there is an error.
+    The set-up's digest is written to ``path``/setup before anything else; another digest there is an error. A batch is a
+    folder of ``path``/batches with its results, the documents dealt to it, and last a row on its run, whose success mark
+    is the commit: after a stop at any point a batch counts whole or not at all, on any store, and what was left
+    half-written is dropped at the next start. A document is finished when a committed batch was dealt it, whether
+    or not ``work`` gave rows for it.
     """
     spark, digest = documents.sparkSession, manifest_hash(config)
-    results, runs = f"{path}/results", f"{path}/runs"
-    if _exists(spark, runs):
-        if spark.read.parquet(runs).where(F.col("manifest") != digest).limit(1).count():
+    fs = _folder(spark, path)
+    setup, batches = f"{path}/setup", f"{path}/batches"
+    if fs.exists(f"{setup}/_SUCCESS"):
+        if spark.read.parquet(setup).first()[0] != digest:
             raise ValueError("the results there belong to another set-up")
-        documents = remaining(documents, spark.read.parquet(results), key)
+    else:
+        spark.createDataFrame([(digest,)], "manifest string").coalesce(1).write.mode("overwrite").parquet(setup)
+    done = fs.committed(batches)
+    for left in {*fs.names(batches)} - {*done}:
+        fs.delete(f"{batches}/{left}")
+    fs.delete(f"{path}/plans")
+    if done:
+        documents = remaining(documents, spark.read.parquet(*(f"{batches}/{d}/dealt" for d in done)), key)
     # 64 lanes of batch / 64 documents each: no window over all documents
     lane = max(1, batch // 64)
     order = documents.select(key).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)))
@@ -49,11 +76,26 @@ def resumable(documents: DataFrame, work: Callable[[DataFrame], DataFrame], path
     for i in range(0 if last is None else min(last + 1, most_batches or last + 1)):
         start = time.time()
         mine = dealt.where(F.col("_batch") == i).select(key)
-        work(documents.join(F.broadcast(mine) if batch <= 100_000 else mine, key, "left_semi")).write.mode("append").parquet(results)
-        spark.createDataFrame([(digest, i, time.time() - start)], "manifest string, batch int, seconds double").write.mode("append").parquet(runs)
-    target = spark._jvm.org.apache.hadoop.fs.Path(plan)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    return spark.read.parquet(results)
+        name = f"b{len(done):06d}-{uuid.uuid4().hex}"
+        draft = f"{batches}/{name}"
+        work(documents.join(F.broadcast(mine) if batch <= 100_000 else mine, key, "left_semi")).write.parquet(f"{draft}/results")
+        mine.write.parquet(f"{draft}/dealt")
+        spark.createDataFrame([(digest, len(done), time.time() - start)], "manifest string, batch int, seconds double").coalesce(1).write.parquet(f"{draft}/run")
+        done.append(name)
+    fs.delete(f"{path}/plans")
+    return results(spark, path)
+
+
+def results(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all committed batches; None before the first."""
+    done = _folder(spark, path).committed(f"{path}/batches")
+    return spark.read.parquet(*(f"{path}/batches/{d}/results" for d in done)) if done else None
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """(manifest, batch, seconds) of the committed batches; None before the first."""
+    done = _folder(spark, path).committed(f"{path}/batches")
+    return spark.read.parquet(*(f"{path}/batches/{d}/run" for d in done)) if done else None
 
 
 def follow(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):

@@ -2,7 +2,9 @@
 
 import pytest
 
-from corpusloom.operators import checks
+from corpusloom.operators import checks, units
+
+from .records import beat, frame, unit
 
 SOURCE = [("sc-1", "Ana hurries along the quay. The manifest says Container 47 never reached Pier 9 on the 14th of May. Boris shrugs and lights a cigarette.")]
 FIELDS = [("sc-1.beats[1].content", "A dock worker is told that one box went missing before it could be unloaded."), ("sc-1.style", "terse and cold")]
@@ -126,3 +128,56 @@ def test_gate(spark, make):
     assert {r.status for r in checks.gated(every, ["C1", "G7"]).collect()} == {"pass"}
     assert checks.gate_passed(checks.gated(every, ["C1"]))
     assert not checks.gate_passed(checks.gated([*every, checks.canary(spark, 1)], ["C1"]))
+
+
+# ---------------------------------------------------------------- copied runs by scope
+QUAY = "EXT. QUAY\nAna counts the crates and frowns. Container 47 never reached Pier 9 on the 14th, she says.\nBoris shrugs. 'I moved it because they were watching me.' She takes his keycard and goes."
+LATER = "INT. OFFICE\nA clerk stamps each paper twice without looking up from the desk."
+
+
+def matched(spark, said, scenes=(("sc-1", QUAY), ("sc-2", LATER)), **more):
+    u = frame(spark, unit(context_before="", context_after="", style="", beats=[beat(i, s, facts=more.get("facts")) for i, s in enumerate(said, 1)], entities=[]))
+    scene = spark.createDataFrame([(s, "d", t, ["ANA", "BORIS"], "QUAY", "EXT. QUAY") for s, t in scenes], "scene_id string, doc string, text string, speakers array<string>, location string, heading string")
+    docs = spark.createDataFrame([("d", "\n".join(t for _, t in scenes)), ("other", "nothing of this stands anywhere else in the world")], "doc string, text string")
+    known = checks.known_tokens(u, scene)
+    found = checks.scene_matches(units.placed_fields(u).join(scene.select("scene_id", "doc"), "scene_id"), scene, docs, known)
+    return found, checks.scoped_verbatim(found, known, more.get("fail_at", 8)).first()
+
+
+@pytest.mark.parametrize(
+    "said,fail_at,want",
+    [
+        (["Ana learns that one box is lost"], 8, "pass"),
+        (["Ana said Container 47 never reached Pier 9 on the 14th and that was that."], 8, "fail"),
+        (["She takes his keycard and goes, which is how it ends."], 6, "fail"),
+        (["Boris was recorded saying 'I moved it because they were watching me' that night."], 8, "fail"),
+        (["he told that a clerk stamps each paper twice without looking"], 8, "fail"),
+        (["she takes his keycard and goes away"], 8, "warn"),
+    ],
+)
+def test_scoped_c2(spark, said, fail_at, want):
+    assert matched(spark, said, fail_at=fail_at)[1].status == want
+
+
+def test_matches_prefer_length_then_place_then_the_own_scene(spark):
+    found, row = matched(spark, ["a clerk stamps each paper twice. she takes his keycard and goes", "her keycard and goes int office a clerk stamps each", "nothing like it"])
+    got = {r.path: (r.run, r.start, r.scope, " ".join(r.gram)) for r in found.collect()}
+    assert got["beats[1].content"] == (6, 0, "document", "a clerk stamps each paper twice")
+    # a run over two scenes is in the document only, and is the longer one
+    assert got["beats[2].content"] == (9, 1, "document", "keycard and goes int office a clerk stamps each")
+    assert len(got) == 2 and row.detail["longest"] == 9 and [v.split()[2] for v in row.violations] == ["9/7", "6/5"]
+    own = {r.path: r.scope for r in matched(spark, ["she takes his keycard and goes"])[0].collect()}
+    assert own == {"beats[1].content": "scene"}
+
+
+def test_facts_alone_are_dismissed(spark):
+    facts = {"quantities": ["Container 47", "Pier 9"], "dates": ["on the 14th"], "proper_nouns": ["never reached"], "locations": []}
+    found, row = matched(spark, ["it says Container 47 never reached Pier 9 on the 14th indeed"], facts=facts)
+    assert row.status == "pass" and row.detail["longest"] == 9 and row.detail["longest_adjudicated"] == 0 and row.detail["dismissed"] == 1
+    assert checks.match_lengths(found).collect() == []
+
+
+def test_long_and_hot_runs(spark):
+    words = [f"w{i}" for i in range(60)]
+    found, _ = matched(spark, [" ".join(words[5:50]), "und " * 300], scenes=(("sc-1", " ".join(words)), ("sc-2", "und " * 3000), ("sc-3", None)))
+    assert {(r.run, r.start, r.scope) for r in found.collect()} == {(25, 0, "scene"), (25, 0, "document")}

@@ -128,3 +128,33 @@ def test_windows_tile(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("before", [True, False])
+@pytest.mark.parametrize("step", range(8))
+def test_a_crash_at_any_write_loses_and_repeats_nothing(spark, tmp_path, monkeypatch, step, before):
+    from pyspark.sql import DataFrameWriter
+
+    docs, path, calls = spark.range(10).withColumnRenamed("id", "doc_id").repartition(2), str(tmp_path / "out"), []
+    write = DataFrameWriter.parquet
+    work = lambda df: df.where("doc_id <> 3").withColumn("x", F.col("doc_id") * 2)
+
+    def killed(self, target, *a, **b):
+        calls.append(target)
+        if before and len(calls) == step + 1:
+            raise KeyboardInterrupt
+        write(self, target, *a, **b)
+        if len(calls) == step + 1:
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(type(docs.write), "parquet", killed)
+    with pytest.raises(KeyboardInterrupt):
+        resume.resumable(docs, work, path, {"m": 1}, batch=64, most_batches=3)
+        raise KeyboardInterrupt
+    monkeypatch.setattr(type(docs.write), "parquet", write)
+    again = resume.resumable(docs, work, path, {"m": 1}, batch=64)
+    assert sorted(r.doc_id for r in again.collect()) == [i for i in range(10) if i != 3]
+    # the document without a row is finished too
+    asked = []
+    resume.resumable(docs, lambda df: asked.append(df.count()) or df.withColumn("x", F.lit(1)), path, {"m": 1}, batch=64)
+    assert asked == [] and resume.runs(spark, path).count() == len(resume._folder(spark, path).committed(f"{path}/batches"))
