@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.nested import built
-from ..operators import canonical, checks, entities, graph, instrument, overlap, recall, scenes, units
+from ..operators import canonical, checks, entities, graph, instrument, overlap, recall, scenes, tree, units
 from ..operators.units import UNIT
 from .catalog import ORACLES, PARAGRAPHS, QUERIES, RUNS, TOKENS, _paragraphs, query, table
 
@@ -572,3 +572,112 @@ def scoped_verbatim_check(spark, sf_dir):
     r = checks.scoped_verbatim(*_matched(spark, sf_dir))
     of = lambda c, to: F.col("detail")[c].alias(to)
     return r.select("check_id", "status", of("longest", "longest"), of("longest_adjudicated", "longest_adjudicated"), of("adjudicated", "warned"), of("failing", "failing"), of("dismissed", "dismissed"), of("mean_exempt", "mean_exempt"), F.array_join("violations", "|").alias("worst"))
+
+
+# ---------------------------------------------------------------- loops over the graph
+def _merge_sql(levels: int = 3) -> str:
+    parts = [
+        "w AS (SELECT source, win, row_number() OVER (PARTITION BY source ORDER BY win) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, doc_id % 7 AS win FROM documents))",
+        "l0 AS (SELECT d.source, d.doc_id AS d, r, n FROM documents d JOIN w ON w.source = d.source AND w.win = d.doc_id % 7)",
+    ]
+    out = []
+    for v in range(1, levels + 1):
+        parts += [
+            f"p{v} AS (SELECT source, pair, min(d) FILTER (side = 0) AS kl, max(d) FILTER (side = 0) AS xl, min(d) FILTER (side = 1) AS kr, max(d) FILTER (side = 1) AS xr FROM (SELECT *, r >> {v} AS pair, (r >> {v - 1}) % 2 AS side FROM l{v - 1} WHERE ((2 * (r >> {v}) + 1) << {v - 1}) < n) GROUP BY ALL)",
+            f"q{v} AS (SELECT p{v}.*, least(kl, kr) AS lo, greatest(xl, xr) AS hi, {v} AS level, (SELECT 'w' || a.win || '..w' || b.win FROM w a, w b WHERE a.source = p{v}.source AND b.source = a.source AND a.r = p{v}.pair << {v} AND b.r = least(a.n - 1, ((p{v}.pair + 1) << {v}) - 1)) AS span FROM p{v})",
+            f"l{v} AS (SELECT l.* FROM l{v - 1} l LEFT JOIN q{v} q ON q.source = l.source AND q.pair = l.r >> {v} WHERE q.pair IS NULL OR NOT (l.d = hi AND lo <> hi))",
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM q{v}" for v in range(1, levels + 1))
+    parts += [
+        f"q AS ({every})",
+        "dup AS (SELECT source, level, pair, lo, hi FROM q WHERE lo <> hi)",
+        "sup AS (SELECT source, hi AS d, max_by(lo, level * 1000 + pair) AS kept FROM dup GROUP BY ALL)",
+        "tk AS (SELECT source, lo AS d, string_agg('ao-' || hi, ',' ORDER BY level, pair) AS took FROM dup GROUP BY ALL)",
+    ]
+    out = [
+        "SELECT 'link' AS kind, source, level, pair, 'ao-' || lo AS a, 'ao-' || xr AS b, 'merge-L' || level AS said FROM q WHERE lo IS NOT NULL AND xr IS NOT NULL",
+        "SELECT 'duplicate', source, level, pair, 'ao-' || lo, 'ao-' || hi, NULL FROM dup",
+        "SELECT 'arc', source, level, pair, 'ao-' || kl, 'ao-' || xr, span FROM q WHERE kl IS NOT NULL AND xr IS NOT NULL",
+        "SELECT 'object', source, NULL, NULL, 'ao-' || d, 'ao-' || kept, took FROM sup FULL JOIN tk USING (source, d)",
+        "SELECT 'level', NULL, level, NULL, CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (lo <> hi) AS VARCHAR), CAST(count(*) FILTER (kl IS NOT NULL AND xr IS NOT NULL) AS VARCHAR) FROM q GROUP BY level",
+    ]
+    return "WITH " + ", ".join(parts) + " SELECT kind, source, CAST(level AS INT) AS level, CAST(pair AS INT) AS pair, a, b, said FROM (" + " UNION ALL ".join(out) + ")"
+
+
+def _joined(level: int, pairs: DataFrame, members: DataFrame) -> tree.Joined:
+    """By rule: the least of a pair's objects takes in the greatest and echoes the right side's greatest; an arc goes from the left's least to it."""
+    end = lambda s, f: f(F.when(F.col("side") == s, F.col("key")))
+    e = members.groupBy("source", "pair").agg(end(0, F.min).alias("kl"), end(0, F.max).alias("xl"), end(1, F.min).alias("kr"), end(1, F.max).alias("xr"))
+    ao = lambda c: F.concat(F.lit("ao-"), c.cast("string"))
+    lo, hi = F.least("kl", "kr"), F.greatest("xl", "xr")
+    row = lambda n, **c: e.select("source", "pair", F.lit(n).alias("ord"), *(v.alias(k) for k, v in c.items()))
+    none = F.lit("ao-none")
+    links = row(0, from_ao=ao(lo), to_ao=ao(F.col("xr")), link=F.lit("echoes"), why=F.lit("rule")).unionByName(row(1, from_ao=none, to_ao=ao(lo), link=F.lit("echoes"), why=F.lit("unknown")))
+    dup = row(0, keep=ao(lo), drop=ao(hi)).unionByName(row(1, keep=none, drop=ao(lo)))
+    arcs = row(0, name=F.lit("arc"), subject=F.lit("all"), stages=F.array(ao(F.col("kl")), none, ao(F.col("xr"))), summary=F.lit("s")).unionByName(row(1, name=F.lit("short"), subject=F.lit("all"), stages=F.array(none, ao(F.col("kl"))), summary=F.lit("s")))
+    return tree.Joined(links, dup, arcs)
+
+
+@query(_merge_sql())
+def merge_levels(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    objects = d.select("source", (F.col("doc_id") % 7).cast("int").alias("window"), F.concat(F.lit("w"), (F.col("doc_id") % 7).cast("string")).alias("label"), F.concat(F.lit("ao-"), F.col("doc_id").cast("string")).alias("ao_id"), F.col("doc_id").alias("key"))
+    m = tree.merge_tree(objects, _joined, 3, "source")
+    of = lambda df, kind, a, b, said: df.select(F.lit(kind).alias("kind"), "source", "level", "pair", F.col(a).alias("a"), F.col(b).alias("b"), said.alias("said"))
+    marked = m.objects.where(F.col("superseded_by").isNotNull() | (F.size("absorbed") > 0)).withColumn("level", F.lit(None).cast("int")).withColumn("pair", F.lit(None).cast("int"))
+    took = F.when(F.size("absorbed") > 0, F.array_join("absorbed", ","))
+    arcs = m.arcs.withColumn("a", F.get("stages", F.lit(0))).withColumn("b", F.get("stages", F.lit(1)))
+    stats = m.levels.select(F.lit("level").alias("kind"), F.lit(None).cast("string").alias("source"), "level", F.lit(None).cast("int").alias("pair"), *(F.col(c).cast("string").alias(n) for c, n in (("merges", "a"), ("duplicates", "b"), ("arcs", "said"))))
+    return of(m.links, "link", "from_ao", "to_ao", F.col("via")).unionByName(of(m.duplicates, "duplicate", "keep", "drop", F.lit(None).cast("string"))).unionByName(of(arcs, "arc", "a", "b", F.col("span"))).unionByName(of(marked, "object", "ao_id", "superseded_by", took)).unionByName(stats)
+
+
+def _research_sql(rounds: int = 2) -> str:
+    level = lambda c: f"list_position(['speculative', 'plausible', 'probable', 'near-certain'], {c})"
+    parts = ["o0 AS (SELECT doc_id % 50 AS w, 'ao-' || doc_id AS ao, doc_id AS key, ['speculative', 'plausible', 'probable', 'near-certain', 'hunch'][doc_id % 5 + 1] AS conf, 'given' AS said FROM documents)"]
+    rows = []
+    for r in range(1, rounds + 1):
+        o = f"o{r - 1}"
+        parts += [
+            f"h{r} AS (SELECT w, ao, 0 AS ord, conf AS f, 'plausible' AS t FROM {o} WHERE key % 3 = {r % 3} UNION ALL SELECT w, ao, 1, 'plausible', 'near-certain' FROM {o} WHERE key % 3 = {r % 3} AND key % 2 = 1)",
+            f"o{r} AS (SELECT o.w, o.ao, key, coalesce(n.t, conf) AS conf, said FROM {o} o LEFT JOIN (SELECT w, ao, max_by(t, ord) AS t FROM h{r} GROUP BY ALL) n ON n.w = o.w AND n.ao = o.ao UNION ALL SELECT w, printf('ao-w%03d-r{r}-000', w), {r} * 1000000 + w, 'speculative', 'round {r} sees ' || count(*) FROM {o} GROUP BY w)",
+        ]
+        rows += [
+            f"SELECT 'evidence' AS kind, w, ao AS a, 'sc-' || w || '#' || (key % 3 + 1) AS b, CASE WHEN (key + {r}) % 2 = 0 THEN 'supports' ELSE 'contradicts' END AS said, {r} AS round FROM {o}",
+            f"SELECT 'link', w, min_by(ao, key), max_by(ao, key), 'echoes', {r} FROM {o} GROUP BY w HAVING min(key) <> max(key)",
+            f"SELECT 'history', w, ao, f || ' to ' || t, CAST(CAST(sign({level('t')} - coalesce(nullif({level('f')}, 0), 2)) AS INT) AS VARCHAR), {r} FROM h{r}",
+        ]
+    rows.append(f"SELECT 'object', w, ao, conf, said, CAST(floor(key / 1000000) AS INT) FROM o{rounds} WHERE key >= 1000000 OR key % 3 <> 2")
+    return "WITH " + ", ".join(parts) + " SELECT kind, CAST(w AS INT) AS w, a, b, said, CAST(round AS INT) AS round FROM (" + " UNION ALL ".join(rows) + ")"
+
+
+def _found(r: int, now: DataFrame) -> tree.Found:
+    """By rule: evidence for each object, some of it told by the wrong window; a link over each window; confidences set twice; an object that counts those there."""
+    scene = F.concat(F.lit("sc-"), F.col("window").cast("string"))
+    e = now.select("window", "ao_id", F.concat(scene, F.lit("#"), (F.col("key") % 3 + 1).cast("string")).alias("beat_ref"), F.when((F.col("key") + r) % 2 == 0, "supports").otherwise("contradicts").alias("stance"), F.lit("rule").alias("why"))
+    strange = e.withColumn("window", (F.col("window") + 1) % 50)
+    links = now.groupBy("window").agg(F.min_by("ao_id", "key").alias("from_ao"), F.max_by("ao_id", "key").alias("to_ao")).where("from_ao <> to_ao").withColumn("link", F.lit("echoes")).withColumn("why", F.lit("rule"))
+    told = now.where(F.col("key") % 3 == r % 3)
+    step = lambda n, to: told.select("window", F.lit(n).alias("ord"), "ao_id", to.alias("new_confidence"), F.lit("rule").alias("why"))
+    updates = step(0, F.lit("plausible")).unionByName(step(1, F.when(F.col("key") % 2 == 1, "near-certain").otherwise("certain")))
+    seen = now.groupBy("window").agg(F.count(F.lit(1)).alias("n")).select("window", (F.lit(1_000_000 * r) + F.col("window")).cast("bigint").alias("key"), F.format_string(f"round {r} sees %d", "n").alias("statement"), scene.alias("scene_id"), F.lit("speculative").alias("confidence"))
+    new = seen.withColumn("ord", F.lit(0)).withColumn("grounded_in", F.array(F.concat("scene_id", F.lit("#1")))).unionByName(seen.withColumn("ord", F.lit(1)).withColumn("grounded_in", F.array(F.lit("nowhere"))))
+    return tree.Found(e.unionByName(strange), links, updates, new)
+
+
+@query(_research_sql())
+def research_rounds(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    window = (F.col("doc_id") % 50).cast("int")
+    scene = F.concat(F.lit("sc-"), window.cast("string"))
+    objects = d.select(window.alias("window"), F.concat(F.lit("ao-"), F.col("doc_id").cast("string")).alias("ao_id"), F.col("doc_id").alias("key"), scene.alias("scene_id"), F.array(F.concat(scene, F.lit("#1"))).alias("grounded_in"), _pick("doc_id", "speculative", "plausible", "probable", "near-certain", "hunch").alias("confidence"), F.lit("given").alias("statement"))
+    scenes_ = objects.select("window", "scene_id").distinct()
+    beats = scenes_.select("window", F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat("scene_id", F.lit("#"), i.cast("string")))).alias("ref"))
+    x = tree.research(objects, scenes_, beats, _found, 2)
+    of = lambda df, kind, a, b, said, r: df.select(F.lit(kind).alias("kind"), F.col("window").alias("w"), F.col(a).alias("a"), b.alias("b"), said.alias("said"), r.cast("int").alias("round"))
+    history = x.history.join(x.objects.select("ao_id", "window"), "ao_id")
+    kept = x.objects.where((F.col("key") >= 1_000_000) | (F.col("key") % 3 != 2))
+    return (
+        of(x.evidence, "evidence", "ao_id", F.col("beat_ref"), F.col("stance"), F.col("round")).unionByName(of(x.links, "link", "from_ao", F.col("to_ao"), F.col("link"), F.col("round")))
+        .unionByName(of(history, "history", "ao_id", F.concat_ws(" to ", "from", "to"), F.col("step").cast("string"), F.col("round")))
+        .unionByName(of(kept, "object", "ao_id", F.col("confidence"), F.col("statement"), F.coalesce("provenance.round", F.lit(0))))
+    )

@@ -12,32 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import Folder
+
 
 def manifest_hash(config: dict) -> str:
     """Digest of a run's set-up; the batch size may change between runs."""
     return hashlib.sha256(json.dumps({k: v for k, v in config.items() if k != "batch"}, sort_keys=True).encode()).hexdigest()
 
 
-class _folder:
-    """The file system of a path, whichever Hadoop knows."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._at = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def exists(self, path: str) -> bool:
-        return self._fs.exists(self._at(path))
-
-    def names(self, path: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(path))) if self.exists(path) else []
-
-    def delete(self, path: str) -> None:
-        self._fs.delete(self._at(path), True)
-
-    def committed(self, batches: str) -> list[str]:
-        return [n for n in self.names(batches) if self.exists(f"{batches}/{n}/run/_SUCCESS")]
-
-
 def remaining(documents: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return documents.join(done.select(key), key, "left_anti")
 
@@ -52,7 +34,7 @@ def resumable(documents: DataFrame, work: Callable[[DataFrame], DataFrame], path
     or not ``work`` gave rows for it.
     """
     spark, digest = documents.sparkSession, manifest_hash(config)
-    fs = _folder(spark, path)
+    fs = Folder(spark, path)
     setup, batches = f"{path}/setup", f"{path}/batches"
     if fs.exists(f"{setup}/_SUCCESS"):
         if spark.read.parquet(setup).first()[0] != digest:
@@ -88,13 +70,13 @@ def resumable(documents: DataFrame, work: Callable[[DataFrame], DataFrame], path
 
 def results(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows of all committed batches; None before the first."""
-    done = _folder(spark, path).committed(f"{path}/batches")
+    done = Folder(spark, path).committed(f"{path}/batches")
     return spark.read.parquet(*(f"{path}/batches/{d}/results" for d in done)) if done else None
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame | None:
     """(manifest, batch, seconds) of the committed batches; None before the first."""
-    done = _folder(spark, path).committed(f"{path}/batches")
+    done = Folder(spark, path).committed(f"{path}/batches")
     return spark.read.parquet(*(f"{path}/batches/{d}/run" for d in done)) if done else None
 
 

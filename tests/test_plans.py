@@ -157,4 +157,4 @@ def test_a_crash_at_any_write_loses_and_repeats_nothing(spark, tmp_path, monkeyp
     # the document without a row is finished too
     asked = []
     resume.resumable(docs, lambda df: asked.append(df.count()) or df.withColumn("x", F.lit(1)), path, {"m": 1}, batch=64)
-    assert asked == [] and resume.runs(spark, path).count() == len(resume._folder(spark, path).committed(f"{path}/batches"))
+    assert asked == [] and resume.runs(spark, path).count() == len(resume.Folder(spark, path).committed(f"{path}/batches"))
