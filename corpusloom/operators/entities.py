@@ -70,17 +70,46 @@ def spelling_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
+#: so many of the commonest letters are ranked by how common they are; others count as rarer, in the order of their code
+RANKED = 256
+
+
+def letter_bag(key: Column) -> Column:
+    """The letters of a text as a set: each with how often it stood before among the sorted letters."""
+    return X.bound(F.array_sort(F.filter(F.split(key, ""), lambda c: c != "")), lambda s: F.transform(s, lambda c, i: F.concat(c, (i - F.array_position(s, c) + 1).cast("string"))))
+
+
+def spelling_pairs(names: DataFrame, group: str, name: str = "name", least: float = 0.72) -> DataFrame:
+    """left < right within a group whose folded names have a difflib ratio of ``least`` or more; ``least`` above 0.5.
+
+    The ratio is twice the matched letters over all letters, so it needs (least / 2) of both lengths as common letters of
+    the two bags, and neither name is longer than (2 - least) / least times the other. Of two bags with that many in
+    common, the rarest letters of each (its length less the least overlap, plus two) share two: names meet by these
+    twos only. Then the bags themselves are compared, and what is left goes to Python. Equal keys meet as such.
+    """
+    n = names.select(group, name).distinct().withColumn("_k", X.spaced_key(F.col(name))).withColumn("_bag", letter_bag(F.col("_k")))
+    common = n.select(F.explode("_bag").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t").limit(RANKED).collect()
+    rank = F.create_map(*(F.lit(x) for i, r in enumerate(common) for x in (r.t, len(common) - i))) if common else F.create_map().cast("map<string,int>")
+    size = F.size("_bag")
+    shortest = F.ceil(size * (least / (2 - least)) - 1e-9)
+    overlap = F.ceil((size + shortest) * (least / 2) - 1e-9)
+    rare = F.slice(F.array_sort(F.transform("_bag", lambda t: F.struct(F.coalesce(F.try_element_at(rank, t), F.lit(0)).alias("r"), t.alias("t")))), F.lit(1), F.greatest(F.lit(0), size - overlap + 2).cast("int"))
+    # cut here, since the sorted letters are used many times over
+    met = n.withColumn("_rare", F.transform(rare, lambda x: x.t))
+    twos = X.bound(F.array_sort("_rare"), lambda s: F.flatten(F.transform(s, lambda t, i: F.transform(F.slice(s, i + 2, F.size(s)), lambda u: F.xxhash64(t, u)))))
+    keyed = met.select(group, name, "_k", "_bag", F.explode(twos).alias("_two"))
+    side = lambda df, which, short: df.select(group, F.col(name).alias(which), F.col("_k").alias(f"_k{short}"), F.col("_bag").alias(f"_{short}"), "_two")
+    letters = F.size("_a") + F.size("_b")
+    close = (F.greatest(F.size("_a"), F.size("_b")) * least <= F.least(F.size("_a"), F.size("_b")) * (2 - least) + 1e-9) & (F.size(F.array_intersect("_a", "_b")) * 2 >= letters * least - 1e-9)
+    pairs = side(keyed, "left_name", "a").join(side(keyed, "right_name", "b"), [group, "_two"]).where("left_name < right_name").where(close).select(group, "left_name", "right_name", "_ka", "_kb").dropDuplicates([group, "left_name", "right_name"])
+    spelt = pairs.where(spelling_ratio("_ka", "_kb") >= least).select(group, "left_name", "right_name")
+    same = n.select(group, "_k", F.col(name).alias("left_name")).join(n.select(group, "_k", F.col(name).alias("right_name")), [group, "_k"]).where("left_name < right_name").select(group, "left_name", "right_name")
+    return spelt.union(same).distinct()
+
+
 def alias_pairs(names: DataFrame, group: str, name: str = "name", least_ratio: float = 0.72) -> DataFrame:
     """All candidate pairs of a document's names: by words, or by spelling ratio. Names of one document only are compared."""
-    n = names.select(group, name).distinct().withColumn("_k", X.spaced_key(F.col(name)))
-    spelt = (
-        n.select(group, F.col(name).alias("left_name"), F.col("_k").alias("_a"))
-        .join(n.select(group, F.col(name).alias("right_name"), F.col("_k").alias("_b")), group)
-        .where("left_name < right_name")
-        .where(spelling_ratio("_a", "_b") >= least_ratio)
-        .select(group, "left_name", "right_name")
-    )
-    return token_pairs(names, group, name).select(group, "left_name", "right_name").union(spelt).distinct()
+    return token_pairs(names, group, name).select(group, "left_name", "right_name").union(spelling_pairs(names, group, name, least_ratio)).distinct()
 
 
 def rewritten(mentions: DataFrame, lookup: DataFrame, doc: str = "doc_id", name: str = "name") -> DataFrame:
@@ -99,7 +128,7 @@ def resolved(aliases: DataFrame, most: int = 20, source: str = "alias", target:
         if not new.exceptAll(now).limit(1).count():
             return new
         now = new
-    return now
+    raise RuntimeError(f"chains did not end in {most} rounds")
 
 
 def ranked(df: DataFrame, by: str, order: list[str], out: str = "rank") -> DataFrame:

@@ -483,6 +483,11 @@ def fallback_groups(spark, sf_dir):
     return canonical.all_groups(_named(spark, sf_dir)).select("doc_id", "canonical_name", "canonical_id", "ord")
 
 
+@query()
+def spelling_pairs(spark, sf_dir):
+    return entities.spelling_pairs(table(spark, sf_dir, "part"), "p_brand", "p_name", 0.8)
+
+
 @query()
 def alias_candidates(spark, sf_dir):
     return entities.alias_pairs(table(spark, sf_dir, "supplier").withColumn("doc_id", F.expr("s_suppkey % 5")), "doc_id", "s_name")

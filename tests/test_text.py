@@ -80,3 +80,26 @@ def test_numbers(spark):
     assert one(spark, "at 12:30 on 3/4/2020 7 of 1.5", scenes.numbers) == ["12:30", "3/4/2020", "7", "1.5"]
     assert [one(spark, t, scenes.unwrapped) for t in ("12 INT. ROOM 12", "12 INT. ROOM 13", "A")] == [" INT. ROOM ", "12 INT. ROOM 13", "A"] or one(spark, "12INT. ROOM 12", scenes.unwrapped) == "INT. ROOM "
     assert one(spark, "12INT. ROOM 12", scenes.unwrapped) == "INT. ROOM "
+
+
+def test_spelling_pairs_equal_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(5)
+    base = ["anna karlsson", "boris petrov", "the night watch", "quay", "x", "", "ab", "ß", "Ωmega point", "a very long name of a house by the sea"]
+    names = set(base)
+    while len(names) < 160:
+        w = list(rnd.choice(base) or "q")
+        for _ in range(rnd.randint(0, 5)):
+            at = rnd.randrange(len(w) + 1)
+            w[at : at + rnd.randint(0, 2)] = rnd.choices("abcdeaeinrst ", k=rnd.randint(0, 2))
+        names.add("".join(w))
+    names |= {"Anna-Karlsson", "anna  karlsson", "...", "!!", "X"}
+    rows = [(g, x) for g in (1, 2) for x in sorted(names)[g - 1 :: 1]]
+    df = spark.createDataFrame([*rows, *rows[:5], (3, None)], "doc_id int, name string")
+    keys = {r.name: r.k for r in df.select("name", X.spaced_key(F.col("name")).alias("k")).collect()}
+    for least in (0.72, 0.9):
+        want = {(g, a, b) for g, a in rows for h, b in rows if g == h and a < b and SequenceMatcher(None, keys[a], keys[b]).ratio() >= least}
+        got = {tuple(r) for r in entities.spelling_pairs(df, "doc_id", least=least).collect()}
+        assert got == want and len(want) > 50
