@@ -138,11 +138,13 @@ class Scanner:
                         break
                     else:
                         a += max(1, reach // 6)
-        kept: list[tuple[str, float, int, int]] = []
+        # kept finds lie apart, in order: only the neighbours of a place can overlap a new one
+        kept: list[tuple[int, int, str, float]] = []
         for name, share, s, e, _ in sorted(found, key=lambda f: (-(f[3] - f[2]) * f[1], f[2], f[0])):
-            if all(e <= k[2] or s >= k[3] for k in kept):
-                kept.append((name, share, s, e))
-        return sorted(kept, key=lambda k: (k[2], k[0]))
+            i = bisect_left(kept, (s,))
+            if (i == 0 or kept[i - 1][1] <= s) and (i == len(kept) or kept[i][0] >= e):
+                kept.insert(i, (s, e, name, share))
+        return [(name, share, s, e) for s, e, name, share in kept]
 
 
 def _densest(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:

@@ -50,3 +50,16 @@ def test_coverage_counts_words():
         found = scanner.scan("before " + " ".join(t[: len(t) - missing]) + " after it all")
         share = (len(t) - missing) / len(t)
         assert ([round(f[1], 9) for f in found] == [round(share, 9)]) if share >= 0.8 else not found
+
+
+def test_many_notices_in_one_text_take_linear_time():
+    import time
+
+    scanner, line = Scanner(TEMPLATES), "licensed under the MIT License. "
+    took = []
+    for n in (2_500, 10_000):
+        start = time.process_time()
+        found = scanner.scan((line + "then other words of the project follow for a while here and there. ") * n)
+        took.append(time.process_time() - start)
+        assert len(found) == n and all(a[3] <= b[2] for a, b in zip(found, found[1:]))
+    assert took[1] < 8 * took[0] + 0.5
