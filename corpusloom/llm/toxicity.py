@@ -20,9 +20,10 @@ from .common import NOT_WORD, batches, counts_to_rows, key_residue, splitmix, wo
 
 @dataclass(frozen=True)
 class Ftrl:
-    """bits: the feature space has 2**bits cells, which bounds the model. rows: bound of the labelled sample that it learns from.
+    """bits: the feature space has 2**bits cells, which bounds the model. rows: bound of the labelled keys that it learns from.
 
-    min_texts: a cell of fewer distinct texts of the sample gets no weight.
+    bytes: bound of the examples that the learning task holds, four a cell. min_texts: a cell of fewer distinct texts of
+    the sample gets no weight.
     """
 
     bits: int = 20
@@ -32,6 +33,7 @@ class Ftrl:
     l2: float = 0.1
     epochs: int = 6
     rows: int = 16384
+    bytes: int = 1 << 28
     min_texts: int = 5
 
 
@@ -86,8 +88,10 @@ def fit(examples: list[tuple[np.ndarray, int]], p: Ftrl) -> tuple[np.ndarray, np
 
 
 def train(documents: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), holdout: int | None = 1) -> tuple[np.ndarray, np.ndarray, float]:
-    """Learns from at most ``p.rows`` labelled texts, those with the lowest hashed keys, in one bounded task.
+    """Learns from the texts of at most ``p.rows`` labelled keys, those with the lowest hashes, in one bounded task.
 
+    However often a key or a text is repeated, each distinct text comes to the task once, by its lowest hash and with the
+    label of its highest. Texts are taken in that order as long as they fit in ``p.bytes``.
     A key labelled more than once counts as toxic if any of its labels says so; null labels are left out. Keys whose
     crc32 modulo 3 is ``holdout`` are never read.
     """
@@ -106,14 +110,19 @@ def train(documents: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), holdout: in
             yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_y"), pa.array(packed, pa.binary())], names=["_k", "_y", "cells"])
 
     def learn(source):
-        have = [(k, y, c) for b in source for k, y, c in zip(*(b.column(i).to_pylist() for i in range(3)))]
-        have.sort(key=lambda r: (r[0], r[2]))
-        cells, weights, bias = fit([(np.frombuffer(c, np.uint32), y) for _, y, c in have], p)
+        have, room = [], p.bytes
+        for batch in source:
+            for y, c in zip(batch.column("_y").to_pylist(), batch.column("cells").to_pylist()):
+                room -= len(c)
+                if room >= 0:
+                    have.append((np.frombuffer(c, np.uint32), y))
+        cells, weights, bias = fit(have, p)
         yield pa.RecordBatch.from_arrays(
             [pa.array([cells.astype(np.uint32).tobytes()]), pa.array([weights.astype(np.float64).tobytes()]), pa.array([bias])], names=["cells", "weights", "bias"]
         )
 
-    learned = rows.mapInArrow(prepare, "_k long, _y int, cells binary").repartition(1).mapInArrow(learn, "cells binary, weights binary, bias double").collect()
+    once = rows.mapInArrow(prepare, "_k long, _y int, cells binary").groupBy("cells").agg(F.min("_k").alias("_k"), F.max_by("_y", "_k").alias("_y"))
+    learned = once.repartition(1).sortWithinPartitions("_k", "cells").mapInArrow(learn, "cells binary, weights binary, bias double").collect()
     if not learned:
         return fit([], p)
     return np.frombuffer(learned[0][0], np.uint32).astype(np.int64), np.frombuffer(learned[0][1], np.float64), learned[0][2]

@@ -264,3 +264,17 @@ def test_notices_are_found(spark, none_at_all):
     got = licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.licenses) for r in got) == [(1, "MIT line"), (2, ""), (3, ""), (3, "")]
     assert licenses.license_spans(none_at_all).count() == 0
+
+
+def test_toxicity_learns_from_each_text_once(spark):
+    """Repeated rows and a bound on bytes: what the one learning task holds is bounded, and repeats change nothing."""
+    from corpusloom.llm import toxicity
+
+    base = [(i, prose(30, i) + (" vile awful" if i % 2 else " kind nice")) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    p = toxicity.Ftrl(min_texts=2)
+    once = toxicity.train(spark.createDataFrame(base, "doc_id long, text string"), labels, p, None)
+    many = toxicity.train(spark.createDataFrame(base + base[:3] * 10_000, "doc_id long, text string").repartition(8), labels, p, None)
+    assert all(np.array_equal(a, b) for a, b in zip(once[:2], many[:2])) and once[2] == many[2] and len(once[0])
+    few = toxicity.train(spark.createDataFrame(base, "doc_id long, text string"), labels, toxicity.Ftrl(min_texts=2, bytes=100), None)
+    assert not len(few[0])
