@@ -185,3 +185,20 @@ def importance_sample(documents: DataFrame, target: DataFrame, key: str = "doc_i
         rest = scored.where("NOT _may").drop("_may").withColumn("rank", F.lit(None).cast("long"))
         # the result outlives the tables of the work, so it is a table itself
         return materialize(ranked.unionByName(rest), "sampled")
+
+
+ORACLE = r"""
+WITH t AS (SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tb FROM range(256) r(i)),
+d AS (SELECT doc_id, 0 AS side, coalesce(text, '') AS text FROM documents UNION ALL SELECT NULL, 1, coalesce(text, '') FROM benchmark),
+w AS (SELECT doc_id, side, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+f AS (SELECT doc_id, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w),
+x AS (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM f)),
+b AS (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: 16 * (instr('0123456789ABCDEF', h[i]) - 1) + instr('0123456789ABCDEF', h[i + 1]) - 1)), lambda c, v: xor(c >> 8, tb[(xor(c, v) & 255) + 1])), 4294967295) % 10000 AS bucket FROM x, t),
+c AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN b USING (g) GROUP BY bucket),
+n AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM c),
+a AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM c, n),
+v AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN b USING (g) JOIN a USING (bucket) WHERE side = 0 GROUP BY doc_id),
+r AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || doc_id)[1:8] AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score, len(w) >= 20 AS may FROM w LEFT JOIN v USING (doc_id) WHERE side = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id) AS k, count(*) FILTER (may) OVER () AS every FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND k <= 5 * every // 100 THEN k END AS rank FROM o
+"""
