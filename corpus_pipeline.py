@@ -16,25 +16,37 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below THRESHOLD, by a model of all labels."""
+    """Documents that score below THRESHOLD, by a model of all labels.
+
+    Null and empty texts score as the model's intercept. An empty table stays empty; other columns, whatever their names,
+    and repeated rows stay as they are. A text is scored whole, however long.
+    """
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), holdout=None)
     (score,) = free_names(docs, "_score")
     return toxicity.score(docs, model, out=score).where(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, with all its columns.
+
+    Documents without a shingle (null, empty or blank ones) are near none and stay. Of repeated rows one stays, and of a
+    group always the same one, so that reruns agree. An empty table stays empty.
+    """
     return near_dup.without_near_duplicates(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind in the whole text; null texts stay null, other columns as they are."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; a null source is a source of its own, documents without words are never taken."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document; an empty or null text has one of no pieces, and repeated rows have equal ones."""
     return pieces.segmentations(docs)
 
 

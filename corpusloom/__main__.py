@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.lineage import cut
 from .operators import evaluation
 from .plans import extraction, gates, models
 from .sources import documents
@@ -43,12 +44,15 @@ def main(argv: list[str] | None = None) -> int:
         words = a.chunk_words or (200 if a.mode == "sequential" else 500)
         extraction.extract(rows.withColumnRenamed("ord", "doc_id"), model, extraction.Config(mode=a.mode, chunk_words=words)).write.mode("overwrite").parquet(a.output)
     elif a.verb == "canonicalize":
-        extraction.canonical(spark.read.parquet(a.input)).write.mode("overwrite").parquet(a.output)
+        units = spark.read.parquet(a.input)
+        extraction.canonical(units, extraction.resolver_answers(units, model)).write.mode("overwrite").parquet(a.output)
     else:
         docs = documents.read_evaluation(spark, a.input)
-        asked = docs.select("document_id", "text", F.posexplode(F.arrays_zip("questions", "answers")).alias("question_index", "q"))
-        asked = asked.select("document_id", "question_index", F.col("q.questions").alias("question"), F.col("q.answers").alias("gold"), F.explode(F.array(F.lit("no_context"), F.lit("original"))).alias("condition"), "text")
-        asked = asked.withColumn("context", F.when(F.col("condition") == "original", F.col("text")).otherwise("")).drop("text")
+        known = extraction.extract(docs.select(F.col("document_id").alias("doc_id"), "text"), model, extraction.Config(mode=a.mode, chunk_words=a.chunk_words or 500))
+        context = extraction.unit_context(cut(known)).withColumnRenamed("doc_id", "document_id")
+        asked = docs.join(context, "document_id", "left").select("document_id", "text", "context", F.posexplode(F.arrays_zip("questions", "answers")).alias("question_index", "q"))
+        arms = F.create_map(F.lit("no_context"), F.lit(""), F.lit("original"), F.coalesce("text", F.lit("")), F.lit("knowledge_units"), F.coalesce("context", F.lit("[]")))
+        asked = asked.select("document_id", "question_index", F.col("q.questions").alias("question"), F.col("q.answers").alias("gold"), F.explode(arms).alias("condition", "context"))
         evaluation.summary(extraction.judged(asked, model)).write.mode("overwrite").parquet(a.output)
     return 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import pandas as pd
@@ -34,14 +35,24 @@ class Config:
             raise ValueError("chunk_words must be positive, the others not negative")
 
 
-INSTRUCTION = "List the entities of the target text with types, attributes and relationships as one JSON object with context_summary and entities."
 COMPACT = "Answer again with a shorter, complete JSON object."
+#: stands for the units before a chunk in its prompt until they are there
+EARLIER = "\x01earlier units\x01"
+FALLBACK_WORDS = 350
+
+
+def headed(documents: DataFrame, chunk_words: int) -> DataFrame:
+    """(doc_id, title, abstract) as prompts show them: a text of several chunks without an abstract has its first words instead."""
+    of = lambda c: F.col(c) if c in documents.columns else F.lit(None).cast("string")
+    words = X.words(F.col("text"))
+    first = X.bound(words, lambda w: F.when(F.size(w) > chunk_words, F.array_join(F.slice(w, 1, FALLBACK_WORDS), " ")))
+    return documents.select("doc_id", of("title").alias("title"), F.coalesce(F.nullif(of("abstract"), F.lit("")), first).alias("abstract")).dropDuplicates(["doc_id"])
 
 
 def prompts(documents: DataFrame, c: Config) -> DataFrame:
-    """(doc_id, chunk_index, text, prompt) with neighbouring words as context."""
-    rows = chunking.with_neighbours(documents, c.chunk_words, c.context_words)
-    return rows.select("doc_id", "chunk_index", "text", F.format_string(INSTRUCTION + "\nBEFORE: %s\nAFTER: %s\nTARGET: %s", "before", "after", "text").alias("prompt"))
+    """(doc_id, chunk_index, text, prompt) with title, abstract and neighbouring words as context."""
+    rows = chunking.with_neighbours(documents, c.chunk_words, c.context_words).join(headed(documents, c.chunk_words), "doc_id")
+    return rows.select("doc_id", "chunk_index", "text", prompts_of.unit(F.col("text"), F.col("before"), F.col("after"), F.col("title"), F.col("abstract")).alias("prompt"))
 
 
 def generated(rows: DataFrame, model: models.Model, c: Config) -> DataFrame:
@@ -58,26 +69,52 @@ def generated(rows: DataFrame, model: models.Model, c: Config) -> DataFrame:
 
 
 def sequential(documents: DataFrame, model: models.Model, c: Config) -> DataFrame:
-    """Units where each chunk's prompt holds the units before it: an ordered loop within a document, parallel across documents."""
-    chunks = chunking.split_text(documents, c.chunk_words).select("doc_id", "chunk_index", "text")
+    """Units where each chunk's prompt holds the parsed units before it: an ordered loop within a document, parallel across documents.
+
+    An answer that doesn't parse is asked for again with a larger budget, at last recovered from its complete parts; a
+    chunk without a unit is not among those before.
+    """
+    chunks = chunking.split_text(documents, c.chunk_words).join(headed(documents, c.chunk_words), "doc_id")
+    ask = lambda earlier: prompts_of.next_unit(F.col("text"), earlier, F.col("title"), F.col("abstract"))
+    chunks = chunks.select("doc_id", "chunk_index", "text", ask(F.lit("")).alias("first"), ask(F.lit(EARLIER)).alias("later"))
     kind = chunks.schema["doc_id"].dataType
     fields = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("chunk_index int, text string, prompt string, response string, error string").fields])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out, past = [], []
         for r in pdf.sort_values("chunk_index").itertuples():
-            prompt = f"{INSTRUCTION}\nPREVIOUS: {' '.join(past[-c.previous_units :] if c.previous_units else [])}\nTARGET: {r.text}"
-            try:
-                response, error = model.generate_batch([prompt], c.max_tokens)[0], None
-                past.append(response)
-            except Exception as e:
-                response, error = None, f"{type(e).__name__}: {e}"
+            known = past[-c.previous_units :] if c.previous_units else []
+            prompt = r.later.replace(EARLIER, json.dumps(known, ensure_ascii=False)) if known else r.first
+            response = error = None
+            for attempt in range(c.parse_retries + 1):
+                last = attempt == c.parse_retries
+                try:
+                    response = model.generate_batch([prompt if not attempt else f"{COMPACT}\n{prompt}" if last else prompt], c.max_tokens if not attempt else min(2 * c.max_tokens, 8192))[0]
+                    error = None
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                    continue
+                made = parsing.unit(response, cut_allowed=last)
+                if not made.get("error"):
+                    past.append({"context_summary": made["context_summary"], "entities": [{k: e[k] for k in ("name", "entity_type", "aliases")} for e in made["entities"]]})
+                    break
             out.append((r.doc_id, r.chunk_index, r.text, prompt, response, error))
         return pd.DataFrame(out, columns=fields.names)
 
     return chunks.groupBy("doc_id").applyInPandas(run, fields).withColumn("unit", parsing.parsed_or_recovered("response"))
 
 
+def unit_context(units: DataFrame) -> DataFrame:
+    """(doc_id, context): a document's units in order as compact JSON of what they say, without digests or places in the source."""
+    pairs = lambda r: F.struct(r.predicate.alias("predicate"), r.target.alias("target"), F.try_parse_json(r.attributes).alias("attributes"))
+    entity = lambda e: F.struct(e["name"].alias("name"), e.entity_type.alias("type"), F.try_parse_json(e.attributes).alias("attributes"), F.transform(e.relationships, pairs).alias("relationships"))
+    said = F.struct(F.col("unit.context_summary").alias("context_summary"), F.transform("unit.entities", entity).alias("entities"))
+    # one unit's JSON at a time, since what holds parsed JSON can't be sorted
+    each = units.where("unit.error IS NULL").select("doc_id", "chunk_index", F.to_json(said, {"ignoreNullFields": "false"}).alias("j"))
+    listed = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "j"))).alias("l"))
+    return listed.select("doc_id", F.concat(F.lit("["), F.array_join("l.j", ","), F.lit("]")).alias("context"))
+
+
 def extract(documents: DataFrame, model: models.Model, c: Config = Config()) -> DataFrame:
     """(doc_id, chunk_index, unit, sha256, sentence_minhash, error): one row per chunk. Documents of no words have none."""
     rows = sequential(documents, model, c) if c.mode == "sequential" else generated(prompts(documents, c), model, c)

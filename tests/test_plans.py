@@ -158,3 +158,54 @@ def test_a_crash_at_any_write_loses_and_repeats_nothing(spark, tmp_path, monkeyp
     asked = []
     resume.resumable(docs, lambda df: asked.append(df.count()) or df.withColumn("x", F.lit(1)), path, {"m": 1}, batch=64)
     assert asked == [] and resume.runs(spark, path).count() == len(resume.Folder(spark, path).committed(f"{path}/batches"))
+
+
+class Scripted:
+    """Answers units from the names in the target; the first answer to a target that says so is cut."""
+
+    name = "scripted"
+
+    def generate_batch(self, prompts, max_tokens=None):
+        out = []
+        for p in prompts:
+            target = p.rsplit("TARGET:\n", 1)[1]
+            whole = json.dumps({"context_summary": f"seen {'EARLIER UNITS' in p} {max_tokens}", "entities": [{"name": w, "type": "person", "attributes": {"n": 1}, "relationships": [{"predicate": "near", "target": "x", "attributes": {}}]} for w in target.split() if w.istitle()]})
+            out.append(whole[:-9] if "broken" in target and not p.startswith("Answer again") else whole)
+        return out
+
+
+def test_sequential_mode_repairs_and_remembers_parsed_units(spark):
+    docs = spark.createDataFrame([(1, "Ana walks. then broken Boris comes. and Zoe"), (2, "Nil")], "doc_id int, text string")
+    c = extraction.Config(mode="sequential", chunk_words=3, previous_units=1, max_tokens=100)
+    rows = {(r.doc_id, r.chunk_index): r for r in extraction.sequential(docs, Scripted(), c).collect()}
+    assert [e.name for e in rows[1, 1].unit.entities] == ["Boris"] and rows[1, 1].unit.context_summary == "seen True 200"
+    assert "ABSTRACT:\nAna walks. then broken Boris" in rows[1, 0].prompt and "ABSTRACT" not in rows[2, 0].prompt
+    assert "EARLIER UNITS" not in rows[1, 0].prompt and '[{"context_summary": "seen True 200", "entities": [{"name": "Boris"' in rows[1, 2].prompt and "Ana" not in rows[1, 2].prompt.split("EARLIER UNITS")[1].split("TARGET")[0]
+
+
+def test_unit_context_is_what_units_say(spark):
+    docs = spark.createDataFrame([(1, "Ana walks far Zoe"), (2, "")], "doc_id int, text string")
+    units = extraction.extract(docs, Scripted(), extraction.Config(chunk_words=3))
+    got = {r.doc_id: json.loads(r.context) for r in extraction.unit_context(units).collect()}
+    near = [{"predicate": "near", "target": "x", "attributes": {}}]
+    assert got == {1: [{"context_summary": "seen False 2500", "entities": [{"name": n, "type": "person", "attributes": {"n": 1}, "relationships": near}]} for n in ("Ana", "Zoe")]}
+
+
+def test_command_line_asks_the_model(spark, tmp_path, monkeypatch):
+    from corpusloom import __main__ as cli
+    from corpusloom.plans import models
+    from corpusloom.plans.parsing import UNIT
+
+    class Judge(models.StubModel):
+        def generate_batch(self, prompts, max_tokens=None):
+            return [json.dumps({"alias_groups": {"Anna Karlsen": ["Anna Karlsen", "A. Karlsen"]}}) if "PAIRS TO LOOK AT" in p else super(Judge, self).generate_batch([p], max_tokens)[0] for p in prompts]
+
+    monkeypatch.setattr(cli.models, "StubModel", Judge)
+    unit = ("s", [("Anna Karlsen", "person", [], "{}", []), ("A. Karlsen", "person", [], "{}", [])], [], None)
+    kind = f"doc_id int, chunk_index int, unit {UNIT.simpleString()}"
+    spark.createDataFrame([(1, 0, unit)], kind).write.parquet(str(tmp_path / "units"))
+    assert cli.main(["canonicalize", str(tmp_path / "units"), str(tmp_path / "names")]) == 0
+    assert [(r.canonical_name, r.aliases) for r in spark.read.parquet(str(tmp_path / "names")).collect()] == [("Anna Karlsen", ["A. Karlsen", "Anna Karlsen"])]
+    spark.createDataFrame([("Anna Karlsen met Boris.", ["who? A) x B) y C) z D) w", "where?"], ["A", "B"])], "text string, question array<string>, answer array<string>").write.parquet(str(tmp_path / "eval"))
+    assert cli.main(["evaluate", str(tmp_path / "eval"), str(tmp_path / "scores")]) == 0
+    assert {r.condition for r in spark.read.parquet(str(tmp_path / "scores")).collect()} == {"no_context", "original", "knowledge_units"}
