@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns.
 
-    Documents without a shingle (null, empty or blank ones) are near none and stay. Of repeated rows one stays, and of a
-    group always the same one, so that reruns agree. An empty table stays empty.
+    Null and empty texts are one group. The least doc_id of a group stays, and one of the rows that repeat it, so that
+    reruns agree. An empty table stays empty.
     """
     return near_dup.without_near_duplicates(docs)
 
