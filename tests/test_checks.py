@@ -138,7 +138,7 @@ LATER = "INT. OFFICE\nA clerk stamps each paper twice without looking up from th
 def matched(spark, said, scenes=(("sc-1", QUAY), ("sc-2", LATER)), **more):
     u = frame(spark, unit(context_before="", context_after="", style="", beats=[beat(i, s, facts=more.get("facts")) for i, s in enumerate(said, 1)], entities=[]))
     scene = spark.createDataFrame([(s, "d", t, ["ANA", "BORIS"], "QUAY", "EXT. QUAY") for s, t in scenes], "scene_id string, doc string, text string, speakers array<string>, location string, heading string")
-    docs = spark.createDataFrame([("d", "\n".join(t for _, t in scenes)), ("other", "nothing of this stands anywhere else in the world")], "doc string, text string")
+    docs = spark.createDataFrame([("d", "\n".join(t or "" for _, t in scenes)), ("other", "nothing of this stands anywhere else in the world")], "doc string, text string")
     known = checks.known_tokens(u, scene)
     found = checks.scene_matches(units.placed_fields(u).join(scene.select("scene_id", "doc"), "scene_id"), scene, docs, known)
     return found, checks.scoped_verbatim(found, known, more.get("fail_at", 8)).first()
