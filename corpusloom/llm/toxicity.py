@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, batches, counts_to_rows, key_residue, splitmix, words_of
+from .common import NOT_WORD, batches, counts_to_rows, give_back, key_residue, splitmix, words_of
 
 
 @dataclass(frozen=True)
@@ -112,11 +112,15 @@ def train(documents: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), holdout: in
     def learn(source):
         have, room = [], p.bytes
         for batch in source:
-            for y, c in zip(batch.column("_y").to_pylist(), batch.column("cells").to_pylist()):
-                room -= len(c)
+            # views of the batch, not copies
+            for y, c in zip(batch.column("_y").to_pylist(), batch.column("cells")):
+                view = np.frombuffer(c.as_buffer(), np.uint32)
+                room -= view.nbytes
                 if room >= 0:
-                    have.append((np.frombuffer(c, np.uint32), y))
+                    have.append((view, y))
         cells, weights, bias = fit(have, p)
+        have.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays(
             [pa.array([cells.astype(np.uint32).tobytes()]), pa.array([weights.astype(np.float64).tobytes()]), pa.array([bias])], names=["cells", "weights", "bias"]
         )
