@@ -78,11 +78,12 @@ def scene_matches(fields: DataFrame, scenes: DataFrame, documents: DataFrame, kn
     the tokens that must survive word for word, as an array. scope is scene or document. novel counts the gram's tokens
     that are neither known nor stop words. Fields of unknown scenes are left out.
     """
-    own = fields.join(scenes.select("scene_id"), "scene_id", "left_semi")
     place = lambda scope, c: F.struct(F.lit(scope).alias("scope"), F.col(c).cast("string").alias("place"))
-    asked = own.select("field", F.array(place(0, "scene_id"), place(1, "doc")).alias("within"), "text")
+    asked = fields.select("field", "scene_id", "path", F.array(place(0, "scene_id"), place(1, "doc")).alias("within"), "text")
     held = scenes.select(place(0, "scene_id").alias("x"), "text").unionByName(documents.select(place(1, "doc").alias("x"), "text")).select("x.*", "text")
-    met = overlap.longest_matches(asked, held).join(own.select("field", "scene_id", "path"), "field").join(known.select("scene_id", "tokens"), "scene_id", "left")
+    # what is known of scenes is asked for matches only, of which there are far fewer than fields
+    own = overlap.longest_matches(asked, held, keep=("scene_id", "path")).join(scenes.select("scene_id"), "scene_id", "left_semi")
+    met = own.join(known.select("scene_id", "tokens"), "scene_id", "left")
     dull = F.array_union(F.coalesce("tokens", F.array().cast("array<string>")), F.array(*(F.lit(w) for w in sorted(STOP_WORDS))))
     novel = X.bound(dull, lambda k: F.size(F.filter("gram", lambda t: ~F.array_contains(k, t))))
     return met.select("scene_id", "path", "field", "run", "start", F.when(F.col("scope") == 0, "scene").otherwise("document").alias("scope"), "gram", novel.alias("novel"))

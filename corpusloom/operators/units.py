@@ -35,10 +35,10 @@ def leaves(units: DataFrame, *kinds: str) -> DataFrame:
     return units.select("scene_id", F.explode(WALK.found(units.schema, *kinds)).alias("x")).select("scene_id", "x.*")
 
 
-def placed_fields(units: DataFrame) -> DataFrame:
-    """(scene_id, field, path, text): as ``text_fields``, with a key for each; two attributes have one path and two keys."""
-    each = units.select("scene_id", F.posexplode(WALK.found(units.schema, "text")).alias("i", "x"))
-    return each.select("scene_id", F.format_string("%s/%05d", "scene_id", "i").alias("field"), "x.path", F.col("x.value").alias("text"))
+def placed_fields(units: DataFrame, *keep: str) -> DataFrame:
+    """(scene_id, *keep, field, path, text): as ``text_fields``, with a key for each; two attributes have one path and two keys."""
+    each = units.select("scene_id", *keep, F.posexplode(WALK.found(units.schema, "text")).alias("i", "x"))
+    return each.select("scene_id", *keep, F.format_string("%s/%05d", "scene_id", "i").alias("field"), "x.path", F.col("x.value").alias("text"))
 
 
 def text_fields(units: DataFrame) -> DataFrame:

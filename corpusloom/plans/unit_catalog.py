@@ -551,7 +551,7 @@ def _lined(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _matched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     unit, scene, docs = _lined(spark, sf_dir)
     known = checks.known_tokens(unit, scene)
-    return checks.scene_matches(units.placed_fields(unit).join(unit.select("scene_id", "doc"), "scene_id"), scene, docs, known), known
+    return checks.scene_matches(units.placed_fields(unit, "doc"), scene, docs, known), known
 
 
 @query("WITH " + SCOPED + "SELECT sid AS scene_id, 'beats[1].content' AS path, run, start, scope, gram, novel FROM v")
