@@ -21,19 +21,23 @@ def level(confidence: Column) -> Column:
 def draft_errors(objects: DataFrame, scenes: DataFrame, beats: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """(window, ao_id, error) of drafts with a missing or repeated id, a scene outside the window, no or unknown grounds, or an unknown type or confidence.
 
-    scenes: window, scene_id; beats: window, ref.
+    scenes: window, scene_id; beats: window, ref; without ``window`` they stand in every window.
     """
-    known = scenes.select("window", "scene_id", F.lit(True).alias("_scene")).distinct()
-    refs = beats.groupBy("window").agg(F.collect_set("ref").alias("_refs"))
+    by = lambda df: ["window"] if "window" in df.columns else []
+    known = scenes.select(*by(scenes), "scene_id", F.lit(True).alias("_scene")).distinct()
     times = F.count(F.lit(1)).over(Window.partitionBy("window", "ao_id"))
-    o = objects.withColumn("_times", times).join(known, ["window", "scene_id"], "left").join(refs, "window", "left")
-    grounds = F.coalesce("grounded_in", F.array().cast("array<string>"))
+    given = objects.withColumn("_times", times).withColumn("_grounds", F.coalesce("grounded_in", F.array().cast("array<string>")))
+    # lists of grounds that name what isn't there, each looked at once
+    cited = given.select("window", "_grounds").distinct().withColumn("ref", F.explode("_grounds"))
+    wrong = cited.join(beats.select(*by(beats), "ref").distinct(), [*by(beats), "ref"], "left_anti").select(F.col("window").alias("_w"), F.col("_grounds").alias("_g")).distinct()
+    o = given.join(known, [*by(scenes), "scene_id"], "left").join(wrong, F.col("window").eqNullSafe(F.col("_w")) & (F.col("_grounds") == F.col("_g")), "left")
+    grounds = F.col("_grounds")
     bad = [
         (F.coalesce("ao_id", F.lit("")) == "", "no id"),
         (F.col("_times") > 1, "repeated id"),
         (F.col("_scene").isNull(), "scene outside the window"),
         (F.size(grounds) == 0, "no grounds"),
-        (F.size(F.array_except(grounds, F.coalesce("_refs", F.array().cast("array<string>")))) > 0, "unknown grounds"),
+        (F.col("_g").isNotNull(), "unknown grounds"),
         (~F.coalesce(F.col("type").isin(*types), F.lit(False)), "unknown type"),
         (level(F.col("confidence")).isNull(), "unknown confidence"),
     ]

@@ -213,11 +213,9 @@ def object_ids(spark, sf_dir):
 )
 def draft_errors(spark, sf_dir):
     o = _objects(spark, sf_dir).withColumn("window", F.expr("doc_id div 50"))
-    windows = o.select("window").distinct()
     b = _beats(spark, sf_dir)
     # every window may use every scene here
-    every = lambda d: d.join(F.broadcast(windows.agg(F.collect_list("window").alias("_w")))).select(*d.columns, F.explode("_w").alias("window"))  # noqa: E731  one row a scene or beat by a bounded list
-    return graph.draft_errors(o, every(b.select("scene_id").distinct()), every(b.select("ref")), TYPES[:3])
+    return graph.draft_errors(o, b.select("scene_id"), b.select("ref"), TYPES[:3])
 
 
 @query(

@@ -5,7 +5,8 @@ import time
 
 import pytest
 
-from corpusloom.operators import overlap
+from corpusloom.operators import graph, overlap
+from corpusloom.plans.unit_catalog import QUERIES
 
 
 def shuffled(spark, df):
@@ -63,3 +64,29 @@ def test_longest_matches_shuffle_texts_only(spark, copied):
     size = sum(len(r[2]) * 2 for r in rows) + sum(len(r[2]) for r in held)
     # joined by grams, each token goes through several shuffles with its place: ten times as much
     assert shuffled(spark, overlap.longest_matches(fields, sources))[0] < 2 * size
+
+
+OBJECT = "window int, ao_id string, scene_id string, grounded_in array<string>, type string, confidence string"
+
+
+def test_draft_errors_by_window_and_in_every_window(spark):
+    rows = [(1, "a", "s1", ["s1#1", None], "motive", "plausible"), (1, "b", "s1", ["s1#1", "s1#1"], "motive", "plausible"), (2, "c", "s1", ["s1#1"], "motive", "plausible"), (None, "d", "s1", ["s1#1"], "motive", "plausible"), (1, "e", "s2", None, "motive", "plausible")]
+    objects = spark.createDataFrame(rows, OBJECT)
+    of = lambda scenes, beats: {(r.ao_id, r.error) for r in graph.draft_errors(objects, scenes, beats, ("motive",)).collect()}
+    outside, unknown = "scene outside the window", "unknown grounds"
+    windowed = of(spark.createDataFrame([(1, "s1")], "window int, scene_id string"), spark.createDataFrame([(1, "s1#1"), (1, "s1#1")], "window int, ref string"))
+    assert windowed == {("a", unknown), ("c", outside), ("c", unknown), ("d", outside), ("d", unknown), ("e", outside), ("e", "no grounds")}
+    everywhere = of(spark.createDataFrame([("s1",)], "scene_id string"), spark.createDataFrame([("s1#1",)], "ref string"))
+    assert everywhere == {("a", unknown), ("e", outside), ("e", "no grounds")}
+
+
+def test_draft_errors_of_all_windows_grow_with_the_rows(spark, tmp_path):
+    def tables(n):
+        at = str(tmp_path / str(n))
+        spark.range(n).selectExpr("id AS doc_id", "'t' AS text").write.parquet(f"{at}/documents.parquet")
+        spark.range(n).selectExpr("id div 3 AS conv_id", "id % 3 AS turn", "'user' AS role", "'t' AS text").write.parquet(f"{at}/conversations.parquet")
+        return at
+
+    few, many = (shuffled(spark, QUERIES["draft_errors"](spark, tables(n)))[0] for n in (1000, 8000))
+    # each window had a copy of every scene and beat before: 60 times as much
+    assert many < 12 * few
