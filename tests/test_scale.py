@@ -2,10 +2,13 @@
 
 import random
 import time
+from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.operators import graph, overlap
+from corpusloom.functions import text as X
+from corpusloom.operators import entities, graph, overlap
 from corpusloom.plans.unit_catalog import QUERIES
 
 
@@ -90,3 +93,38 @@ def test_draft_errors_of_all_windows_grow_with_the_rows(spark, tmp_path):
     few, many = (shuffled(spark, QUERIES["draft_errors"](spark, tables(n)))[0] for n in (1000, 8000))
     # each window had a copy of every scene and beat before: 60 times as much
     assert many < 12 * few
+
+
+def names(n):
+    rnd = random.Random(9)
+    alike = [(1, f"Supplier#{i:09d}") for i in range(n)]
+    mixed = [(2, " ".join(rnd.choices(["red", "blue", "gear", "ring", "bolt", "of", "x1", "long handled", "Ring"], k=rnd.randint(1, 4)))) for _ in range(n)]
+    return alike + mixed + [(1, "x"), (1, "X!"), (1, None), (None, "Supplier#000000001"), (1, "")]
+
+
+def test_pairs_equal_all_pairs_once(spark, monkeypatch):
+    monkeypatch.setattr(entities, "BLOCK", 16)  # so that frequent keys stand in parts
+    rows = sorted(set(names(60)), key=str)
+    df = spark.createDataFrame(rows + rows[:20], "doc_id int, name string")
+    key = {r.name: r.k for r in df.select("name", X.spaced_key(F.col("name")).alias("k")).collect()}
+    words = {x: set(k.split()) for x, k in key.items()}
+    met = [(g, a, b) for g, a in rows for h, b in rows if g is not None and g == h and a is not None and b is not None and a < b]
+    share = lambda a, b: len(words[a] & words[b]) / len(words[a] | words[b]) if min(len(words[a]), len(words[b])) >= 2 else -1
+    for least in (0.3, 0.5, 0.8):
+        got = [tuple(r) for r in entities.token_pairs(df, "doc_id", least=least).collect()]
+        assert sorted(got) == sorted((g, a, b, share(a, b)) for g, a, b in met if share(a, b) >= least)
+    got = [tuple(r) for r in entities.alias_pairs(df, "doc_id").collect()]
+    assert sorted(got) == sorted(p for p in met if share(*p[1:]) >= 0.5 or SequenceMatcher(None, key[p[1]], key[p[2]]).ratio() >= 0.72)
+
+
+def test_pairs_are_not_shuffled(spark):
+    frames = [spark.createDataFrame([r for r in names(n) if r[0] == 1 and r[1]], "doc_id int, name string") for n in (200, 800)]
+    few, many = (shuffled(spark, entities.alias_pairs(df, "doc_id")) for df in frames)
+    assert len(many[1]) >= 800 * 799 / 2 and many[0] < 6 * few[0]
+
+
+def test_pairs_of_a_frequent_word_are_made_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(entities, "BLOCK", 50, raising=False)
+    df = spark.createDataFrame([r for r in names(400) if r[0] == 1 and r[1]], "doc_id int, name string")
+    made = entities.token_pairs(df, "doc_id", least=0.3).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 400 * 399 / 2 and len(made) > 1
