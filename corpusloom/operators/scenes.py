@@ -97,9 +97,11 @@ def band_median(df: DataFrame, group: str, order: str, tokens: str, step: int |
     """
     from ..functions.text import jaccard
 
-    r = df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).withColumn("_t", F.array_distinct(tokens))
-    every = F.lit(step) if step else F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy(group)) / 60))
-    a = r.withColumn("_step", every).where(F.col("_i") % F.col("_step") == 0).select(group, F.col("_i").alias("_a"), F.col("_t").alias("_x"), F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + reach)).alias("_i"))
-    pairs = a.join(r.select(group, "_i", F.col("_t").alias("_y")), [group, "_i"]).select(group, jaccard(F.col("_x"), F.col("_y")).alias("s"))
-    s = F.array_sort(F.collect_list("s"))
-    return pairs.groupBy(group).agg(s.alias("_s")).select(group, F.get("_s", F.floor(F.size("_s") / 2).cast("int")).alias("median"), F.size("_s").alias("pairs"))
+    by = Window.partitionBy(group)
+    ahead = by.orderBy(order)
+    every = F.lit(step) if step else F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(by) / 60))
+    # dealt out as it came, and cut into tokens there: each row is shuffled once, and meets those after it in its window
+    r = df.where(F.col(group).isNotNull()).repartition(group).select(group, order, F.struct(F.array_distinct(tokens).alias("t")).alias("_t"))
+    r = r.select(group, "_t", (F.row_number().over(ahead) - 1).alias("_i"), F.collect_list("_t").over(ahead.rowsBetween(1, reach)).alias("_next"), every.alias("_step"))
+    near = r.where((F.col("_i") % F.col("_step") == 0) & (F.size("_next") > 0)).select(group, F.transform("_next", lambda y: jaccard(F.col("_t.t"), y.t)).alias("s"))
+    return near.groupBy(group).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("_s")).select(group, F.get("_s", F.floor(F.size("_s") / 2).cast("int")).alias("median"), F.size("_s").alias("pairs"))

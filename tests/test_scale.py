@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import entities, graph, overlap
+from corpusloom.operators import entities, graph, overlap, scenes
 from corpusloom.plans.unit_catalog import QUERIES
 
 
@@ -128,3 +128,28 @@ def test_pairs_of_a_frequent_word_are_made_by_several_tasks(spark, monkeypatch):
     df = spark.createDataFrame([r for r in names(400) if r[0] == 1 and r[1]], "doc_id int, name string")
     made = entities.token_pairs(df, "doc_id", least=0.3).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in made) == 400 * 399 / 2 and len(made) > 1
+
+
+@pytest.mark.parametrize("step", [1, None])
+def test_band_median_equals_plain_python_and_shuffles_rows_once(spark, step):
+    said = texts(600, 40, 5)
+    rows = [(None if i % 50 == 0 else i % 3 if i % 7 else i, i, " ".join(t.split()[: i % 40] + said[i - 1].split()[:9])) for i, t in enumerate(said)]
+    df = spark.createDataFrame(rows, "g int, o int, text string").repartition(4).cache()
+    df.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more rows
+    try:
+        size, got = shuffled(spark, scenes.band_median(df, "g", "o", F.split("text", " "), step=step))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    groups, want = {}, set()
+    for g, _, t in rows:
+        groups.setdefault(g, []).append(set(t.split(" ")))
+    for g, sets in groups.items():
+        each = step or max(1, len(sets) // 60)
+        s = sorted(len(a & b) / len(a | b) for i, a in enumerate(sets) if i % each == 0 for b in sets[i + 1 : i + 12])
+        if s and g is not None:
+            want.add((g, s[len(s) // 2], len(s)))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    if step:
+        # each row went along with eleven others before
+        assert size < 2 * sum(len(r[2]) for r in rows)
