@@ -1,14 +1,19 @@
 """What queries shuffle grows with their input, not with pairs of rows or with tokens by the scopes they are asked in."""
 
+import hashlib
+import json
 import random
 import time
+import tracemalloc
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import entities, graph, overlap, scenes
+from corpusloom.plans import parsing
 from corpusloom.plans.unit_catalog import QUERIES
 
 
@@ -153,3 +158,19 @@ def test_band_median_equals_plain_python_and_shuffles_rows_once(spark, step):
     if step:
         # each row went along with eleven others before
         assert size < 2 * sum(len(r[2]) for r in rows)
+
+
+def test_minhash_keeps_a_bounded_number_of_tokens(monkeypatch):
+    monkeypatch.setattr(overlap, "KEPT", 1 << 10, raising=False)
+    said = [None, "", "A a " + " ".join(f"Long{j}" for j in range(3000)), *(" ".join(f"t{i}x{j}" for j in range(100)) for i in range(1500)), "A a"]
+    tracemalloc.start()
+    got = overlap.token_minhash(4).func(pa.array(said, pa.string()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+
+    def want(text):
+        tokens = {t.encode() for t in (text or "").lower().split()}
+        return [min(int.from_bytes(hashlib.blake2b(i.to_bytes(4, "little") + t, digest_size=8).digest(), "little") for t in tokens) for i in range(4)] if tokens else []
+
+    assert [list(map(int, x)) for x in got.to_pylist()] == [want(t) for t in said]
+    assert peak < 4_000_000  # the 150,000 tokens and their digests take over 20 MB
