@@ -160,7 +160,7 @@ def test_band_median_equals_plain_python_and_shuffles_rows_once(spark, step):
         assert size < 2 * sum(len(r[2]) for r in rows)
 
 
-def test_minhash_keeps_a_bounded_number_of_tokens(monkeypatch):
+def test_minhash_keeps_a_bounded_number_of_tokens(spark, monkeypatch):
     monkeypatch.setattr(overlap, "KEPT", 1 << 10, raising=False)
     said = [None, "", "A a " + " ".join(f"Long{j}" for j in range(3000)), *(" ".join(f"t{i}x{j}" for j in range(100)) for i in range(1500)), "A a"]
     tracemalloc.start()
@@ -174,3 +174,14 @@ def test_minhash_keeps_a_bounded_number_of_tokens(monkeypatch):
 
     assert [list(map(int, x)) for x in got.to_pylist()] == [want(t) for t in said]
     assert peak < 4_000_000  # the 150,000 tokens and their digests take over 20 MB
+
+
+def test_units_are_parsed_a_few_at_a_time(spark):
+    answer = json.dumps({"context_summary": "s", "entities": [{"name": f"n{i}", "type": "person"} for i in range(50)]})
+    texts = pa.array([answer] * 2000 + ["broken", None])
+    tracemalloc.start()
+    got = parsing.parsed.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 2002 and got[1999].as_py()["entities"][49]["name"] == "n49" and got[2000].as_py()["error"] and got[2000].as_py()["entities"] == []
+    assert peak < 12_000_000  # 100,000 entities as Python objects take over 60 MB
