@@ -10,7 +10,7 @@ import numpy as np
 
 TRAIN_WINDOW = 96
 WINDOW, STRIDE, GRAIN = 512, 480, 32
-CELLS = 1 << 17  # symbols whose states are held at a time
+TOGETHER = 256  # windows that run in step
 NEVER = 1e4  # what a tag other than outside loses where there is no text
 SYMBOLS = 130  # 0 pads, 1-128 are ASCII, 129 is any other character
 
@@ -71,41 +71,54 @@ class Tagger:
             out[:, t] = h
         return out
 
-    def emissions(self, chars: np.ndarray) -> np.ndarray:
-        """(steps, tags, n) scores of n windows of symbols. Both directions go in step, and what a symbol adds to the gates is looked up."""
-        n, steps = chars.shape
+    def emissions(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n, steps, tags) of the forward and of the backward direction, the latter from each window's end on.
+
+        Windows of symbols come by falling length, in multiples of GRAIN. All run together, each from its own first and
+        last symbol on, and those that end drop out. What a symbol adds to the gates comes of the same product as the state.
+        """
+        n, steps = windows.shape
         H = self.hidden
         scale = np.full((4 * H, 1), 0.25, np.float32)
         scale[3 * H :] = 1
         shift = np.full((4 * H, 1), 0.5, np.float32)
         shift[3 * H :] = 0
-        tables = [np.ascontiguousarray((self.p["E"] @ self.p[f"{d}x"] + self.p[f"{d}b"]).T * scale + shift) for d in "fb"]
-        U = np.stack([self.p[f"{d}h"].T * scale for d in "fb"])
-        O = np.stack([self.p["O"][:H].T, self.p["O"][H:].T])  # noqa: E741
-        out = np.empty((steps, self.tags, n), np.float32)
-        out[:] = self.p["o"][:, None]
-        at = np.ascontiguousarray(chars.T, np.intp)
-        h, c, z, seen = (np.zeros((2, k, n), np.float32) for k in (H, H, 4 * H, 4 * H))
-        gates, g = z[:, : 3 * H], z[:, 3 * H :]
-        for t in range(steps):
-            np.take(tables[0], at[t], axis=1, out=seen[0], mode="clip")
-            np.take(tables[1], at[steps - 1 - t], axis=1, out=seen[1], mode="clip")
-            np.matmul(U, h, out=z)
-            z += seen
-            np.maximum(gates, 0, out=gates)
-            np.minimum(gates, 1, out=gates)
-            np.maximum(g, -1, out=g)
-            np.minimum(g, 1, out=g)
-            g *= z[:, :H]
-            c *= z[:, H : 2 * H]
-            c += g
-            np.maximum(c, -1, out=h)
-            np.minimum(h, 1, out=h)
-            h *= z[:, 2 * H : 3 * H]
-            said = O @ h
-            out[t] += said[0]
-            out[steps - 1 - t] += said[1]
-        return out
+        # the state, the symbol and a one
+        product = np.stack([np.hstack([self.p[f"{d}h"].T * scale, self.p[f"{d}x"].T * scale, self.p[f"{d}b"][:, None] * scale + shift]) for d in "fb"])
+        symbol = np.hstack([self.p["E"], np.ones((SYMBOLS, 1), np.float32)])
+        said = [np.ascontiguousarray(self.p["O"][half].T) for half in (slice(H), slice(H, None))]
+        out = np.zeros((2, n, steps, self.tags), np.float32)
+        c, last, live = np.zeros((2, H, n), np.float32), np.zeros((2, H, n), np.float32), -1
+        for at in range(0, steps, GRAIN):
+            m = int((lengths > at).sum())
+            if m != live:
+                live = m
+                c = np.ascontiguousarray(c[:, :, :m])
+                taken = np.empty((GRAIN + 1, 2, product.shape[2], m), np.float32)
+                z = np.empty((2, 4 * H, m), np.float32)
+                # bounds as arrays: numpy compares with a number several times slower
+                low, high = np.zeros_like(z), np.ones_like(z)
+                low[:, 3 * H :] = -1
+            ahead = at + np.arange(GRAIN)[:, None]
+            taken[0, :, :H] = last[:, :, :m]
+            taken[:GRAIN, 0, H:] = symbol.take(windows[:m, at : at + GRAIN].T, axis=0).transpose(0, 2, 1)
+            taken[:GRAIN, 1, H:] = symbol.take(windows[np.arange(m), lengths[:m] - 1 - ahead], axis=0).transpose(0, 2, 1)
+            i, f, o, g = (z[:, k * H : (k + 1) * H] for k in range(4))
+            for t in range(GRAIN):
+                np.matmul(product, taken[t], out=z)
+                np.maximum(z, low, out=z)
+                np.minimum(z, high, out=z)
+                g *= i
+                c *= f
+                c += g
+                h = taken[t + 1, :, :H]
+                np.maximum(c, low[:, 3 * H :], out=h)
+                np.minimum(h, high[:, 3 * H :], out=h)
+                h *= o
+            last = taken[GRAIN, :, :H]
+            for d in (0, 1):
+                out[d, :m, at : at + GRAIN] = (said[d] @ taken[1:, d, :H]).transpose(2, 0, 1)
+        return out[0], out[1]
 
     # ------------------------------------------------------------ training
     def _crf(self, e: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -192,25 +205,22 @@ class Tagger:
         weight = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)
         sums, loads = np.zeros((begins[-1], self.tags), np.float32), np.zeros(begins[-1], np.float32)
         # a text's last window is only as long as what is left of it, rounded up, whatever stands beside it
-        owner: dict[int, list[tuple[int, int]]] = {}
-        for k, x in enumerate(texts):
-            for a in range(0, max(1, len(x) - WINDOW + STRIDE) if len(x) else 0, STRIDE):
-                owner.setdefault(-(-min(WINDOW, len(x) - a) // GRAIN) * GRAIN, []).append((k, a))
-        for steps, every in sorted(owner.items()):
-            many = max(1, CELLS // steps)
-            for at in range(0, len(every), many):
-                part = every[at : at + many]
-                windows = np.zeros((len(part), steps), np.uint8)
-                for i, (k, a) in enumerate(part):
-                    piece = texts[k][a : a + WINDOW]
-                    windows[i, : len(piece)] = piece
-                e = self.emissions(windows)
-                e *= weight[:steps, None, None]
-                e = np.ascontiguousarray(e.transpose(2, 0, 1))
-                for i, (k, a) in enumerate(part):
-                    m, to = min(WINDOW, len(texts[k]) - a), begins[k] + a
-                    sums[to : to + m] += e[i, :m]
-                    loads[to : to + m] += weight[:m]
+        every = [(-(-min(WINDOW, len(x) - a) // GRAIN) * GRAIN, k, a) for k, x in enumerate(texts) if len(x) for a in range(0, max(1, len(x) - WINDOW + STRIDE), STRIDE)]
+        every.sort(key=lambda w: -w[0])
+        for at in range(0, len(every), TOGETHER):
+            part = every[at : at + TOGETHER]
+            windows = np.zeros((len(part), part[0][0]), np.uint8)
+            for i, (_, k, a) in enumerate(part):
+                piece = texts[k][a : a + WINDOW]
+                windows[i, : len(piece)] = piece
+            ahead, back = self.emissions(windows, np.array([steps for steps, _, _ in part]))
+            for i, (steps, k, a) in enumerate(part):
+                m, to = min(WINDOW, len(texts[k]) - a), begins[k] + a
+                e = ahead[i, :m] + back[i, steps - m : steps][::-1]
+                e += self.p["o"]
+                e *= weight[:m, None]
+                sums[to : to + m] += e
+                loads[to : to + m] += weight[:m]
         sums /= np.maximum(loads, 1)[:, None]
         sums[begins[1:] - 1, 1:] = -NEVER
         return sums, begins

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import pii
-from corpusloom.llm.lstm_crf import Tagger
+from corpusloom.llm.lstm_crf import GRAIN, Tagger
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -60,6 +60,21 @@ def test_stretches_decode_as_whole_texts(tagger):
             assert (tagger._viterbi([e[a : b - 1]])[0] == got).all()
 
 
+def test_windows_of_all_lengths_run_together(tagger, monkeypatch):
+    """Texts of every length take the steps of the longest once, and each has the scores of a plain run over it alone."""
+    prose = " ".join(t for t, _ in pii.generated(40, seed=6))
+    coded = [pii.symbols(prose[n : 2 * n]) for n in range(2, 512, 3)]
+    calls, run = [], tagger.emissions
+    monkeypatch.setattr(tagger, "emissions", lambda *windows: calls.append(1) or run(*windows))
+    e, begins = tagger.scores(coded)
+    assert len(calls) == 1
+    for x, at in zip(coded, begins):
+        padded = np.zeros((1, -(-len(x) // GRAIN) * GRAIN), np.int64)
+        padded[0, : len(x)] = x
+        both = np.concatenate([tagger._run(d, tagger.p["E"][padded], None) for d in "fb"], axis=2)
+        assert np.allclose((both @ tagger.p["O"] + tagger.p["o"])[0, : len(x)], e[at : at + len(x)], atol=1e-3)
+
+
 def test_tags_are_the_best_of_all():
     r = np.random.default_rng(2)
     tagger = Tagger(1, hidden=4, embed=3, seed=9)
