@@ -7,6 +7,7 @@ import time
 import tracemalloc
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,20 @@ def test_units_are_parsed_a_few_at_a_time(spark):
     tracemalloc.stop()
     assert len(got) == 2002 and got[1999].as_py()["entities"][49]["name"] == "n49" and got[2000].as_py()["error"] and got[2000].as_py()["entities"] == []
     assert peak < 12_000_000  # 100,000 entities as Python objects take over 60 MB
+
+
+def test_pairs_settled_by_bags_never_come_to_python(spark, monkeypatch):
+    @F.pandas_udf("double")
+    def never(a: pd.Series, b: pd.Series) -> pd.Series:
+        raise AssertionError("asked")
+
+    monkeypatch.setattr(entities, "BLOCK", 100)  # so that some blocks meet others
+    monkeypatch.setattr(entities, "spelling_ratio", never)
+    rows = [(g, f"Supplier#{i:09d}") for g in (1, 2) for i in range(1000 + g, 1000000, 6661)]
+    df = spark.createDataFrame(rows, "doc_id int, name string")
+    got = [tuple(r) for r in entities.alias_pairs(df, "doc_id").collect()]
+    alike = lambda a, b: SequenceMatcher(None, a.lower().replace("#", " "), b.lower().replace("#", " ")).ratio() >= 0.72
+    assert sorted(got) == sorted((g, a, b) for g, a in rows for h, b in rows if g == h and a < b and alike(a, b))
+    # twelve letters stand at the start of all, and thirteen are needed: neither all pairs nor only those of one more
+    assert len(got) < 150 * 149
+    assert len(got) > sum(a[:13] == b[:13] for g, a in rows for h, b in rows if g == h and a < b)
